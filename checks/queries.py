@@ -184,12 +184,16 @@ def _char_model(spark: SparkSession, sf_dir: str) -> encode.SubwordModel:
     return encode.load_model(*subword.learn_bpe(_words(spark, sf_dir), CHAR_VOCAB), "en")
 
 
-def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _encoded(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
     model = _char_model(spark, sf_dir)
-    oriented = pairs.orient(_cleaned(spark, sf_dir))
+    oriented = pairs.orient(pairs.clean_pairs(lines or views.bitext_lines(spark, sf_dir)))
     return encode.encode_pairs(oriented, model, model)
 
 
+def _batched(spark: SparkSession, sf_dir: str, seed: int | None = None) -> DataFrame:
+    return _encoded(spark, sf_dir, batches.assign_batches(views.bitext_lines(spark, sf_dir), seed=seed))
+
+
 def encode_words(spark, sf_dir):
     return _encoded(spark, sf_dir).select(
         "pair_id", _joined(F.col("src_ids")).alias("src_ids"), _joined(F.col("tgt_ids")).alias("tgt_ids"),
@@ -217,7 +221,7 @@ def decode_ids(spark, sf_dir):
 
 
 def batch_pad(spark, sf_dir):
-    padded = batches.pad_batches(batches.assign_batches(_encoded(spark, sf_dir)))
+    padded = batches.pad_batches(_batched(spark, sf_dir))
     return padded.select(
         "batch_id", _rows(F.col("src")).alias("src"), _rows(F.col("tgt")).alias("tgt"),
         _joined(F.col("src_lengths")).alias("src_lengths"), _joined(F.col("tgt_lengths")).alias("tgt_lengths"),
@@ -225,12 +229,12 @@ def batch_pad(spark, sf_dir):
 
 
 def batch_shape(spark, sf_dir):
-    shape = batches.batch_shape(batches.assign_batches(_encoded(spark, sf_dir), seed=42))
+    shape = batches.batch_shape(_batched(spark, sf_dir, seed=42))
     return shape.withColumn("padding_share", F.round("padding_share", 6))
 
 
 def shift_targets(spark, sf_dir):
-    padded = batches.pad_batches(batches.assign_batches(_encoded(spark, sf_dir)))
+    padded = batches.pad_batches(_batched(spark, sf_dir))
     shifted = batches.teacher_forcing_columns(padded)
     return shifted.select(
         "batch_id", _rows(F.col("decoder_input")).alias("decoder_input"), _rows(F.col("label")).alias("label")
@@ -238,7 +242,7 @@ def shift_targets(spark, sf_dir):
 
 
 def pad_masks(spark, sf_dir):
-    padded = batches.pad_batches(batches.assign_batches(_encoded(spark, sf_dir)))
+    padded = batches.pad_batches(_batched(spark, sf_dir))
     masks = batches.pad_masks(padded)
     flags = F.transform("src_mask", lambda row: F.transform(row, lambda m: m.cast("int")))
     return masks.select("batch_id", _rows(flags).alias("src_mask"))

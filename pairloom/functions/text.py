@@ -21,6 +21,8 @@ from pairloom.functions.terms import VIETNAMESE_TERMS
 # What Python's \s matches: the Unicode white space plus the four separators.
 _SPACE_RUN = r"(?U)[\s\x1C-\x1F]+"
 
+# Runs that are not a single blank already, so that tidy text is left as it is.
+_UNEVEN_SPACE = r"(?U) [\s\x1C-\x1F]+|[\s\x1C-\x1F&&[^ ]][\s\x1C-\x1F]*"
 _SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
     "\u2028\u2029\u202f\u205f\u3000"
 )
@@ -32,12 +34,12 @@ _NFC_STABLE = r"\x{0000}-\x{02FF}\x{0400}-\x{0482}\x{1E00}-\x{1EFF}\x{2010}-\x{2
 # The same for the compatibility form after control removal; narrower.
 _NFKC_STABLE = r"\x{0020}-\x{007E}\x{00C0}-\x{0131}\x{0400}-\x{0482}\x{1EA0}-\x{1EFF}\x{2018}-\x{201D}\x{4E00}-\x{9FFF}"
 
-# Fixed values of the subword normalisation rule: controls it deletes, code
-# points it turns into a blank, and one it leaves alone.
-_DELETED = r"[\x{0001}-\x{0008}\x{000B}\x{000E}-\x{001F}\x{007F}\x{008F}\x{009F}]"
-_BLANKED = (
-    r"[\x{0009}\x{000A}\x{000C}\x{000D}\x{1680}\x{200B}\x{200C}\x{200E}\x{200F}"
-    r"\x{2028}\x{2029}\x{2581}\x{FEFF}\x{FFFD}]"
+# Fixed values of the subword normalisation rule: code points it turns into a
+# blank, controls it deletes, and one it leaves alone.
+_BLANKED = "\t\n\x0c\r\u1680\u200b\u200c\u200e\u200f\u2028\u2029\u2581\ufeff\ufffd"
+_DELETED = (
+    "\x01\x02\x03\x04\x05\x06\x07\x08\x0b\x0e\x0f\x10\x11\x12\x13\x14\x15\x16"
+    "\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f\x7f\x8f\x9f"
 )
 _KEPT = "～"
 
@@ -78,7 +80,7 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Every run of white space becomes one blank; none at either end."""
-    return F.trim(F.regexp_replace(text, _SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(text, _UNEVEN_SPACE, " "))
 
 
 def _let(value: Column, body) -> Column:
@@ -128,9 +130,12 @@ def clean(
 
 def subword_normalize(text: Column) -> Column:
     """Text as the subword learner sees it: no controls, compatibility forms folded."""
-    text = F.regexp_replace(F.regexp_replace(text, _DELETED, ""), _BLANKED, " ")
+    # translate() deletes what has no counterpart in its last argument.
+    plain = F.translate(text, _BLANKED + _DELETED, " " * len(_BLANKED))
+    special = (F.octet_length(text) > F.length(text)) | text.rlike(r"[\x01-\x1F\x7F]")
+    text = F.when(special, plain).otherwise(text)
     text = _only_where_unstable(_nfkc_udf(_KEPT), text, _NFKC_STABLE)
-    return F.trim(F.regexp_replace(text, " +", " "))
+    return F.trim(F.regexp_replace(text, "  +", " "))
 
 
 def tokenize_13a(text: Column) -> Column:

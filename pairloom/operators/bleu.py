@@ -10,36 +10,35 @@ from pairloom.functions.text import tokenize_13a
 ORDERS = (1, 2, 3, 4)
 
 
-def _grams(tokens: Column) -> Column:
-    """All n-grams of one sentence as (n, gram); tokens hold no blanks, so a blank joins them."""
-
-    def of_order(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        grams = F.transform(
-            starts,
-            lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram")),
-        )
-        return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<struct<n:int,gram:string>>"))
-
-    return F.concat(*[of_order(n) for n in ORDERS])
-
-
 def ngram_matches(df: DataFrame, key: str = "sample_id") -> DataFrame:
     """Per sample, order and gram: occurrences in translation and reference.
 
     Rows move once, as text, to the partition of their sample; the grams made
     there are already where they are counted.
     """
-    tokens = df.repartition(F.col(key)).select(
+    placed = df.repartition(F.col(key)).select(
         key,
         tokenize_13a(F.col("translation")).alias("hyp"),
         tokenize_13a(F.col("reference")).alias("ref"),
     )
-    sides = tokens.select(
-        key, F.explode(F.array(F.struct(F.lit(1).alias("is_hyp"), F.col("hyp").alias("tokens")),
-                               F.struct(F.lit(0).alias("is_hyp"), F.col("ref").alias("tokens")))).alias("side")
+    sides = placed.select(
+        key,
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("is_hyp"), F.col("hyp").alias("g1")),
+                F.struct(F.lit(0).alias("is_hyp"), F.col("ref").alias("g1")),
+            )
+        ),
+    )
+    # Grams of order n extend those of order n-1; tokens hold no blanks, so a blank joins them.
+    for n in ORDERS[1:]:
+        starts = F.slice(f"g{n - 1}", F.lit(1), F.greatest(F.size(f"g{n - 1}") - 1, F.lit(0)))
+        ends = F.slice("g1", F.lit(n), F.size("g1"))
+        sides = sides.withColumn(f"g{n}", F.zip_with(starts, ends, lambda start, end: F.concat(start, F.lit(" "), end)))
+    by_order = sides.select(
+        key, "is_hyp", F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("g")) for n in ORDERS]))
     )
-    grams = sides.select(key, "side.is_hyp", F.inline(_grams(F.col("side.tokens"))))
+    grams = by_order.select(key, "is_hyp", "n", F.explode("g").alias("gram"))
     return grams.groupBy(key, "n", "gram").agg(
         F.sum("is_hyp").alias("hyp_count"), F.sum(1 - F.col("is_hyp")).alias("ref_count")
     )

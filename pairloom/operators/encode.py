@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import OrderedDict
-from collections.abc import Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,11 +16,11 @@ from pairloom.config import UNK
 from pairloom.functions.ids import cut_at_eos, drop_special_ids, pieces_to_text, wrap_truncate
 from pairloom.functions.text import subword_normalize
 from pairloom.operators.segment import merger
-from pairloom.operators.subword import BLANK, USER, WRAP, word_units
+from pairloom.operators.subword import BLANK, USER, symbol_pattern
 
 # A vocabulary larger than this is refused rather than shipped to every task.
 MAX_PIECES = 1_000_000
-# Distinct words one task remembers; the least recently used leave first.
+# Distinct words one task remembers; the longest known leave first.
 _CACHED_WORDS = 1 << 18
 
 
@@ -77,26 +79,44 @@ def lookup_pieces(ids: DataFrame, vocab: DataFrame, lang: str) -> DataFrame:
 
 
 def _encoder(model: SubwordModel):
-    """An Arrow UDF from arrays of word units to arrays of ids."""
+    """An Arrow UDF from normalised text to ids, cutting text where ``word_units`` does."""
     merge = merger({pair: i for i, pair in enumerate(model.merges)})
     ids = {piece: i for i, piece in reversed(list(enumerate(model.pieces)))}
-    user, unk, limit = USER, UNK, _CACHED_WORDS
-    seen: OrderedDict[str, list[int]] = OrderedDict()
+    symbols = symbol_pattern(model.user_symbols)
+    blank, unk, limit = BLANK, UNK, _CACHED_WORDS
+    seen: OrderedDict[str, array] = OrderedDict()
 
-    def of_word(word: str) -> list[int]:
+    def of_word(word: str) -> array:
         found = seen.get(word)
         if found is None:
-            pieces = [word[1:]] if word.startswith(user) else merge(list(word))
-            found = seen[word] = [ids.get(p, unk) for p in pieces]
+            found = seen[word] = array("i", [ids.get(p, unk) for p in merge(list(word))])
             if len(seen) > limit:
                 seen.popitem(last=False)
-        else:
-            seen.move_to_end(word)
         return found
 
-    def encode(units: pa.Array) -> pa.Array:
-        rows = [None if row is None else [i for word in row for i in of_word(word)] for row in units.to_pylist()]
-        return pa.array(rows, pa.list_(pa.int32()))
+    def of_text(text: str, pattern) -> Iterator[array]:
+        shown = blank + text.replace(" ", blank)
+        for i, part in enumerate(pattern.split(shown) if pattern else [shown]):
+            if i % 2:
+                yield array("i", [ids.get(part, unk)])
+                continue
+            head, *words = part.split(blank)
+            if head:
+                yield of_word(head)
+            for word in words:
+                yield of_word(blank + word)
+
+    def encode(texts: pa.Array) -> pa.Array:
+        pattern = re.compile(f"({symbols})") if symbols else None
+        values, offsets = array("i"), array("i", [0])
+        for text in texts.to_pylist():
+            if text:
+                for word in of_text(text, pattern):
+                    values.extend(word)
+            offsets.append(len(values))
+        flat = pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
+        ends = pa.Array.from_buffers(pa.int32(), len(offsets), [None, pa.py_buffer(offsets)])
+        return pa.ListArray.from_arrays(ends, flat, mask=texts.is_null())
 
     return F.arrow_udf(encode, "array<int>").asNondeterministic()
 
@@ -107,11 +127,7 @@ def encode_text(text: Column, model: SubwordModel) -> Column:
     Works row by row inside the scan's tasks: no shuffle of tokens, hence no
     hot word. A task cuts each distinct word once while it stays in its cache.
     """
-    normalized = subword_normalize(text)
-    units = F.when(normalized != "", word_units(normalized, model.user_symbols)).when(
-        normalized == "", F.array().cast("array<string>")
-    )
-    return _encoder(model)(units)
+    return _encoder(model)(subword_normalize(text))
 
 
 def encode_pairs(df: DataFrame, src_model: SubwordModel, tgt_model: SubwordModel, max_len: int = 128) -> DataFrame:

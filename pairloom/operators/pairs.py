@@ -45,6 +45,11 @@ def measure_pairs(df: DataFrame) -> DataFrame:
     ).withColumn("length_ratio", F.try_divide(F.col("vi_length").cast("double"), F.col("en_length").cast("double")))
 
 
+REASONS = (
+    "missing_text", "en_short", "en_long", "vi_short", "vi_long", "ratio_undefined", "ratio_high", "ratio_low", "kept",
+)
+
+
 def _bounds(min_len: int, max_len: int, ratio: float) -> list[tuple[str, Column]]:
     """What rejects a pair, in the order in which the reasons are given."""
     en, vi, share = F.col("en_length"), F.col("vi_length"), F.col("length_ratio")

@@ -57,6 +57,7 @@ def rank_by_hash(df: DataFrame, seed: int, key: Sequence[str] = ("pair_id",), he
 def rank_by_key(df: DataFrame, key: Sequence[str] = ("pair_id",)) -> DataFrame:
     """Adds ``rank`` (from 0) in the order of the unique ``key``, and ``n_total``.
 
+    Finding the ranges runs the input once more, so add costly columns after.
     A range shuffle lays the rows out in order whatever the spread of the key;
     the layout is written once, so positions and part sizes come from the same
     rows.

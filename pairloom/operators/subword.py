@@ -54,8 +54,12 @@ def word_units(text: Column, user_symbols: Sequence[str] = ()) -> Column:
 def word_counts(df: DataFrame, column: str, user_symbols: Sequence[str] = ()) -> DataFrame:
     """Occurrences of every distinct word of a cleaned column: (word, freq)."""
     text = df.select(subword_normalize(F.col(column)).alias("text")).where(F.col("text") != "")
-    units = text.select(F.explode(word_units(F.col("text"), user_symbols)).alias("word"))
-    return units.groupBy("word").agg(F.count("*").alias("freq"))
+    if user_symbols:
+        units = text.select(F.explode(word_units(F.col("text"), user_symbols)).alias("word"))
+        return units.groupBy("word").agg(F.count("*").alias("freq"))
+    # Every word starts at a blank, so the mark can wait until words are distinct.
+    counts = text.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    return counts.select(F.concat(F.lit(BLANK), "word").alias("word"), "freq")
 
 
 def _wrapped(word: Column) -> Column:
@@ -169,9 +173,9 @@ def learn_merges(
     known: set[str],
     max_pieces: int,
     min_freq: int = 2,
-    lookahead: int = 256,
+    lookahead: int = 64,
     max_lookahead: int = 4096,
-    max_runs: int = 50_000,
+    max_runs: int = 20_000,
 ) -> list[tuple[str, str, int]]:
     """Byte-pair merges of (word, freq), best pair first, until ``max_pieces`` new pieces exist.
 
