@@ -31,8 +31,12 @@ FIRST_RUN, SECOND_RUN = "click", "view"
 
 
 def reverse_words():
-    """A stand-in translator."""
-    return lambda texts: [" ".join(reversed(text.split(" "))) for text in texts]
+    """A stand-in translator; a closure, so that tasks need not import this module."""
+
+    def make():
+        return lambda texts: [" ".join(reversed(text.split(" "))) for text in texts]
+
+    return make
 
 
 def _joined(ids: Column) -> Column:
@@ -327,7 +331,7 @@ def head_translations(spark, sf_dir):
 
 def translate_batches(spark, sf_dir):
     lines = views.scored_lines(spark, sf_dir).drop("translation")
-    return evaluate.translate_batches(lines, reverse_words).select("sample_id", "translation")
+    return evaluate.translate_batches(lines, reverse_words()).select("sample_id", "translation")
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +339,7 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sample = evaluate.eval_sample(test).withColumns(
         {"source": F.col("en_normalized"), "reference": F.col("en_normalized")}
     )
-    return evaluate.evaluate_run(sample, reverse_words)
+    return evaluate.evaluate_run(sample, reverse_words())
 
 
 def evaluate_run_score(spark, sf_dir):

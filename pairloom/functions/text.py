@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,21 +43,18 @@ _DELETED = (
 _KEPT = "～"
 
 
-def _nfc_udf():
-    def normalize(text: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(text, form="NFC")
+def _normalizer(form: str, kept: str | None = None):
+    """An Arrow UDF to a Unicode normal form; ``kept`` passes through as it is."""
 
-    return F.arrow_udf(normalize, "string").asNondeterministic()
+    def normalize(texts: pa.Array) -> pa.Array:
+        from unicodedata import normalize as to_form
 
+        def one(text: str) -> str:
+            if kept and kept in text:
+                return kept.join(to_form(form, part) for part in text.split(kept))
+            return to_form(form, text)
 
-def _nfkc_udf(kept: str):
-    def normalize(text: pa.Array) -> pa.Array:
-        parts = pc.split_pattern(text, kept)
-        flat = pc.utf8_normalize(pc.list_flatten(parts), form="NFKC")
-        offsets = pc.cumulative_sum(pc.fill_null(pc.list_value_length(parts), 0).cast(pa.int32()))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), offsets])
-        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, flat), kept)
-        return pc.if_else(pc.is_null(text), pa.scalar(None, pa.string()), joined)
+        return pa.array([text if text is None else one(text) for text in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(normalize, "string").asNondeterministic()
 
@@ -70,7 +66,7 @@ def _only_where_unstable(udf, text: Column, stable: str) -> Column:
 
 def nfc(text: Column) -> Column:
     """Canonical composition."""
-    return _only_where_unstable(_nfc_udf(), text, _NFC_STABLE)
+    return _only_where_unstable(_normalizer("NFC"), text, _NFC_STABLE)
 
 
 def strip(text: Column) -> Column:
@@ -134,7 +130,7 @@ def subword_normalize(text: Column) -> Column:
     plain = F.translate(text, _BLANKED + _DELETED, " " * len(_BLANKED))
     special = (F.octet_length(text) > F.length(text)) | text.rlike(r"[\x01-\x1F\x7F]")
     text = F.when(special, plain).otherwise(text)
-    text = _only_where_unstable(_nfkc_udf(_KEPT), text, _NFKC_STABLE)
+    text = _only_where_unstable(_normalizer("NFKC", _KEPT), text, _NFKC_STABLE)
     return F.trim(F.regexp_replace(text, "  +", " "))
 
 

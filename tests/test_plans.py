@@ -1,0 +1,131 @@
+import random
+
+import pytest
+
+from pairloom.config import PipelineConfig
+from pairloom.plans import compare, loaders, prepare
+from pairloom.sources.tables import read_splits, read_vocab
+
+WORDS = {"en": "the a cat dog sits runs on under big red house tree".split(), "vi": "con mèo chó ngồi chạy trên dưới to đỏ nhà cây Hà Nội Huế".split()}
+
+
+@pytest.fixture(scope="module")
+def files(tmp_path_factory):
+    rng = random.Random(3)
+    folder = tmp_path_factory.mktemp("input")
+
+    def sentence(lang):
+        return " ".join(rng.choices(WORDS[lang], k=rng.randint(3, 8)))
+
+    pairs = [(sentence("en"), sentence("vi")) for _ in range(400)]
+    csv = ["en,vi", *(f'"{a}",{b}' for a, b in pairs[:250]), "null,Null", ",missing"]
+    tsv = [*(f"{a}\t{b}\tsource" for a, b in pairs[200:]), "only one field", "x" * 200 + "\tngắn"]
+    (folder / "pairs.csv").write_text("\n".join(csv), encoding="utf-8")
+    (folder / "pairs.txt").write_text("\n".join(tsv), encoding="utf-8")
+    return str(folder / "pairs.csv"), str(folder / "pairs.txt"), len(set(pairs))
+
+
+@pytest.fixture(scope="module")
+def config():
+    return PipelineConfig(vocab_size=120, max_ids=20)
+
+
+@pytest.fixture(scope="module")
+def prepared(spark, files, config, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("out"))
+    counts = prepare.process(spark, files[0], files[1], out, config)
+    return out, {r.stage: r.n_rows for r in counts.collect()}
+
+
+def test_counts_explain_every_row(prepared, files):
+    _, counts = prepared
+    assert counts["missing_text"] == 1 and counts["en_long"] == 1
+    assert sum(counts[r] for r in prepare.REASONS) == files[2] + 3
+    assert counts["kept"] == counts["train"] + counts["val"] + counts["test"]
+
+
+def test_splits_are_disjoint_and_keep_words_like_null(spark, prepared):
+    rows = read_splits(spark, f"{prepared[0]}/splits").collect()
+    assert len({(r.en, r.vi) for r in rows}) == len(rows)
+    assert ("null", "Null") in {(r.en_normalized, r.vi_normalized) for r in rows}
+    assert set(rows[0].asDict()) >= {"en_normalized", "vi_normalized", "en_length", "vi_length", "length_ratio"}
+
+
+def test_split_is_independent_of_the_file_layout(spark, prepared, files, config, tmp_path):
+    raw = prepare.load_pairs(spark, files[0], files[1]).repartition(5)
+    prepare.prepare_pairs(raw, str(tmp_path), config)
+
+    def assigned(path):
+        return {(r.en, r.vi): r.split for r in read_splits(spark, f"{path}/splits").collect()}
+
+    def of_text(path):
+        return {pair: split for pair, split in assigned(path).items()}
+
+    assert of_text(tmp_path) == of_text(prepared[0])
+
+
+def test_exact_split(spark, files, config, tmp_path):
+    raw = prepare.load_pairs(spark, files[0], files[1])
+    counts = {r.stage: r.n_rows for r in prepare.prepare_pairs(raw, str(tmp_path), config, exact_split=True).collect()}
+    held = -(-counts["kept"] // 5)
+    assert counts["train"] == counts["kept"] - held and counts["test"] == -(-held // 2)
+
+
+def test_vocabularies(spark, prepared, config):
+    vocab, merges = read_vocab(spark, f"{prepared[0]}/subwords")
+    rows = vocab.collect()
+    for lang in ("en", "vi"):
+        assert sorted(r.id for r in rows if r.lang == lang) == list(range(sum(r.lang == lang for r in rows)))
+        assert sum(r.lang == lang for r in rows) <= config.vocab_size
+    users = {r.piece: r.freq for r in rows if r.kind == "user" and r.lang == "vi"}
+    assert len(users) == 38 and users["Hà▁Nội"] > 0 and users["Huế"] > 0
+    assert {r.lang for r in merges.collect()} == {"en", "vi"}
+
+
+def test_batches(spark, prepared, config):
+    out, counts = prepared
+    loaders.write_batches(spark, out, config)
+    for split in ("train", "val", "test"):
+        rows = loaders.read_batches(spark, out, split).collect()
+        assert sum(len(r.src) for r in rows) == counts[split]
+        assert sorted(r.batch_id for r in rows) == list(range(-(-counts[split] // 32)))
+        assert all(len(ids) <= 20 and ids[0] == 2 for r in rows for ids in r.src + r.tgt)
+
+
+def test_evaluation(spark, prepared, config):
+    out, counts = prepared
+    sample = compare.evaluation_sample(spark, out, config)
+    kept = {(r.en_normalized, r.vi_normalized) for r in read_splits(spark, f"{out}/splits", "test").collect()}
+    rows = sample.collect()
+    assert len(rows) == min(128, counts["test"])
+    # The reference is cut where its ids were cut.
+    assert all(any(s == r.source and t.startswith(r.reference) for s, t in kept) for r in rows)
+
+    def good():
+        return lambda texts: list(texts)
+
+    def bad():
+        return lambda texts: ["zzz"] * len(texts)
+
+    scores, winner = compare.evaluate_and_compare(spark, out, {"good": good, "bad": bad}, config)
+    assert {r.run for r in scores.collect()} == {"good", "bad"}
+    assert winner.first().winner == "tie"  # neither knows Vietnamese
+    written = spark.read.option("header", True).csv(f"{out}/translation_comparison").collect()
+    assert len(written) == 10 - (counts["test"] < 97) * (10 - min(10, 3 * -(-counts["test"] // 32)))
+    assert {"source", "reference", "good", "bad"} <= set(written[0].asDict())
+
+
+def test_compare_models(spark, tmp_path):
+    rows = [("a", 1, 2.0, 1.0), ("a", 2, 1.5, 0.5), ("b", 1, 3.0, 0.7)]
+    log = spark.createDataFrame(rows, "run string, epoch int, train_loss double, val_loss double")
+    summary, winner = compare.compare_models(log, "a", "b", str(tmp_path))
+    assert {r.run: (r.min_val_loss, r.last_val_loss, r.epochs) for r in summary.collect()} == {"a": (0.5, 0.5, 2), "b": (0.7, 0.7, 1)}
+    assert winner.first().winner == "a"
+    table = spark.read.option("header", True).csv(f"{tmp_path}/model_comparison").orderBy("epoch").collect()
+    assert [r.b_train_loss for r in table] == ["3.0", None]
+
+
+def test_config_is_checked():
+    for wrong in ({"term_mode": "x"}, {"fit_on": "x"}, {"held_out": 1.0}):
+        with pytest.raises(ValueError):
+            PipelineConfig(**wrong)

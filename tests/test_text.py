@@ -1,0 +1,145 @@
+import re
+import unicodedata
+
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pairloom.functions import text as t
+from pairloom.functions.terms import VIETNAMESE_TERMS
+
+ODD = ["é", " a \x1c\tb \n", "a​b", "", None, "x\x85y\xa0 z", "ệ", "Tie\u0302\u0301ng Vie\u0323\u0302t", "한글", "가", "ﬁ½"]
+
+
+def python_squeeze(text):
+    return re.sub(r"\s+", " ", text).strip()
+
+
+def python_terms(text, terms):
+    for term in terms:
+        text = text.replace(term, f"__{term.replace(' ', '_')}__")
+    return re.sub(r"__(.+?)__", lambda m: m[1].replace("_", " "), text)
+
+
+def python_13a(text):
+    text = text.rstrip().replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, char in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        text = text.replace(entity, char)
+    text = f" {text} "
+    for pattern, put in (
+        (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
+        (r"([^0-9])([\.,])", r"\1 \2 "),
+        (r"([\.,])([^0-9])", r" \1 \2"),
+        (r"([0-9])(-)", r"\1 \2 "),
+    ):
+        text = re.sub(pattern, put, text)
+    return text.split()
+
+
+def test_nfc(apply):
+    assert apply(t.nfc, ODD) == [None if s is None else unicodedata.normalize("NFC", s) for s in ODD]
+
+
+def test_stable_ranges_never_change():
+    def members(stable):
+        pairs = re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", stable)
+        return [chr(c) for low, high in pairs for c in range(int(low, 16), int(high, 16) + 1)]
+
+    for form, stable in (("NFC", t._NFC_STABLE), ("NFKC", t._NFKC_STABLE)):
+        chars = members(stable)
+        assert all(unicodedata.normalize(form, c) == c and not unicodedata.combining(c) for c in chars)
+        # Nothing in the ranges composes with what stands before it.
+        seconds = set()
+        for c in map(chr, range(0x110000)):
+            parts = unicodedata.decomposition(c).split()
+            if len(parts) == 2 and not parts[0].startswith("<"):
+                seconds.add(chr(int(parts[1], 16)))
+        assert not seconds & set(chars)
+
+
+def test_squeeze(apply):
+    spaces = [f"a{chr(c)}b{chr(c)}{chr(c)} c" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    cases = spaces + [" a \x1c\tb \n", "", "   ", "a  b", " a", "a ", "a b"]
+    assert apply(t.squeeze, cases) == [python_squeeze(s) for s in cases]
+
+
+def test_strip_matches_python(apply):
+    cases = [f"{chr(c)}a b{chr(c)}" for c in range(0x3100)]
+    assert apply(t.strip, cases) == [s.strip() for s in cases]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab \t\n\x0b\x1c\x85\xa0  　é\u0301"), max_size=12), min_size=20, max_size=60))
+def test_squeeze_property(values):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    once = rows.withColumn("once", t.squeeze(rows["v"]))
+    got = once.withColumn("twice", t.squeeze(once["once"])).orderBy("i").collect()
+    assert [r["once"] for r in got] == [python_squeeze(v) for v in values]
+    assert [r["twice"] for r in got] == [r["once"] for r in got]
+
+
+def test_terms_exact(apply):
+    cases = {
+        "Hồ Chí Minh": "  Hồ_Chí_Minh__",
+        "Hồng": "  Hồng__",
+        "Hoàng Sa": "  Hoàng_Sa__",
+        "Vũng Tàu": "  Vũng_Tàu__",
+        "Dương lịch": "  Dương_lịch__",
+        "Việt Nam": "Việt Nam",
+        "Hà Nội": "Hà Nội",
+        "a __init__ b": "a init b",
+    }
+    assert apply(lambda c: t.protect_terms(c, mode="exact"), list(cases)) == list(cases.values())
+    more = [f"{a} và {b}_{a}" for a in VIETNAMESE_TERMS for b in VIETNAMESE_TERMS[:6]] + ["__", "____", "_a__b___c", "__a__b__"]
+    want = [python_terms(s, VIETNAMESE_TERMS) for s in more]
+    assert apply(lambda c: t.protect_terms(c, mode="exact"), more) == want
+
+
+def test_terms_safe(apply):
+    cases = ["Hồ Chí Minh", "a __init__ b", None]
+    assert apply(lambda c: t.clean(c, is_target=True), cases) == cases
+
+
+def test_clean_of_null_and_blank(apply):
+    assert apply(t.clean, [None, "  ", "\u0065\u0301  x"]) == [None, "", "é x"]
+
+
+def test_subword_normalize_matches_the_library_rule(apply):
+    norm = sentencepiece.SentencePieceNormalizer(
+        rule_name="nmt_nfkc", add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=True
+    )
+    chars = [chr(c) for c in [*range(1, 0x250), *range(0x1E00, 0x2100), 0x2581, 0x3000, 0xFEFF, 0xFFFD, 0xFF5E, 0x301C]]
+    # The library folds by the Unicode version it was built with and leaves a few spacing accents apart.
+    cases = [f"a{c}b  {c}" for c in chars if not unicodedata.normalize("NFKC", c).startswith(" ") or c.isspace()]
+    got = apply(t.subword_normalize, cases)
+    differing = [(c, g, norm.normalize(c)) for c, g in zip(cases, got) if g != norm.normalize(c)]
+    assert not differing, differing[:10]
+
+
+def test_tokenize_13a(apply):
+    cases = [
+        "Hello, world! 3.14 a-b 5-6 x.", "<skipped>a &amp; b&lt;c&quot;", "it's (a) [b] {c} \\ / 1,000.", "line-\nbreak\nx  ",
+        "", "   ", "...", "a,b.c", "1.5,2", "$5 50% #x @y ^z ~w `v |u", "ends-\n", "ü. é,9",
+    ]
+    assert apply(t.tokenize_13a, cases) == [python_13a(s) for s in cases]
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab 0159.,-&;'\"()\n\u00a0é"), max_size=16), min_size=20, max_size=60))
+def test_tokenize_13a_property(values):
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    got = rows.withColumn("out", t.tokenize_13a(rows["v"])).orderBy("i").collect()
+    assert [r["out"] for r in got] == [python_13a(v) for v in values]
+
+
+def test_normalisation_runs_once_under_filters(spark):
+    rows = spark.createDataFrame([("a",)], "v string")
+    filtered = rows.withColumn("c", t.clean(rows["v"])).where("length(c) > 3")
+    plan = filtered._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
