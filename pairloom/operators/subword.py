@@ -175,7 +175,7 @@ def learn_merges(
     min_freq: int = 2,
     lookahead: int = 64,
     max_lookahead: int = 4096,
-    max_runs: int = 20_000,
+    max_run_chars: int = 400_000,
 ) -> list[tuple[str, str, int]]:
     """Byte-pair merges of (word, freq), best pair first, until ``max_pieces`` new pieces exist.
 
@@ -183,9 +183,9 @@ def learn_merges(
     but many per round. A pair counted above the ``lookahead``-th best can only
     arise where all adjacent pairs are among the candidates before it. So the
     stretches of candidates, summed over all words by Spark, decide the next
-    merges by themselves down to that count. If there are more than
-    ``max_runs`` of them, fewer candidates are tried; one candidate always
-    works. A merge whose result exists already ends the round, because its
+    merges by themselves down to that count. Only if the distinct stretches
+    fit in ``max_run_chars`` do they come to the driver; otherwise fewer
+    candidates are tried, and a single one needs no stretches. A merge whose result exists already ends the round, because its
     neighbours then also occur outside the stretches.
     """
     state = words.select(_wrapped(F.col("word")).alias("symbols"), "freq")
@@ -204,18 +204,20 @@ def learn_merges(
             break
         while True:
             floor = best[lookahead].freq if lookahead < len(best) else min_freq - 1
-            chosen = [p for p in best[:lookahead] if p.freq > floor] or best[:1]
-            runs = _runs(state, [p.l + WRAP + p.r for p in chosen]).limit(max_runs + 1).collect()
-            if len(runs) <= max_runs or len(chosen) == 1:
+            chosen = [p for p in best[:lookahead] if p.freq > floor]
+            if len(chosen) < 2:
+                pending = [(best[0].l, best[0].r, best[0].freq)]
+                size = 0
                 break
-            lookahead = max(1, min(lookahead, len(chosen)) // 2)
-        if len(chosen) == 1:
-            pending = [(best[0].l, best[0].r, best[0].freq)]
-        else:
-            pending = _merges_in_runs(runs, floor, pieces, max_pieces - (len(pieces) - len(known)))
+            runs = materialize(_runs(state, [p.l + WRAP + p.r for p in chosen]), "subword-runs")
+            size = runs.agg(F.sum(F.length("run"))).first()[0]
+            if size <= max_run_chars:
+                pending = _merges_in_runs(runs.collect(), floor, pieces, max_pieces - (len(pieces) - len(known)))
+                break
+            lookahead = len(chosen) // 2
         merges += pending
         pieces.update(l + r for l, r, _ in pending)
-        if len(runs) < max_runs // 4:
+        if size < max_run_chars // 4:
             lookahead = min(lookahead * 2, max_lookahead)
     return merges
 

@@ -16,17 +16,23 @@ def _with_pair_id(df: DataFrame, source_no: int) -> DataFrame:
     return df.select(pair_id.alias("pair_id"), *df.columns)
 
 
-def read_pairs_csv(spark: SparkSession, path: str, source_no: int = 0, multi_line: bool = True) -> DataFrame:
+def _fields_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted field may hold a line break: then some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_pairs_csv(spark: SparkSession, path: str, source_no: int = 0) -> DataFrame:
     """CSV with a header naming at least ``en`` and ``vi``; every other column is kept.
 
-    Quoted fields may hold line breaks, which keeps a file in one task. For
-    large inputs pass many files, or ``multi_line=False`` where no field holds
-    a line break: then files are split.
+    Files whose fields span lines are read one per task, as only their start
+    tells records apart; one look over the lines finds out, and all others are
+    split among tasks.
     """
     df = (
         spark.read.option("header", True)
         .option("escape", '"')
-        .option("multiLine", multi_line)
+        .option("multiLine", _fields_span_lines(spark, path))
         .csv(path)
     )
     missing = {"en", "vi"} - set(df.columns)

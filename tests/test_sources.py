@@ -13,6 +13,19 @@ def test_csv(spark, tmp_path):
     assert got == [('say "hi", now', "chào", "x"), ("two\nlines", "hai", None), ("null", "None", "y")]
 
 
+def test_plain_csv_is_split(spark, tmp_path):
+    lines = ["en,vi", *(f'"say ""{i}""",câu {i}' for i in range(200_000))]
+    (tmp_path / "plain.csv").write_text("\n".join(lines), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1 << 20)
+    try:
+        df = pairs.read_pairs_csv(spark, str(tmp_path / "plain.csv"))
+        assert df.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert df.select("pair_id").distinct().count() == 200_000
+        assert df.where('en = \'say "199999"\' and vi = \'câu 199999\'').count() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_csv_needs_both_columns(spark, tmp_path):
     path = tmp_path / "pairs.csv"
     path.write_text("en,other\na,b\n")

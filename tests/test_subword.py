@@ -46,8 +46,8 @@ def random_words(seed, letters, n, longest=9):
     [
         (1, "aab", 60, {}),
         (2, "abcde", 150, {"lookahead": 4}),
-        (3, "abcdefghij", 300, {"lookahead": 16, "max_runs": 20}),
-        (4, "aaaab", 80, {"max_runs": 1}),
+        (3, "abcdefghij", 300, {"lookahead": 16, "max_run_chars": 300}),
+        (4, "aaaab", 80, {"max_run_chars": 1}),
         (5, "abc", 200, {"lookahead": 1, "max_lookahead": 2}),
     ],
 )
