@@ -335,8 +335,8 @@ def translate_batches(spark, sf_dir):
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    test = split.split_pairs(_cleaned(spark, sf_dir)).where(F.col("split") == "test")
-    sample = evaluate.eval_sample(test).withColumns(
+    test = split.split_pairs(views.bitext_lines(spark, sf_dir)).where(F.col("split") == "test")
+    sample = pairs.clean_pairs(evaluate.eval_sample(test)).withColumns(
         {"source": F.col("en_normalized"), "reference": F.col("en_normalized")}
     )
     return evaluate.evaluate_run(sample, reverse_words())

@@ -13,12 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bitext_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents, line by line: (pair_id, en, vi)."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = docs.select(F.col("doc_id").alias("left_id"), F.split("text", "\n").alias("en"))
-    right = docs.select(F.col("doc_id").alias("right_id"), F.split("text", "\n").alias("vi"))
+    left = docs.select(F.col("doc_id").alias("left_id"), F.col("text").alias("left_text"))
+    right = docs.select(F.col("doc_id").alias("right_id"), F.col("text").alias("right_text"))
     couple = (F.col("left_id") + 1 == F.col("right_id")) & (
         F.expr("left_id div 2") == F.expr("right_id div 2")
     )
-    lines = left.join(right, couple).select("left_id", F.posexplode(F.arrays_zip("en", "vi")))
+    sides = F.arrays_zip(F.split("left_text", "\n").alias("en"), F.split("right_text", "\n").alias("vi"))
+    lines = left.join(right, couple).select("left_id", F.posexplode(sides))
     return lines.where(F.col("col.en").isNotNull() & F.col("col.vi").isNotNull()).select(
         (F.col("left_id") * 100000 + F.col("pos") + 1).alias("pair_id"), "col.en", "col.vi"
     )

@@ -59,14 +59,10 @@ def _normalizer(form: str, kept: str | None = None):
     return F.arrow_udf(normalize, "string").asNondeterministic()
 
 
-def _only_where_unstable(udf, text: Column, stable: str) -> Column:
-    beyond_ascii = F.octet_length(text) > F.length(text)
-    return F.coalesce(udf(F.when(beyond_ascii & text.rlike(f"[^{stable}]"), text)), text)
-
-
 def nfc(text: Column) -> Column:
     """Canonical composition."""
-    return _only_where_unstable(_normalizer("NFC"), text, _NFC_STABLE)
+    unstable = (F.octet_length(text) > F.length(text)) & text.rlike(f"[^{_NFC_STABLE}]")
+    return F.coalesce(_normalizer("NFC")(F.when(unstable, text)), text)
 
 
 def strip(text: Column) -> Column:
@@ -126,11 +122,11 @@ def clean(
 
 def subword_normalize(text: Column) -> Column:
     """Text as the subword learner sees it: no controls, compatibility forms folded."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    unstable = F.when(ascii_only, text.rlike(r"[\x01-\x1F\x7F]")).otherwise(text.rlike(f"[^{_NFKC_STABLE}]"))
     # translate() deletes what has no counterpart in its last argument.
     plain = F.translate(text, _BLANKED + _DELETED, " " * len(_BLANKED))
-    special = (F.octet_length(text) > F.length(text)) | text.rlike(r"[\x01-\x1F\x7F]")
-    text = F.when(special, plain).otherwise(text)
-    text = _only_where_unstable(_normalizer("NFKC", _KEPT), text, _NFKC_STABLE)
+    text = F.coalesce(_normalizer("NFKC", _KEPT)(F.when(unstable, plain)), text)
     return F.trim(F.regexp_replace(text, "  +", " "))
 
 

@@ -26,7 +26,7 @@ def assign_batches(
     ranked = rank_by_key(df, key).drop("n_total") if seed is None else shuffle(df, seed, key)
     return ranked.withColumns(
         {
-            "batch_id": F.floor(F.col("rank") / size),
+            "batch_id": F.expr(f"rank div {int(size)}"),
             "batch_pos": (F.col("rank") % size).cast("int"),
         }
     ).drop("rank")

@@ -21,6 +21,7 @@ def eval_sample(df: DataFrame, n: int = 100, batch: int = 32, key: Sequence[str]
     Every task keeps its own first rows, so nothing is sorted as a whole.
     """
     first = df.orderBy(*key).limit(math.ceil(n / batch) * batch)
+    # Numbers the rows of the limit alone, a fixed count.
     place = F.row_number().over(Window.orderBy(*key)) - 1
     return (
         first.withColumn("sample_id", place)
