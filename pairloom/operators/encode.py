@@ -52,7 +52,7 @@ def load_model(vocab: DataFrame, merges: DataFrame, lang: str) -> SubwordModel:
 
 def segment_words(words: DataFrame, model: SubwordModel) -> DataFrame:
     """Adds ``pieces`` to a table with distinct ``word`` values."""
-    merge = merger({pair: i for i, pair in enumerate(model.merges)})
+    merge = merger(model.merges)
     user = USER
 
     def segment(words: pa.Array) -> pa.Array:
@@ -80,7 +80,7 @@ def lookup_pieces(ids: DataFrame, vocab: DataFrame, lang: str) -> DataFrame:
 
 def _encoder(model: SubwordModel):
     """An Arrow UDF from normalised text to ids, cutting text where ``word_units`` does."""
-    merge = merger({pair: i for i, pair in enumerate(model.merges)})
+    merge = merger(model.merges)
     ids = {piece: i for i, piece in reversed(list(enumerate(model.pieces)))}
     symbols = symbol_pattern(model.user_symbols)
     blank, unk, limit = BLANK, UNK, _CACHED_WORDS

@@ -6,28 +6,38 @@ data and travel with the task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Sequence
 
 
-def merger(ranks: dict[tuple[str, str], int]) -> Callable[[list[str]], list[str]]:
-    """A function joining adjacent symbols, lowest rank first, until no ranked pair is left."""
-    worst = len(ranks)
+def merger(merges: Sequence[tuple[str, str]]) -> Callable[[list[str]], list[str]]:
+    """A function applying the merges to a list of symbols, in order, each from the left.
+
+    It looks only for merges that can apply, so their number costs nothing. A
+    pair may be merged more than once: a symbol can come about again later.
+    """
+    turns: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for turn, pair in enumerate(merges):
+        turns[pair].append(turn)
+    turns = dict(turns)
+    merges = list(merges)
 
     def merge(symbols: list[str]) -> list[str]:
+        done = -1
         while len(symbols) > 1:
-            pairs = list(zip(symbols, symbols[1:]))
-            best = min(pairs, key=lambda pair: ranks.get(pair, worst))
-            if best not in ranks:
+            due = [t for pair in zip(symbols, symbols[1:]) if pair in turns for t in turns[pair] if t > done]
+            if not due:
                 break
-            joined, skip = [], False
-            for i, symbol in enumerate(symbols):
-                if skip:
-                    skip = False
-                elif i < len(pairs) and pairs[i] == best:
-                    joined.append(symbol + symbols[i + 1])
-                    skip = True
-                else:
-                    joined.append(symbol)
+            done = min(due)
+            left, right = merges[done]
+            joined, i, last = [], 0, len(symbols) - 1
+            while i <= last:
+                symbol = symbols[i]
+                if i < last and symbol == left and symbols[i + 1] == right:
+                    symbol += right
+                    i += 1
+                joined.append(symbol)
+                i += 1
             symbols = joined
         return symbols
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import subword as s
+from pairloom.operators.segment import merger
 
 
 def one_by_one(words, wanted, known):
@@ -48,6 +49,7 @@ def random_words(seed, letters, n, longest=9):
         (2, "abcde", 150, {"lookahead": 4}),
         (3, "abcdefghij", 300, {"lookahead": 16, "max_run_chars": 300}),
         (4, "aaaab", 80, {"max_run_chars": 1}),
+        (6, "ab", 120, {"lookahead": 8}),
         (5, "abc", 200, {"lookahead": 1, "max_lookahead": 2}),
     ],
 )
@@ -55,10 +57,23 @@ def test_merges_equal_the_one_by_one_procedure(spark, seed, letters, n, options)
     words = random_words(seed, letters, n)
     table = spark.createDataFrame(list(words.items()), "word string, freq bigint")
     known = set("".join(words))
-    for wanted in (1, 25):
+    for wanted in (1, 60):
         assert s.learn_merges(table, known, wanted, **options) == one_by_one(words, wanted, known)
 
 
+@pytest.mark.parametrize("seed,letters", [(11, "aab"), (12, "abc"), (13, "aaaab"), (14, "abcd")])
+def test_segmenting_repeats_what_learning_did(seed, letters):
+    """Also where a symbol comes about in two ways, so that a pair is merged twice."""
+    words = random_words(seed, letters, 120, 12)
+    merges = one_by_one(words, 60, set(letters))
+    merge = merger([(left, right) for left, right, _ in merges])
+    for word in words:
+        symbols = list(word)
+        for left, right, _ in merges:
+            symbols = merger([(left, right)])(symbols)
+        assert merge(list(word)) == symbols
+
+
 def test_merges_stop_below_two(spark):
     table = spark.createDataFrame([("abab", 3), ("xyz", 1)], "word string, freq bigint")
     assert s.learn_merges(table, set("abxyz"), 100) == [("a", "b", 6), ("ab", "ab", 3)]
