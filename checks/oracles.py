@@ -330,4 +330,24 @@ ORACLES: dict[str, str] = {
     "evaluate_run_score": f"WITH {EVALUATED}, {bleu('sample')} {ROUNDED}",
     "evaluate_run_examples": f"""WITH {EVALUATED} SELECT CAST(sample_id AS INT) AS sample_id, source, reference, translation
         FROM sample WHERE sample_id % 32 < 3 ORDER BY sample_id LIMIT 10""",
+    "lookup_pieces": f"""WITH {ENCODED}
+        SELECT CAST(coalesce(v.id, 1) AS INT) AS id, CAST(sum(freq) AS BIGINT) AS n_used,
+               coalesce(any_value(v.piece), '<unk>') AS piece
+        FROM chars c LEFT JOIN vocab v ON v.piece = c.piece GROUP BY 1""",
+    "tsv_round_trip": f"""WITH {LINES},
+        p AS (SELECT string_split(regexp_replace(regexp_replace(en || chr(9) || vi, '^{SPACE}', ''), '{SPACE}$', ''), chr(9)) AS p
+              FROM lines)
+        SELECT p[1] AS en, p[2] AS vi FROM p WHERE len(p) >= 2""",
+    "csv_round_trip": f"WITH {TURNS} SELECT en, vi, 'talk' AS topic FROM turns",
+    "splits_round_trip": f"""WITH {LINES}, unique_lines AS {DEDUP.format("lines")}, {measured("unique_lines")}, {kept()}
+        SELECT pair_id, en, vi_normalized, length_ratio FROM kept JOIN unique_lines USING (pair_id) WHERE {SPLIT} = 'test'""",
+    "vocab_round_trip": f"""WITH {ENCODED}
+        SELECT 'en' AS lang, CAST(id AS INT) AS id, piece, freq, 'char' AS kind FROM vocab JOIN chars USING (piece)
+        UNION ALL SELECT 'en', CAST(k - 1 AS INT), names[k], 0, 'special'
+        FROM (SELECT ['<pad>', '<unk>', '<s>', '</s>'] AS names, unnest([1, 2, 3, 4]) AS k)""",
 }
+for copy, original in (
+    ("epoch_comparison_file", "compare_epochs"),
+    ("translation_comparison_file", "compare_translations"),
+):
+    ORACLES[copy] = ORACLES[original]

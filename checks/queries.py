@@ -21,6 +21,9 @@ from pairloom.operators import (
     split,
     subword,
 )
+from pairloom.sources import tables
+from pairloom.sources.pairs import read_pairs_csv, read_pairs_tsv
+from pairloom.workspace import new_path
 
 # Terms of the languages in the tables; like the built-in list, some hold another.
 TERMS = ("de la", "that", "the", "la", "der", "and the", "ing")
@@ -215,6 +218,14 @@ def segment_words(spark, sf_dir):
     return ids.groupBy("id").agg(F.sum("freq").alias("n_used"))
 
 
+def lookup_pieces(spark, sf_dir):
+    """Pieces by join, of ids counted before."""
+    vocab, merges = subword.learn_bpe(_words(spark, sf_dir), CHAR_VOCAB)
+    model = encode.load_model(vocab, merges, "en")
+    ids = _cleaned(spark, sf_dir).select(F.explode(encode.encode_text(F.col("en_normalized"), model)).alias("id"))
+    return encode.lookup_pieces(ids.groupBy("id").agg(F.count("*").alias("n_used")), vocab, "en")
+
+
 def decode_ids(spark, sf_dir):
     model = _char_model(spark, sf_dir)
     return _encoded(spark, sf_dir).select(
@@ -350,6 +361,44 @@ def evaluate_run_examples(spark, sf_dir):
     return _evaluated(spark, sf_dir)[1].select("sample_id", "source", "reference", "translation")
 
 
+def tsv_round_trip(spark, sf_dir):
+    path = new_path(spark, "pairs-tsv")
+    lines = views.bitext_lines(spark, sf_dir)
+    tables.write_corpus_text(lines.withColumn("line", F.concat_ws("\t", "en", "vi")), "line", path)
+    return read_pairs_tsv(spark, path).select("en", "vi")
+
+
+def csv_round_trip(spark, sf_dir):
+    path = new_path(spark, "pairs-csv")
+    tables.write_csv(views.bitext_turns(spark, sf_dir).select("en", "vi", F.lit("talk").alias("topic")), path)
+    return read_pairs_csv(spark, path).select("en", "vi", "topic")
+
+
+def splits_round_trip(spark, sf_dir):
+    path = new_path(spark, "splits")
+    tables.write_splits(split.split_pairs(_kept(spark, sf_dir)), path)
+    return tables.read_splits(spark, path, "test").select("pair_id", "en", "vi_normalized", "length_ratio")
+
+
+def vocab_round_trip(spark, sf_dir):
+    path = new_path(spark, "subwords")
+    tables.write_vocab(*subword.learn_bpe(_words(spark, sf_dir), CHAR_VOCAB), path)
+    return tables.read_vocab(spark, path)[0]
+
+
+def epoch_comparison_file(spark, sf_dir):
+    path = new_path(spark, "epochs")
+    tables.write_epoch_comparison(compare_epochs(spark, sf_dir), path)
+    return spark.read.option("header", True).schema("epoch int, click_val_loss double, view_val_loss double").csv(path)
+
+
+def translation_comparison_file(spark, sf_dir):
+    path = new_path(spark, "translations")
+    tables.write_translation_comparison(compare_translations(spark, sf_dir), path)
+    schema = "sample_id bigint, source string, reference string, fifth string, third string"
+    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -358,9 +407,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reject_reasons, reject_turns, split_by_hash, split_sizes, split_exact, shuffle_rows,
         rank_in_order, orient_pairs, subword_text, word_counts, user_symbol_counts, pair_counts,
         char_counts, top_pieces, bpe_merges, bpe_vocab_size, encode_words, segment_words,
-        decode_ids, batch_pad, batch_shape, shift_targets, pad_masks, eval_sample, pick_examples,
+        lookup_pieces, decode_ids, batch_pad, batch_shape, shift_targets, pad_masks, eval_sample, pick_examples,
         tokens_13a, bleu_ngrams, bleu_corpus, epoch_mean, best_so_far, patience, early_stop,
         run_summary, compare_epochs, verdict_by_loss, verdict_by_bleu, compare_translations,
         head_translations, translate_batches, evaluate_run_score, evaluate_run_examples,
+        tsv_round_trip, csv_round_trip, splits_round_trip, vocab_round_trip, epoch_comparison_file,
+        translation_comparison_file,
     )
 }

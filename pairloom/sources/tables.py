@@ -33,15 +33,17 @@ def read_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vocab.select("lang", "id", "piece", "freq", "kind"), merges.select("lang", "rank", "l", "r", "freq")
 
 
-def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str) -> None:
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
+    # Blanks at the ends belong to the text.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_epoch_comparison(df: DataFrame, path: str) -> None:
     """The losses of two runs by epoch, in epoch order."""
-    _write_csv(df.orderBy("epoch"), path)
+    write_csv(df.orderBy("epoch"), path)
 
 
 def write_translation_comparison(df: DataFrame, path: str) -> None:
     """The sample sentences of two runs side by side, in sample order."""
-    _write_csv(df.orderBy("sample_id"), path)
+    write_csv(df.orderBy("sample_id"), path)
