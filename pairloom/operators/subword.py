@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pairloom.config import SPECIAL_PIECES
 from pairloom.functions.text import subword_normalize
 from pairloom.operators.segment import merger
-from pairloom.workspace import materialize
+from pairloom.workspace import discard, materialize
 
 BLANK = "▁"
 
@@ -28,6 +28,9 @@ BLANK = "▁"
 WRAP = "\x01"
 USER = "\x02"
 
+# Distinct words one task works on in a round.
+_WORDS_PER_PART = 200_000
+
 
 def symbol_pattern(user_symbols: Sequence[str]) -> str:
     """Regular expression of the user symbols, longest first, blanks shown as ``▁``."""
@@ -176,10 +179,14 @@ def learn_merges(
     stretches of candidates, summed over all words by Spark, decide the next
     merges by themselves down to that count. Only if the distinct stretches
     fit in ``max_run_chars`` do they come to the driver; otherwise fewer
-    candidates are tried, and a single one needs no stretches. A merge whose result exists already ends the round, because its
-    neighbours then also occur outside the stretches.
+    candidates are tried, and a single one needs no stretches. A merge whose
+    result exists already ends the round, because its neighbours then also
+    occur outside the stretches.
     """
-    state = words.select(_wrapped(F.col("word")).alias("symbols"), "freq")
+    # Counting may leave few, large parts; the rounds need work for every core.
+    parts = max(words.sparkSession.sparkContext.defaultParallelism, words.count() // _WORDS_PER_PART + 1)
+    state = words.repartition(parts, "word").select(_wrapped(F.col("word")).alias("symbols"), "freq")
+    written: DataFrame | None = None
     merges: list[tuple[str, str, int]] = []
     pieces = set(known)
     pending: list[tuple[str, str, int]] = []
@@ -187,7 +194,10 @@ def learn_merges(
         if pending:
             state = state.select(_apply(F.col("symbols"), pending).alias("symbols"), "freq")
         # Words down to one symbol can never change again and are left behind.
-        state = materialize(state.where(F.contains("symbols", F.lit(WRAP * 2))), "subword-state")
+        before, written = written, materialize(state.where(F.contains("symbols", F.lit(WRAP * 2))), "subword-state")
+        if before is not None:
+            discard(before)
+        state = written
         counts = _adjacent(state, "symbols", F.col("freq")).groupBy("l", "r").agg(F.sum("freq").alias("freq"))
         counts = counts.where(F.col("freq") >= min_freq)
         best = counts.orderBy(F.desc("freq"), "l", "r").limit(max_lookahead + 1).collect()
@@ -202,14 +212,19 @@ def learn_merges(
                 break
             runs = materialize(_runs(state, [(p.l, p.r) for p in chosen]), "subword-runs")
             size = runs.agg(F.sum(F.length("run"))).first()[0]
-            if size <= max_run_chars:
+            few = size <= max_run_chars
+            if few:
                 pending = _merges_in_runs(runs.collect(), floor, pieces, max_pieces - (len(pieces) - len(known)))
+            discard(runs)
+            if few:
                 break
             lookahead = len(chosen) // 2
         merges += pending
         pieces.update(l + r for l, r, _ in pending)
         if size < max_run_chars // 4:
             lookahead = min(lookahead * 2, max_lookahead)
+    if written is not None:
+        discard(written)
     return merges
 
 
@@ -236,18 +251,18 @@ def learn_bpe(
     If characters alone overfill it, the rarest are left to the unknown piece.
     """
     spark = words.sparkSession
-    # Counting leaves few, small parts; the rounds need work for every core.
-    words = materialize(words.repartition(spark.sparkContext.defaultParallelism, "word"), "subword-words")
-    is_user = F.startswith("word", F.lit(USER))
-    plain = words.where(~is_user)
     users = [s.replace(" ", BLANK) for s in user_symbols]
     room = vocab_size - len(SPECIAL_PIECES) - len(users)
     if room < 0:
         raise ValueError(f"a vocabulary of {vocab_size} has no room for {len(users)} user symbols")
+    words = materialize(words, "subword-words")
+    is_user = F.startswith("word", F.lit(USER))
+    plain = words.where(~is_user)
     user_freq = {r.word[1:]: r.freq for r in words.where(is_user).collect()} if users else {}
     chars = top_pieces(char_counts(plain), room).collect()
     known = {c.piece for c in chars} | set(users)
     merges = learn_merges(plain, known, room - len(chars), **options)
+    discard(words)
 
     rows = [(p, 0, "special") for p in SPECIAL_PIECES]
     rows += [(s, user_freq.get(s, 0), "user") for s in users]

@@ -1,9 +1,12 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators.runs import compare_epochs, compare_translations
+from pairloom.operators.subword import learn_bpe
 from pairloom.sources import pairs, tables
-from pairloom.workspace import materialize, shared_dir
+from pairloom.workspace import discard, materialize, shared_dir
 
 
 def test_csv(spark, tmp_path):
@@ -93,3 +96,21 @@ def test_materialize_uses_the_shared_folder(spark):
     assert kept.dtypes == df.dtypes and kept.count() == 10
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert kept.inputFiles()[0].startswith("file://" + shared_dir(spark))
+
+
+def test_discard_removes_only_its_table(spark, tmp_path):
+    folder = Path(shared_dir(spark))
+    kept, gone = materialize(spark.range(3), "kept"), materialize(spark.range(3), "gone")
+    discard(gone)
+    assert not list(folder.glob("gone-*")) and kept.count() == 3
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    other = spark.read.parquet(str(tmp_path / "other"))
+    discard(other)
+    assert other.count() == 3
+
+
+def test_learning_leaves_no_tables_behind(spark):
+    table = spark.createDataFrame([("▁abab", 3), ("▁ab", 2)], "word string, freq bigint")
+    vocab, merges = learn_bpe(table, 20)
+    assert vocab.count() > 4 and merges.count() > 0
+    assert not list(Path(shared_dir(spark)).glob("subword-*"))
