@@ -11,6 +11,7 @@ SPECIAL_PIECES = ("<pad>", "<unk>", "<s>", "</s>")
 
 @dataclass(frozen=True)
 class PipelineConfig:
+    # The defaults of a run.
     src_lang: str = "en"
     tgt_lang: str = "vi"
     min_len: int = 3

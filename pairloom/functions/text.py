@@ -75,6 +75,10 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, _UNEVEN_SPACE, " "))
 
 
+# Fixed value: the pattern that finds wrapped terms again.
+_WRAPPED = "__(.+?)__"
+
+
 def _let(value: Column, body) -> Column:
     """``body`` over ``value``, which is computed once however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -95,8 +99,8 @@ def protect_terms(text: Column, terms: Sequence[str] = VIETNAMESE_TERMS, mode: s
         wrapped = F.replace(wrapped, F.lit(term), F.lit(f"__{term.replace(' ', '_')}__"))
 
     def unwrap(text: Column) -> Column:
-        outside = F.split(text, "__(.+?)__", -1)
-        inside = F.regexp_extract_all(text, F.lit("__(.+?)__"), F.lit(1))
+        outside = F.split(text, _WRAPPED, -1)
+        inside = F.regexp_extract_all(text, F.lit(_WRAPPED), F.lit(1))
         return F.array_join(
             F.zip_with(
                 outside,

@@ -26,36 +26,36 @@ def dedup_pairs(df: DataFrame, id_column: str = "pair_id") -> DataFrame:
     return df.groupBy(*raw).agg(F.min(id_column).alias(id_column)).select(*df.columns)
 
 
-def _computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Adds columns that filters above read instead of computing them again.
-
-    Catalyst copies the expression of a column into every filter on it that it
-    pushes down. It cannot look into what a generator puts out, here one row
-    per row.
-    """
-    held = {f"_{name}": column for name, column in columns.items()}
-    values = F.struct(*[F.col(f"_{name}").alias(name) for name in columns])
-    return df.withColumns(held).select(*df.columns, F.inline(F.array(values)))
-
-
 def clean_pairs(
     df: DataFrame, terms: Sequence[str] = VIETNAMESE_TERMS, term_mode: str = "safe"
 ) -> DataFrame:
     """Adds the cleaned text of both sides."""
-    return _computed_once(
-        df,
+    return df.withColumns(
         {
             "en_normalized": clean(F.col("en")),
             "vi_normalized": clean(F.col("vi"), is_target=True, terms=terms, mode=term_mode),
-        },
+        }
     )
 
 
+def _computed_once(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, with columns that filters above read instead of computing them again.
+
+    Catalyst copies the expression of a column into every filter on it that it
+    pushes down. It cannot look into what a generator puts out, here one row
+    per row.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
+
+
 def measure_pairs(df: DataFrame) -> DataFrame:
     """Adds the lengths of the cleaned texts in code points and their ratio."""
-    return df.withColumns(
+    measured = _computed_once(df, "en_normalized", "vi_normalized").withColumns(
         {"en_length": F.length("en_normalized"), "vi_length": F.length("vi_normalized")}
-    ).withColumn("length_ratio", F.try_divide(F.col("vi_length").cast("double"), F.col("en_length").cast("double")))
+    )
+    ratio = F.try_divide(F.col("vi_length").cast("double"), F.col("en_length").cast("double"))
+    return measured.withColumn("length_ratio", ratio)
 
 
 REASONS = (
