@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairloom.llm.decontaminate import OP7_SQL, op7_benchmark_leaks
 from pairloom.llm.simhash import op9_simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op9_simhash_groups,)
+    for query in (op7_benchmark_leaks, op9_simhash_groups)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_benchmark_leaks": OP7_SQL}
