@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm.decontaminate import OP7_SQL, op7_benchmark_leaks
+from pairloom.llm.language import op10_language
 from pairloom.llm.mixing import OP8_SQL, op8_source_mix
 from pairloom.llm.simhash import op9_simhash_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op7_benchmark_leaks, op8_source_mix, op9_simhash_groups)
+    for query in (op7_benchmark_leaks, op8_source_mix, op9_simhash_groups, op10_language)
 }
 
 ORACLES: dict[str, str] = {"op7_benchmark_leaks": OP7_SQL, "op8_source_mix": OP8_SQL}
