@@ -206,8 +206,8 @@ def code_lengths(trees: dict, texts: list[str | None]) -> np.ndarray:
     return totals
 
 
-def predict(docs: DataFrame, trees: dict, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to ``docs``.
+def predict(docs: DataFrame, trees: dict, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """Adds lang_pred and score to ``docs``, in place of columns of these names.
 
     Null texts, texts without a letter and, with nothing learned, all texts get
     ``und`` and score 0. The score is the chance of the language chosen after
@@ -236,8 +236,8 @@ def predict(docs: DataFrame, trees: dict, text_col: str = "text") -> DataFrame:
     told = docs.withColumn("_told", run(F.col(text_col)))
     return told.withColumns(
         {
-            "lang_pred": F.when(lettered, F.col("_told.lang_pred")).otherwise(F.lit(UNKNOWN)),
-            "score": F.when(lettered & (F.col("_told.lang_pred") != UNKNOWN), F.col("_told.score")).otherwise(F.lit(0.0)),
+            lang_out: F.when(lettered, F.col("_told.lang_pred")).otherwise(F.lit(UNKNOWN)),
+            score_out: F.when(lettered & (F.col("_told.lang_pred") != UNKNOWN), F.col("_told.score")).otherwise(F.lit(0.0)),
         }
     ).drop("_told")
 
