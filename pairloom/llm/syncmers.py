@@ -1,0 +1,234 @@
+"""Document fingerprints from closed syncmers.
+
+A k-mer of code points is an anchor if the smallest hash of its inner s-mers
+is that of the first or the last one. Whether it is depends on the k-mer
+alone, so equal stretches of two texts give equal anchors whatever surrounds
+them. A fingerprint keeps the anchors with the smallest hashes and their
+positions; two fingerprints are compared by the anchors they share in the same
+order.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pairloom.llm.tables import read_table
+
+K, S = 16, 4  # K is a multiple of S: a k-mer's hash is made of those of its parts
+ANCHORS = 48
+CHUNK = 1 << 19  # code points hashed at a time
+BLOCK_DOCS = 1 << 16
+
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _C
+    return h ^ (h >> np.uint64(29))
+
+
+def _window_minimum(h: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of each stretch of ``width`` neighbours, by doubling."""
+    low, reach = h, 1
+    while 2 * reach <= width:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    rest = width - reach
+    return np.minimum(low[:-rest], low[rest:]) if rest else low
+
+
+def closed_syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits) and places of the closed syncmers of a text of any length; none below K code points."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) < K:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    h = np.zeros(len(points) - S + 1, np.uint64)
+    for j in range(S):
+        h *= _A
+        h += points[j : j + len(h)]
+    h = _mixed(h)
+    width = K - S + 1
+    low = _window_minimum(h, width)
+    at = np.flatnonzero((h[: len(low)] == low) | (h[width - 1 :] == low))
+    whole = np.zeros(len(at), np.uint64)
+    for part in range(K // S):
+        whole = whole * _B + h[at + part * S]
+    return (_mixed(whole) >> np.uint64(32)).astype(np.uint32), at
+
+
+def _pieces(texts: Iterable[str]) -> Iterator[tuple[list[tuple[int, int, int]], str]]:
+    """The texts joined to stretches of about CHUNK code points: ((text number, place in it, length), ...), stretch.
+
+    Longer texts come in pieces that overlap by K - 1, so that each k-mer lies in one of them.
+    """
+    held: list[tuple[int, int, int]] = []
+    parts: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - K + 1), CHUNK):
+            piece = text[at : at + CHUNK + K - 1]
+            held.append((i, at, len(piece)))
+            parts.append(piece)
+            size += len(piece)
+            if size >= CHUNK:
+                yield held, "".join(parts)
+                held, parts, size = [], [], 0
+    if held:
+        yield held, "".join(parts)
+
+
+def sketches(texts: list[str]) -> list[list[tuple[int, int]]]:
+    """For each text its up to ANCHORS anchors (hash, first place), smallest hashes first.
+
+    A text without syncmers has one anchor, a hash of all of it; an empty text none.
+    """
+    owners, hashes, places = [], [], []
+    for held, joined in _pieces(texts):
+        h, at = closed_syncmers(joined)
+        numbers, offsets, lengths = (np.array(x, np.int64) for x in zip(*held))
+        ends = np.cumsum(lengths)
+        piece = np.searchsorted(ends, at, "right")
+        inside = at + K <= ends[piece]
+        h, at, piece = h[inside], at[inside], piece[inside]
+        owners.append(numbers[piece])
+        hashes.append(h)
+        places.append(at - (ends - lengths)[piece] + offsets[piece])
+    if not owners:
+        return []
+    owner, h, place = np.concatenate(owners), np.concatenate(hashes), np.concatenate(places)
+    order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | h, kind="stable")  # equal hashes stay in text order
+    owner, h, place = owner[order], h[order], place[order]
+    first = np.ones(len(owner), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    owner, h, place = owner[first], h[first], place[first]
+    starts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    found = []
+    for i, text in enumerate(texts):
+        a = starts[i]
+        b = min(starts[i + 1], a + ANCHORS)
+        if a < b:
+            found.append(list(zip(h[a:b].tolist(), place[a:b].tolist())))
+        elif text:
+            digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+            found.append([(int.from_bytes(digest[:4], "big"), 0)])
+        else:
+            found.append([])
+    return found
+
+
+def as_text(sketch: list[tuple[int, int]]) -> str:
+    """16 hex digits for each anchor: its hash, then its place (its last 32 bits)."""
+    return np.array([(h, p & 0xFFFFFFFF) for h, p in sketch], ">u4").tobytes().hex()
+
+
+def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
+    """From 0 to 1: the share of anchors found in both in the same order (Dice), as far as both sketches reach.
+
+    Two empty sketches are alike, an empty one is unlike any other.
+    """
+    if a == b:
+        return 1.0
+    reach = min((s[-1][0] for s in (a, b) if len(s) == ANCHORS), default=1 << 32)
+    a, b = ([x for x in s if x[0] <= reach] for s in (a, b))
+    there = dict(b)
+    matches = sorted((place, there[h]) for h, place in a if h in there)
+    tails: list[int] = []  # of increasing runs of each length
+    for _, place in matches:
+        at = bisect_left(tails, place)
+        tails[at : at + 1] = [place]
+    return 2 * len(tails) / (len(a) + len(b)) if a and b else 0.0
+
+
+def edited(text: str, following: str) -> str:
+    """The text with its second half replaced by as much of the beginning of the next one."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+_RESULT = (
+    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "near_edited double, near_next double"
+)
+
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of (block, guest, doc_id, text) in order; a guest only follows the last document of a block."""
+    last = None  # block, guest, id, text, sketch
+    for batch in batches:
+        texts = batch["text"].tolist()
+        ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
+        rows = list(zip(batch["block"].tolist(), batch["guest"].tolist(), ids, texts, sketches(texts)))
+        pairs = [(x, y) for x, y in zip([last, *rows], rows) if x and x[0] == y[0] and not x[1]]
+        last = rows[-1] if rows else last
+        changed = [edited(x[3], y[3]) for x, y in pairs]
+        out = []
+        for (x, y), text, sketch in zip(pairs, changed, sketches(changed)):
+            digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+            out.append(
+                (x[2], len(x[3]), digest, as_text(x[4]), as_text(sketch), likeness(x[4], sketch), likeness(x[4], y[4]))
+            )
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
+        frame["doc_id"] = frame["doc_id"].astype("Int64")
+        yield frame
+
+
+def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Fingerprints of each text and of its edited text, and how like they are to each other and to the next text's.
+
+    The next document has the next larger integer id, that of the last is the
+    first; rows with one id follow each other by text, null ids come first.
+    Null texts are empty. Texts are shuffled once, into ranges of ids; the
+    first document of a range is also sent to the range before it. The driver
+    holds two ids for each range, of ``block_docs`` documents or so.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n = docs.count()
+    n_blocks = max(4 * spark.sparkContext.defaultParallelism, -(-n // block_docs))
+    shares = [i / n_blocks for i in range(1, n_blocks)]
+    cuts = docs.agg(F.percentile_approx("doc_id", shares, 100 * n_blocks).alias("cuts")).first()["cuts"]
+    cuts = np.unique(np.array(cuts or [], np.int64))
+
+    @F.pandas_udf("int")
+    def block_of(ids: pd.Series) -> pd.Series:
+        known = ids.notna().to_numpy()
+        out = np.zeros(len(ids), np.int32)  # null ids come first
+        out[known] = np.searchsorted(cuts, ids[known].to_numpy().astype(np.int64), "right")
+        return pd.Series(out)
+
+    ids = docs.select("doc_id").distinct().withColumn("block", block_of("doc_id"))
+    heads = ids.groupBy("block").agg(
+        F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null")
+    ).orderBy("block").collect()
+    # The block that each block's first id is a guest in: the one before, of the first block the last.
+    guest_in = {
+        (row["block"], None if row["has_null"] else row["least"]): heads[i - 1]["block"] for i, row in enumerate(heads)
+    }
+    null_guest = [b for (_, least), b in guest_in.items() if least is None]
+    starts = {least: b for (_, least), b in guest_in.items() if least is not None}
+
+    @F.pandas_udf("int")
+    def visits(ids: pd.Series) -> pd.Series:
+        to = ids.map(starts).astype("Int32")
+        if null_guest:
+            to[ids.isna()] = null_guest[0]
+        return to
+
+    own = F.struct(block_of("doc_id").alias("block"), F.lit(False).alias("guest"))
+    other = F.struct(visits("doc_id").alias("block"), F.lit(True).alias("guest"))
+    placed = docs.select("doc_id", "text", own.alias("own"), other.alias("other"))
+    both = F.filter(F.array("own", "other"), lambda p: p["block"].isNotNull())
+    placed = placed.select("doc_id", "text", F.explode(both).alias("to")).select("to.block", "to.guest", "doc_id", "text")
+    laid = placed.repartition(n_blocks, "block").sortWithinPartitions("block", "guest", "doc_id", "text")
+    return laid.mapInPandas(_judge, _RESULT)
+
+
+def op2_syncmer_fingerprints(spark, sf_dir):
+    return fingerprint_neighbours(read_table(spark, sf_dir, "documents"))
