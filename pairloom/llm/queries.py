@@ -10,13 +10,14 @@ from pairloom.llm.decontaminate import OP7_SQL, op7_benchmark_leaks
 from pairloom.llm.language import op10_language
 from pairloom.llm.mixing import OP8_SQL, op8_source_mix
 from pairloom.llm.simhash import op9_simhash_groups
+from pairloom.llm.style_tree import op1_main_text
 from pairloom.llm.syncmers import op2_syncmer_fingerprints
 from pairloom.llm.url_templates import op4_url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        op2_syncmer_fingerprints, op4_url_verdicts, op7_benchmark_leaks, op8_source_mix, op9_simhash_groups,
+        op1_main_text, op2_syncmer_fingerprints, op4_url_verdicts, op7_benchmark_leaks, op8_source_mix, op9_simhash_groups,
         op10_language,
     )
 }
