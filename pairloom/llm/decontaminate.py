@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read_table
+from pairloom.llm.tables import fresh, read_table
 from pairloom.workspace import materialize
 
 WINDOW_WORDS = 10
@@ -184,13 +184,14 @@ def decontaminate(
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
     hit = find_hits(docs, benchmark, n, id_col, text_col).where("n_hit > 0")
-    hit = hit.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.first("spans").alias("_spans"))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_key"))
+    hit_id, key, spans = (fresh(docs, name) for name in ("hit_id", "hit_key", "hit_spans"))
+    hit = hit.groupBy(F.col("id").alias(hit_id), F.col("text_key").alias(key)).agg(F.first("spans").alias(spans))
+    same = docs[id_col].eqNullSafe(F.col(hit_id)) & (F.xxhash64(docs[text_col]) == F.col(key))
     if remove == "documents":
-        return docs.join(hit.drop("_spans"), same, "left_anti")
+        return docs.join(hit.drop(spans), same, "left_anti")
     columns = [
-        F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_without_spans(F.col(text_col), F.col("_spans"))).alias(c)
-        if c == text_col else F.col(c)
+        F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_without_spans(F.col(text_col), F.col(spans))).alias(c)
+        if c == text_col else F.col(f"`{c}`")
         for c in docs.columns
     ]
     return docs.join(hit, same, "left").select(*columns)

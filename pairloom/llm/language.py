@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read_table
+from pairloom.llm.tables import fresh, read_table
 
 ORDER = 4
 SAMPLE_DOCS = 400  # labelled documents per language that the trees are counted over
@@ -233,13 +233,15 @@ def predict(docs: DataFrame, trees: dict, text_col: str = "text", lang_out: str
             )
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    told = docs.withColumn("_told", run(F.col(text_col)))
+    out = fresh(docs, "told")
+    told = docs.withColumn(out, run(F.col(text_col)))
+    pred, score = F.col(f"{out}.lang_pred"), F.col(f"{out}.score")
     return told.withColumns(
         {
-            lang_out: F.when(lettered, F.col("_told.lang_pred")).otherwise(F.lit(UNKNOWN)),
-            score_out: F.when(lettered & (F.col("_told.lang_pred") != UNKNOWN), F.col("_told.score")).otherwise(F.lit(0.0)),
+            lang_out: F.when(lettered, pred).otherwise(F.lit(UNKNOWN)),
+            score_out: F.when(lettered & (pred != UNKNOWN), score).otherwise(F.lit(0.0)),
         }
-    ).drop("_told")
+    ).drop(out)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
-from pairloom.llm.tables import read_table
+from pairloom.llm.tables import fresh, read_table
 from pairloom.workspace import materialize
 
 SHINGLE_WORDS = 3
@@ -170,19 +170,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = materialize(near_groups(docs, id_col, text_col, max_bucket), "near-groups")
     kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "fp").distinct()
     repeated = materialize(groups.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
-    single = kept.join(repeated, kept["id"].eqNullSafe(repeated["id"]), "left_anti").select(F.col("id").alias("_id"))
-    stay = docs.join(single, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    own, kept_id, kept_fp, nth = (fresh(docs, name) for name in ("own_fp", "kept_id", "kept_fp", "nth"))
+    same_id = docs[id_col].eqNullSafe(F.col(kept_id))
+    single = kept.join(repeated, kept["id"].eqNullSafe(repeated["id"]), "left_anti").select(F.col("id").alias(kept_id))
+    stay = docs.join(single, same_id, "left_semi")
     if repeated.isEmpty():
         return stay
-    again = docs.join(repeated.select(F.col("id").alias("_id")), docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    again = again.withColumn("_fp", simhash(F.col(text_col)))
+    again = docs.join(repeated.select(F.col("id").alias(kept_id)), same_id, "left_semi")
+    again = again.withColumn(own, simhash(F.col(text_col)))
     again = again.join(
-        kept.select(F.col("id").alias("_id"), F.col("fp").alias("_kept_fp")),
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_kept_fp")),
+        kept.select(F.col("id").alias(kept_id), F.col("fp").alias(kept_fp)),
+        F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_fp)),
         "left_semi",
     )
-    first = Window.partitionBy(id_col, "_fp").orderBy(text_col)
-    again = again.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_fp")
+    first = Window.partitionBy(id_col, own).orderBy(text_col)
+    again = again.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth, own)
     return stay.unionByName(again)
 
 

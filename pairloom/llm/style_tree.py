@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read_table
+from pairloom.llm.tables import fresh, read_table, without
 from pairloom.llm.url_templates import url_host
 from pairloom.workspace import materialize
 
@@ -291,7 +291,7 @@ def noisy_branches(importance: DataFrame, min_importance: float = MIN_IMPORTANCE
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """Adds ``main_text`` to ``pages``: the blocks of main text joined by line breaks, empty if there is none.
+    """Adds ``main_text`` to ``pages``, in place of a column of this name: the blocks of main text joined by line breaks, empty if there is none.
 
     Null html is empty; pages without a host share one style tree. Each page is
     parsed once for the trees, of which only counts are shuffled, and once for
@@ -300,8 +300,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_
     """
     host = url_host(F.col(url_col))
     trees = node_importance(pages.select(host.alias("host"), F.col(html_col).alias("html")))
-    noisy = materialize(noisy_branches(trees, min_pages=min_pages), "noisy-branches").withColumnRenamed("host", "_host")
-    joined = pages.join(noisy, host == F.col("_host"), "left")
+    noisy = materialize(noisy_branches(trees, min_pages=min_pages), "noisy-branches")
+    site, low = fresh(pages, "tree_host"), fresh(pages, "noisy_paths")
+    noisy = noisy.select(F.col("host").alias(site), F.col("noisy").alias(low))
+    joined = without(pages, ["main_text"]).join(noisy, host == F.col(site), "left")
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -310,7 +312,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_
                 [main_text(h, frozenset(low) if low is not None else frozenset()) for h, low in zip(htmls, lows)], dtype=object
             )
 
-    return joined.withColumn("main_text", text_of(F.col(html_col), F.col("noisy"))).drop("_host", "noisy")
+    return joined.withColumn("main_text", text_of(F.col(html_col), F.col(low))).drop(site, low)
 
 
 def op1_main_text(spark, sf_dir):

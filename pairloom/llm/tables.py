@@ -15,3 +15,11 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` less the columns that a result is about to add; names match whatever their case."""
     taken = {name.lower() for name in names}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case: ``name`` with underscores before it as needed."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read_table, without
+from pairloom.llm.tables import fresh, read_table, without
 from pairloom.workspace import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,29 +118,31 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_c
     ).first()
     overall = 1 - totals["b"] / totals["n"] if totals["n"] else 1.0
     good = F.col("n_labelled") - F.col("n_bad")
+    site, shape, key = (fresh(split, name) for name in ("tree_host", "tree_segments", "page_segments"))
     templates = tree.select(
-        F.col("host").alias("_host"), F.col("segments").alias("_segments"), "template",
+        F.col("host").alias(site), F.col("segments").alias(shape), "template",
         ((good + PRIOR_PAGES * overall) / (F.col("n_labelled") + PRIOR_PAGES)).alias("purity"),
     )
     if tree.count() <= BROADCAST_TEMPLATES:
         templates = F.broadcast(templates)
-    keyed = split.withColumn("_key", _segments(F.col("path")))
-    judged = keyed.join(templates, (F.col("host") == F.col("_host")) & (F.col("_key") == F.col("_segments")))
+    keyed = split.withColumn(key, _segments(F.col("path")))
+    judged = keyed.join(templates, (F.col("host") == F.col(site)) & (F.col(key) == F.col(shape)))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     by_rule = F.create_map(*[F.lit(x) for verdict, name in rules for x in (name, verdict)]) if rules else None
     by_template = F.when(F.col("purity") < MIN_PURITY, "block").otherwise("allow")
     judged = judged.withColumn("rule", rule)
     verdict = F.coalesce(F.try_element_at(by_rule, "rule"), by_template) if rules else by_template
-    return judged.withColumn("verdict", verdict).drop("_host", "_segments", "_key")
+    return judged.withColumn("verdict", verdict).drop(site, shape, key)
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds ``bad`` to ``pages``: whether the document that the url names by its last number is of low quality or toxic."""
+    doc = fresh(pages, "labelled_doc")
     known = F.col("quality").isNotNull() | F.col("toxic").isNotNull()
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
-    marks = labels.where(known & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_doc")).agg(F.max(bad).alias("bad"))
+    marks = labels.where(known & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(doc)).agg(F.max(bad).alias("bad"))
     number = F.regexp_extract(url_path(F.col("url")), r"(\d+)[^/\d]*/?$", 1).try_cast("bigint")
-    return without(pages, ["bad"]).join(marks, number == F.col("_doc"), "left").drop("_doc")
+    return without(pages, ["bad"]).join(marks, number == F.col(doc), "left").drop(doc)
 
 
 def op4_url_verdicts(spark, sf_dir):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read_table
+from pairloom.llm.tables import fresh, read_table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"  # stands before each word, as in the vocabulary
@@ -123,8 +123,9 @@ def count_tokens(docs: DataFrame, pieces: Iterable[str], text_col: str = "text")
                 rows.append((len(words), n))
             yield pd.DataFrame(rows, columns=["n_words", "n_tokens"])
 
-    counted = docs.withColumn("_counted", run(F.col(text_col)))
-    return counted.withColumns({"n_words": F.col("_counted.n_words"), "n_tokens": F.col("_counted.n_tokens")}).drop("_counted")
+    out = fresh(docs, "counted")
+    counted = docs.withColumn(out, run(F.col(text_col)))
+    return counted.withColumns({c: F.col(f"{out}.{c}") for c in ("n_words", "n_tokens")}).drop(out)
 
 
 def op5_token_counts(spark, sf_dir):

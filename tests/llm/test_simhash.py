@@ -1,0 +1,117 @@
+import random
+import re
+from collections import defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from pairloom.llm.components import components
+from pairloom.llm.simhash import as_hex, near_dedup, near_groups, near_links
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def expected_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(UPPER, LOWER)))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def expected_roots(points):
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    ordered = sorted(points)
+    for i, a in enumerate(ordered):
+        for b in ordered[:i]:
+            if (a ^ b).bit_count() <= 2 and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    groups = defaultdict(set)
+    for p in points:
+        groups[find(p)].add(p)
+    return sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+TEXTS = [
+    None, "", " \t\n", "one", "one two", "ONE Two", "one two three", "É é\x0bÉ\x1fx y z", "a b c d", "same text here again",
+    "same text here again", "word " * 5000, "word " * 5001,
+]
+
+
+def test_fingerprints_are_those_of_the_definition(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string")
+    got = {r["id"]: r["h"] for r in near_groups(docs).select("id", as_hex(F.col("fp")).alias("h")).collect()}
+    assert got == {i: f"{expected_print(t):016x}" for i, t in enumerate(TEXTS)}
+
+
+def test_blank_texts_and_copies_are_groups(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string")
+    component = {r["id"]: r["component_id"] for r in near_groups(docs).collect()}
+    assert [component[i] for i in (0, 1, 2)] == [0, 0, 0]
+    assert component[4] == component[5] == 4
+    assert component[9] == component[10] == 9
+
+
+@pytest.mark.parametrize("max_bucket", [1, 8, 10**6])
+def test_links_connect_all_close_fingerprints(spark, max_bucket):
+    rng = random.Random(3)
+    points = set()
+    for base in [rng.getrandbits(64) for _ in range(3)]:
+        for _ in range(120):
+            point = base
+            for _ in range(rng.randint(0, 5)):
+                point ^= 1 << rng.randrange(64)
+            points.add(point)
+    table = spark.createDataFrame([(signed(p),) for p in points], "fp bigint")
+    links = near_links(table, max_bucket)
+    assert links.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > 2).count() == 0
+    groups = defaultdict(set)
+    for row in components(links).collect():
+        groups[row["root"]].add(row["vertex"] & (1 << 64) - 1)
+    assert sorted(sorted(g) for g in groups.values()) == expected_roots(points)
+
+
+def test_crowded_buckets_do_not_make_all_pairs(spark):
+    """Values that share their high half: the links grow with their number, not with its square."""
+    table = spark.range(6000).select((F.lit(7 << 32) + F.col("id") * 8).alias("fp"))
+    assert near_links(table, 64).count() < 6000 * 66
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    chain = [(i, i + 1) for i in range(300)]
+    star = [(1000, 1000 + i) for i in range(1, 200)] + [(1001, 1001)]
+    roots = {r["vertex"]: r["root"] for r in components(spark.createDataFrame(chain + star, "u bigint, v bigint")).collect()}
+    assert roots == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}}
+    assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_dedup_keeps_one_of_each_group_and_all_columns(spark):
+    rows = [
+        (5, "alpha beta gamma delta", "a", 1), (3, "alpha beta gamma delta", "b", 2), (9, "something else entirely now", "c", 3),
+        (7, None, None, 4), (8, "", "e", 5), (None, "only here without an id", "f", 6), (None, "alpha beta gamma delta", "g", 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kept_id string, fp bigint")
+    kept = near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["fp"] for r in kept.collect()) == [2, 3, 4, 6]
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    rows = [(1, "first text of this id", 1), (1, "second text of this id", 2), (1, "first text of this id", 3), (2, "second text of this id", 4)]
+    kept = near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string, n int")).collect()
+    assert sorted(r["text"] for r in kept) == ["first text of this id", "second text of this id"]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    assert near_groups(docs).count() == 0 and near_dedup(docs).count() == 0
