@@ -24,7 +24,9 @@ from pairloom.llm.tables import read_table
 K, S = 16, 4  # K is a multiple of S: a k-mer's hash is made of those of its parts
 ANCHORS = 48
 CHUNK = 1 << 19  # code points hashed at a time
-BLOCK_DOCS = 1 << 16
+BLOCK_BYTES = 1 << 25
+CUT_SAMPLE = 8
+ROWS = 512  # documents judged at a time
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -159,74 +161,87 @@ _RESULT = (
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of (block, guest, doc_id, text) in order; a guest only follows the last document of a block."""
+    """Rows of (block, guest, no_id, doc_id, text) in order; a guest only follows the last document of a block."""
     last = None  # block, guest, id, text, sketch
     for batch in batches:
-        texts = batch["text"].tolist()
-        ids = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-        rows = list(zip(batch["block"].tolist(), batch["guest"].tolist(), ids, texts, sketches(texts)))
-        pairs = [(x, y) for x, y in zip([last, *rows], rows) if x and x[0] == y[0] and not x[1]]
-        last = rows[-1] if rows else last
-        changed = [edited(x[3], y[3]) for x, y in pairs]
-        out = []
-        for (x, y), text, sketch in zip(pairs, changed, sketches(changed)):
-            digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append(
-                (x[2], len(x[3]), digest, as_text(x[4]), as_text(sketch), likeness(x[4], sketch), likeness(x[4], y[4]))
-            )
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
-
-
-def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+        for at in range(0, len(batch), ROWS):
+            part = batch.iloc[at : at + ROWS]
+            texts = part["text"].tolist()
+            ids = [None if missing else i for i, missing in zip(part["doc_id"].tolist(), part["no_id"])]
+            rows = list(zip(part["block"].tolist(), part["guest"].tolist(), ids, texts, sketches(texts)))
+            pairs = [(x, y) for x, y in zip([last, *rows], rows) if x and x[0] == y[0] and not x[1]]
+            last = rows[-1]
+            changed = [edited(x[3], y[3]) for x, y in pairs]
+            out = []
+            for (x, y), text, sketch in zip(pairs, changed, sketches(changed)):
+                digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+                alike = likeness(x[4], sketch), likeness(x[4], y[4])
+                out.append((x[2], len(x[3]), digest, as_text(x[4]), as_text(sketch), *alike))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")])
+            frame["doc_id"] = pd.array(frame["doc_id"], "Int64")
+            yield frame
+
+
+def _cuts(ids: DataFrame, n: int, n_blocks: int) -> np.ndarray:
+    """Ids that cut the rows into about ``n_blocks`` equal ranges, from a sample of ``CUT_SAMPLE`` ids for each."""
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) / F.lit(float(1 << 53))
+    sample = ids.where(~F.col("no_id") & (chance < CUT_SAMPLE * n_blocks / max(1, n))).toArrow()
+    known = np.sort(sample["doc_id"].to_numpy())
+    return np.unique(known[np.arange(1, n_blocks) * len(known) // n_blocks]) if len(known) else np.zeros(0, np.int64)
+
+
+def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how like they are to each other and to the next text's.
 
     The next document has the next larger integer id, that of the last is the
     first; rows with one id follow each other by text, null ids come first.
-    Null texts are empty. Texts are shuffled once, into ranges of ids; the
-    first document of a range is also sent to the range before it. The driver
-    holds two ids for each range, of ``block_docs`` documents or so.
+    Null texts are empty. Texts are shuffled once, into ranges of ids of about
+    ``block_bytes``; the first document of a range is also sent to the range
+    before it. The driver holds two ids and a sample of ids for each range.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = docs.count()
-    n_blocks = max(4 * spark.sparkContext.defaultParallelism, -(-n // block_docs))
-    shares = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 100 * n_blocks).alias("cuts")).first()["cuts"]
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    number = F.col(id_col).cast("bigint")
+    docs = docs.select(
+        F.coalesce(number, F.lit(0).cast("bigint")).alias("doc_id"), number.isNull().alias("no_id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n_blocks = max(4 * spark.sparkContext.defaultParallelism, -(-(size["bytes"] or 0) // block_bytes))
+    cuts = spark.sparkContext.broadcast(_cuts(docs.select("doc_id", "no_id"), size["n"], n_blocks))
 
     @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), np.int32)  # null ids come first
-        out[known] = np.searchsorted(cuts, ids[known].to_numpy().astype(np.int64), "right")
-        return pd.Series(out)
-
-    ids = docs.select("doc_id").distinct().withColumn("block", block_of("doc_id"))
-    heads = ids.groupBy("block").agg(
-        F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("has_null")
-    ).orderBy("block").collect()
-    # The block that each block's first id is a guest in: the one before, of the first block the last.
-    guest_in = {
-        (row["block"], None if row["has_null"] else row["least"]): heads[i - 1]["block"] for i, row in enumerate(heads)
-    }
-    null_guest = [b for (_, least), b in guest_in.items() if least is None]
-    starts = {least: b for (_, least), b in guest_in.items() if least is not None}
+    def block_of(ids: pd.Series, missing: pd.Series) -> pd.Series:
+        # Rows without an id come first.
+        return pd.Series(np.where(missing, 0, np.searchsorted(cuts.value, ids.to_numpy(), "right")).astype(np.int32))
+
+    ids = docs.select("doc_id", "no_id").distinct().withColumn("block", block_of("doc_id", "no_id"))
+    heads = ids.groupBy("block").agg(F.min(F.struct(~F.col("no_id"), "doc_id")).alias("head")).orderBy("block")
+    heads = heads.select("block", "head.*").toDF("block", "known", "doc_id").toArrow()  # a row for each range
+    known = heads["known"].to_numpy(zero_copy_only=False).astype(bool)
+    # The first document of a range is a guest in the range before, that of the first range in the last.
+    before = np.roll(heads["block"].to_numpy(), 1)
+    guests = spark.sparkContext.broadcast((heads["doc_id"].to_numpy()[known], before[known], before[~known]))
 
     @F.pandas_udf("int")
-    def visits(ids: pd.Series) -> pd.Series:
-        to = ids.map(starts).astype("Int32")
-        if null_guest:
-            to[ids.isna()] = null_guest[0]
-        return to
-
-    own = F.struct(block_of("doc_id").alias("block"), F.lit(False).alias("guest"))
-    other = F.struct(visits("doc_id").alias("block"), F.lit(True).alias("guest"))
-    placed = docs.select("doc_id", "text", own.alias("own"), other.alias("other"))
+    def visits(ids: pd.Series, missing: pd.Series) -> pd.Series:
+        first, to, without_id = guests.value
+        mine, none = ids.to_numpy(), missing.to_numpy()
+        out = pd.Series([None] * len(ids), dtype="Int32")
+        if len(first):
+            at = np.minimum(np.searchsorted(first, mine), len(first) - 1)
+            hit = (first[at] == mine) & ~none
+            out.iloc[np.flatnonzero(hit)] = to[at[hit]]
+        if len(without_id):
+            out.iloc[np.flatnonzero(none)] = without_id[0]
+        return out
+
+    own = F.struct(block_of("doc_id", "no_id").alias("block"), F.lit(False).alias("guest"))
+    other = F.struct(visits("doc_id", "no_id").alias("block"), F.lit(True).alias("guest"))
+    placed = docs.select("no_id", "doc_id", "text", own.alias("own"), other.alias("other"))
     both = F.filter(F.array("own", "other"), lambda p: p["block"].isNotNull())
-    placed = placed.select("doc_id", "text", F.explode(both).alias("to")).select("to.block", "to.guest", "doc_id", "text")
-    laid = placed.repartition(n_blocks, "block").sortWithinPartitions("block", "guest", "doc_id", "text")
+    placed = placed.select("no_id", "doc_id", "text", F.explode(both).alias("to"))
+    placed = placed.select("to.block", "to.guest", "no_id", "doc_id", "text")
+    laid = placed.repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", "guest", F.desc("no_id"), "doc_id", "text")
     return laid.mapInPandas(_judge, _RESULT)
 
 

@@ -1,0 +1,82 @@
+import hashlib
+import random
+
+import pytest
+
+from pairloom.llm import syncmers
+from pairloom.llm.syncmers import K, S, as_text, closed_syncmers, edited, fingerprint_neighbours, likeness, sketches
+
+
+def _texts(n, seed=1):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefgé𝄞h") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    return [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))) for _ in range(n)]
+
+
+def test_anchors_are_closed_syncmers():
+    """Chosen by the k-mer alone: the smallest hash of the inner s-mers is that of the first or last."""
+    text = _texts(1, 5)[0] * 3
+    at = set(closed_syncmers(text)[1].tolist())
+
+    def chosen(kmer):
+        return len(closed_syncmers(kmer)[1]) == 1
+
+    assert at == {i for i in range(len(text) - K + 1) if chosen(text[i : i + K])}
+    density = len(at) / (len(text) - K + 1)
+    assert 0.5 * 2 / (K - S + 1) < density < 2 * 2 / (K - S + 1)
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    texts = [*_texts(20), "", "short", "x" * 500]
+    whole = sketches(texts)
+    monkeypatch.setattr(syncmers, "CHUNK", 37)
+    assert sketches(texts) == whole
+
+
+def test_likeness():
+    a, b = _texts(2, 9)
+    x, y, e = sketches([a, b, ""])
+    assert likeness(x, x) == 1.0 and likeness(e, e) == 1.0 and likeness(x, e) == 0.0
+    assert likeness(x, y) < 0.1
+    shifted = sketches(["some words put before it " + a])[0]
+    assert likeness(x, shifted) > 0.8
+    assert all(len(as_text(s)) == 16 * len(s) for s in (x, y, e))
+
+
+def _expected(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    found = []
+    for (i, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
+        changed = edited(text or "", following or "")
+        found.append((i, len(text or ""), hashlib.sha256(changed.encode()).hexdigest()))
+    return sorted(found, key=str)
+
+
+CASES = {
+    "one": [(5, "only one document here")],
+    "nulls": [(3, None), (None, "without id"), (1, ""), (None, "again without"), (2, "a" * 100)],
+    "repeated": [(1, "b b b"), (1, "a a a"), (1, "a a a"), (2, "c"), (0, "d" * 9)],
+    "large ids": [(2**62 + i, f"text number {i} " * 5) for i in range(40)] + [(None, "x"), (-5, "below zero")],
+    "many": list(enumerate(_texts(200))),
+    "long": [(1, "long text " * 30000), (2, "short"), (3, "q" * 200000)],
+}
+
+
+@pytest.mark.parametrize("block_bytes", [64, 1 << 25])
+@pytest.mark.parametrize("case", CASES)
+def test_every_document_meets_the_next(spark, case, block_bytes):
+    docs = spark.createDataFrame(CASES[case], "doc_id bigint, text string").repartition(5)
+    got = fingerprint_neighbours(docs, block_bytes=max(block_bytes, 64 if case != "long" else 1 << 16)).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == _expected(CASES[case])
+
+
+def test_edited_texts_stay_half_alike(spark):
+    rows = list(enumerate([t for t in _texts(150, 3) if len(t) > 200]))
+    got = fingerprint_neighbours(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert all(0.2 < r["near_edited"] < 0.85 and r["near_next"] < 0.1 for r in got)
+    again = fingerprint_neighbours(spark.createDataFrame([(i + 7, t) for i, t in rows], "doc_id bigint, text string")).collect()
+    assert sorted(r["fingerprint"] for r in got) == sorted(r["fingerprint"] for r in again)
+
+
+def test_empty_table(spark):
+    assert fingerprint_neighbours(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
