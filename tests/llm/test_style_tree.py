@@ -1,0 +1,74 @@
+import pytest
+
+from pairloom.llm.style_tree import extract, main_text, node_importance, noisy_branches, parse
+
+NONE = frozenset()
+
+CASES = {
+    "article": ("<html><body><nav>menu</nav><article><h1>T</h1><p>a b</p></article><footer>f</footer></body></html>", "T\na b"),
+    "unclosed": ("<article><p><b>one<br><p>two <i>2</i><ul><li>x<li>y</ul>end", "one\ntwo 2\nx\ny\nend"),
+    "references": ("<p>a &amp;&lt;b&gt; &eacute;&#233;&#x1F600; &nbsp; c&copy</p>", "a &<b> éé😀 c©"),
+    "white space": ("<p> a \t\n b<b> c</b>d </p><p> </p>tail", "a b cd\ntail"),
+    "raw": ("<script>if (a<b) '</p>'</script><style>p{}</style><p>x</p><script>open <p>never", "x"),
+    "comment": ("<p>a<!-- <p>no</p> -->b</p><!-- open <p>no", "ab"),
+    "attributes": ("<p title='a>b' data-x=\"<p>\" hidden2 = c>x</p><p a=it's>y</p>", "x\ny"),
+    "adverts": ("<div class='ad'>buy</div><div class=\"page with-sidebar\"><article>x<div id=sidebar-2>no</div></article></div>", "x"),
+    "comments": ("<main><p>x</p><section id='comments'><article>reader</article></section><div class='commentList'>r</div></main>", "x"),
+    "notices": ("<div class='cookie-notice'>c</div><div role=alert>n</div><p style='display: none'>h</p><p>x</p>", "x"),
+    "forms": ("<p>a</p><form><label>l</label><p>q</p></form><p>b<button>no</button>c</p><aside>s</aside>", "a\nbc"),
+    "headers": ("<header><h1>site</h1></header><article><header><h1>title</h1></header>x</article>", "title\nx"),
+    "inline": ("<p>a<span>b</span> <a href=#>c</a></p>", "ab c"),
+    "tables": ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+    "only markup": ("<div><br></div>", ""), "empty": ("", ""), "null": (None, ""), "no markup": ("a < b\n c <3", "a < b c <3"),
+    "stray ends": ("</p>a</div></article>b</b>", "ab"),
+    "case": ("<ARTICLE><P>x</p></ArTiClE><P>y", "x"),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_main_text(case):
+    html, text = CASES[case]
+    assert main_text(html, NONE) == text
+
+
+def test_hostile_markup_takes_no_time():
+    for html in ("<a " * 20000, "<p " + "a=" * 20000, "<!--" * 20000, "<" * 50000, "<div>" * 5000 + "x", "<p a='" + "b " * 50000):
+        parse(html)
+
+
+def _pages(spark):
+    rows = []
+    for i in range(30):
+        body = f"<div class='x'><p>story number {i} goes {i * 7} here</p></div><div class='box'><span>Read us daily</span></div>"
+        rows.append((i, f"http://one.example/{i}", f"<html><body>{body}</body></html>"))
+    for i in range(30, 33):  # too few pages to judge
+        rows.append((i, f"http://two.example/{i}", "<body><div class='box'><span>Read us daily</span></div></body>"))
+    for i in range(40, 60):  # copies of one page count once
+        rows.append((i, f"http://three.example/{i}", "<body><div>the only page</div></body>"))
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string")
+
+
+def test_branches_that_are_alike_on_all_pages_go(spark):
+    got = {r["page_id"]: r["main_text"] for r in extract(_pages(spark)).collect()}
+    assert got[4] == "story number 4 goes 28 here"
+    assert got[31] == "Read us daily" and got[45] == "the only page"
+
+
+def test_importance(spark):
+    from pairloom.llm.url_templates import url_host
+
+    pages = _pages(spark)
+    table = node_importance(pages.select(url_host(pages["url"]).alias("host"), "html"))
+    got = {(r["host"], r["path"].split("\x1f")[-1]): (r["n_pages"], r["importance"]) for r in table.collect()}
+    assert got["one.example", "span"] == (30, pytest.approx(0.0))
+    assert got["one.example", "p"] == (30, pytest.approx(1.0))
+    assert got["three.example", "div"][0] == 1
+    assert {r["host"] for r in noisy_branches(table).collect()} == {"one.example"}
+
+
+def test_rows_and_columns_stay(spark):
+    rows = [(1, None, None, "n"), (1, None, None, "n"), (2, "no host", "<p>x", "m"), (3, "h://a/", "<p>" + "long text " * 100000, "o")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, noisy_paths string")
+    got = sorted((r["page_id"], r["noisy_paths"], len(r["main_text"])) for r in extract(pages).collect())
+    assert got == [(1, "n", 0), (1, "n", 0), (2, "m", 1), (3, "o", 999999)]
+    assert extract(pages.limit(0)).count() == 0
