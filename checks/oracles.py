@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from checks.views import DIRT
 from checks.queries import BPE_VOCAB, CHAR_VOCAB, FIRST_RUN, SECOND_RUN, TERMS, TURN_MAX_CHARS
 
 # White space spelled out: RE2's \s is ASCII only.
@@ -12,11 +13,11 @@ SPACE = (
 LINES = """
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
              generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-lines AS (SELECT a.doc_id * 100000 + a.i AS pair_id, a.line AS en, b.line AS vi
+lines AS (SELECT a.doc_id * 4294967296 + a.i AS pair_id, a.line AS en, b.line AS vi
           FROM l a JOIN l b ON b.doc_id = a.doc_id + 1 AND a.doc_id // 2 = b.doc_id // 2 AND a.i = b.i)"""
 
 TURNS = """
-turns AS (SELECT u.conv_id * 1000 + u.turn AS pair_id, u.text AS en, a.text AS vi
+turns AS (SELECT u.conv_id * 4294967296 + u.turn AS pair_id, u.text AS en, a.text AS vi
           FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
           WHERE u.role = 'user' AND a.role = 'assistant')"""
 
@@ -27,7 +28,7 @@ log AS (SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY day) AS IN
 BEST = METRICS + """,
 b AS (SELECT *, min(val_loss) OVER (PARTITION BY run ORDER BY epoch
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_best FROM log),
-best AS (SELECT *, coalesce(val_loss < earlier_best, true) AS improved FROM b)"""
+best AS (SELECT *, val_loss < coalesce(earlier_best, 'infinity'::DOUBLE) AS improved FROM b)"""
 
 WAITED = BEST + """,
 waited AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END)
@@ -36,7 +37,7 @@ waited AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END)
 
 def scored(nth: int, name: str = "scored") -> str:
     return f"""
-{name} AS (SELECT doc_id * 100000 + i AS sample_id, line AS source, line AS reference,
+{name} AS (SELECT doc_id * 4294967296 + i AS sample_id, line AS source, line AS reference,
                   array_to_string(list_filter(string_split(line, ' '), lambda w, k: k % {nth} <> 0), ' ') AS translation
            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                         generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
@@ -54,6 +55,12 @@ def cleaned(column: str) -> str:
 DEDUP = "(SELECT min(pair_id) AS pair_id, en, vi FROM {} GROUP BY en, vi)"
 
 
+def dirtied(column: str) -> str:
+    for plain, dirt in DIRT:
+        column = f"replace({column}, '{plain}', '{dirt}')"
+    return column
+
+
 def measured(source: str) -> str:
     return f"""
 c AS (SELECT pair_id, {cleaned("en")} AS en_normalized, {cleaned("vi")} AS vi_normalized FROM {source}),
@@ -86,12 +93,35 @@ KEPT = f"WITH {LINES}, {measured(DEDUP.format('lines'))}, {kept()}"
 MEASURED = f"WITH {LINES}, {measured('lines')}"
 MEASURED_TURNS = f"WITH {TURNS}, {measured('turns')}"
 
+TEXT_HASH = "md5('42|' || en || '|' || vi)"
+TEXT_SPLIT = SPLIT.replace(HASH, TEXT_HASH)
+# Distinct pairs of both files, as reading gives them.
+PREPARED = f"""{LINES}, {TURNS},
+fields AS (SELECT string_split(regexp_replace(regexp_replace(en || chr(9) || vi, '^{SPACE}', ''), '{SPACE}$', ''), chr(9)) AS p
+           FROM lines),
+raw AS (SELECT row_number() OVER () AS pair_id, en, vi FROM (
+          SELECT en, vi FROM turns UNION SELECT p[1], p[2] FROM fields WHERE len(p) >= 2)),
+{measured("raw")}, {kept()}"""
+
+# NaN as null: neither improves, nor counts as an earlier loss.
+RAGGED = (
+    METRICS.replace("log AS (", "full_log AS (")
+    + f""",
+log AS (SELECT run, epoch, val_loss / 2 AS train_loss, CASE WHEN epoch > 1 THEN val_loss END AS val_loss FROM full_log
+        WHERE run <> '{SECOND_RUN}' OR epoch <= 20),
+b AS (SELECT *, min(val_loss) OVER (PARTITION BY run ORDER BY epoch
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier_best FROM log),
+best AS (SELECT *, coalesce(val_loss < coalesce(earlier_best, 'infinity'::DOUBLE), false) AS improved FROM b),
+waited AS (SELECT *, epoch - coalesce(max(CASE WHEN improved THEN epoch END)
+                       OVER (PARTITION BY run ORDER BY epoch), 0) AS waited FROM best)"""
+)
+
 # The data holds neither controls nor compatibility forms, so the rule for
 # subwords only has to squeeze.
 WORDS = f"""
-{LINES}, {measured("lines")},
+{LINES}, {measured("lines")}, every AS (SELECT {cleaned("line")} AS text FROM l),
 words AS (SELECT '▁' || w AS word, count(*) AS freq
-          FROM (SELECT unnest(string_split(en_normalized, ' ')) AS w FROM measured WHERE en_normalized <> '') GROUP BY 1),
+          FROM (SELECT unnest(string_split(text, ' ')) AS w FROM every WHERE text <> '') GROUP BY 1),
 chars AS (SELECT piece, CAST(sum(freq) AS BIGINT) AS freq
           FROM (SELECT unnest(string_split(word, '')) AS piece, freq FROM words) WHERE piece <> '' GROUP BY 1)"""
 
@@ -201,7 +231,7 @@ steps AS (
       SELECT unnest(p[1:-2]) AS l, unnest(p[2:-1]) AS r, freq
       FROM (SELECT string_split(sym[2:-2], chr(2) || chr(1)) AS p, freq FROM steps) WHERE len(p) > 1)
     GROUP BY 1, 2 ORDER BY cnt DESC, l, r LIMIT 1) b
-  WHERE s.step < (SELECT n FROM wanted) AND b.cnt >= 2)
+  WHERE s.step < (SELECT n FROM wanted) AND b.cnt >= 1)
 SELECT CAST(step - 1 AS INT) AS rank, any_value(l) AS l, any_value(r) AS r, any_value(cnt) AS freq
 FROM steps WHERE step > 0 GROUP BY step"""
 
@@ -210,10 +240,10 @@ ORACLES: dict[str, str] = {
         SELECT min(pair_id) AS pair_id, en, vi FROM (SELECT * FROM lines UNION ALL SELECT * FROM turns) GROUP BY en, vi""",
     "union_missing_columns": f"""WITH {LINES}, {TURNS}
         SELECT pair_id, en, vi, 'talk' AS topic FROM turns UNION ALL SELECT pair_id, en, vi, NULL FROM lines""",
-    "nfc_text": f"WITH {LINES} SELECT pair_id, nfc_normalize(en) AS en, nfc_normalize(vi) AS vi FROM lines",
-    "squeeze_text": f"WITH {TURNS} SELECT pair_id, {squeezed('en')} AS en, {squeezed('vi')} AS vi FROM turns",
+    "nfc_text": f"WITH {LINES} SELECT pair_id, nfc_normalize({dirtied('en')}) AS en, nfc_normalize({dirtied('vi')}) AS vi FROM lines",
+    "squeeze_text": f"WITH {TURNS} SELECT pair_id, {squeezed(dirtied('en'))} AS en, {squeezed(dirtied('vi'))} AS vi FROM turns",
     "clean_text_pairs": f"""WITH {LINES}, {TURNS}, both_views AS (SELECT * FROM lines UNION ALL SELECT * FROM turns)
-        SELECT pair_id, {cleaned("en")} AS en_normalized, {cleaned("vi")} AS vi_normalized
+        SELECT pair_id, {cleaned(dirtied("en"))} AS en_normalized, {cleaned(dirtied("vi"))} AS vi_normalized
         FROM {DEDUP.format("both_views")}""",
     "protect_terms_exact": f"""WITH {LINES},
         w AS (SELECT pair_id, {protected(cleaned("vi"))} AS t FROM lines),
@@ -221,7 +251,7 @@ ORACLES: dict[str, str] = {
                          regexp_extract_all(t, '__(.+?)__', 1) AS inside FROM w)
         SELECT pair_id, array_to_string(list_transform(outside, lambda p, k:
                    p || coalesce(replace(inside[k], '_', ' '), '')), '') AS vi_normalized FROM parts""",
-    "protect_terms_safe": f"WITH {LINES} SELECT pair_id, {cleaned('vi')} AS vi_normalized FROM lines",
+    "protect_terms_safe": f"WITH {LINES} SELECT pair_id, {cleaned(dirtied('vi'))} AS vi_normalized FROM lines",
     "measure_pairs": f"""{MEASURED}
         SELECT pair_id, en_length, vi_length, length_ratio FROM measured""",
     "filter_pairs": f"""{KEPT} SELECT pair_id, en_normalized, vi_normalized, en_length, vi_length,
@@ -242,13 +272,16 @@ ORACLES: dict[str, str] = {
     "rank_in_order": f"""WITH {LINES}
         SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS rank, count(*) OVER () AS n_total FROM lines""",
     "orient_pairs": f"{MEASURED} SELECT pair_id, vi_normalized AS src, en_normalized AS tgt FROM measured",
-    "subword_text": f"WITH {LINES} SELECT pair_id, {squeezed('en')} AS text FROM lines",
+    # Normalising takes the dirt back.
+    "subword_text": f"WITH {LINES} SELECT doc_id * 4294967296 + i AS line_id, {squeezed('line')} AS text FROM l",
     "word_counts": f"WITH {WORDS} SELECT word, freq FROM words",
-    "user_symbol_counts": f"""{MEASURED}
+    "user_symbol_counts": f"""WITH {WORDS}
         SELECT symbol, count(*) AS freq FROM (
-          SELECT unnest(regexp_extract_all('▁' || replace(vi_normalized, ' ', '▁'),
+          SELECT unnest(regexp_extract_all('▁' || replace(text, ' ', '▁'),
             '{"|".join(t.replace(" ", "▁") for t in sorted(TERMS, key=lambda t: (-len(t), t)))}')) AS symbol
-          FROM measured WHERE vi_normalized <> '') GROUP BY 1""",
+          FROM every WHERE text <> '') GROUP BY 1""",
+    "forged_specials": f"""WITH {LINES}
+        SELECT doc_id * 4294967296 + i AS line_id, {squeezed("'<s> a<s>b ' || line || ' </s> </s>b <pad><unk>'")} AS text FROM l""",
     "pair_counts": f"""WITH {WORDS}
         SELECT l, r, CAST(sum(freq) AS BIGINT) AS freq FROM (
           SELECT unnest(p[1:-2]) AS l, unnest(p[2:-1]) AS r, freq
@@ -340,7 +373,26 @@ ORACLES: dict[str, str] = {
         SELECT p[1] AS en, p[2] AS vi FROM p WHERE len(p) >= 2""",
     "csv_round_trip": f"WITH {TURNS} SELECT en, vi, 'talk' AS topic FROM turns",
     "splits_round_trip": f"""WITH {LINES}, unique_lines AS {DEDUP.format("lines")}, {measured("unique_lines")}, {kept()}
-        SELECT pair_id, en, vi_normalized, length_ratio FROM kept JOIN unique_lines USING (pair_id) WHERE {SPLIT} = 'test'""",
+        SELECT pair_id, en, vi_normalized, length_ratio, {SPLIT} AS split FROM kept JOIN unique_lines USING (pair_id)""",
+    "prepare_counts": f"""WITH {PREPARED},
+        reasons AS (SELECT {reason()} AS stage FROM measured
+                    UNION ALL SELECT {TEXT_SPLIT} FROM kept JOIN raw USING (pair_id))
+        SELECT stage, count(r.stage) AS n_rows
+        FROM (SELECT unnest(['missing_text', 'en_short', 'en_long', 'vi_short', 'vi_long', 'ratio_undefined', 'ratio_high',
+                             'ratio_low', 'kept', 'train', 'val', 'test']) AS stage) LEFT JOIN reasons r USING (stage) GROUP BY stage""",
+    "prepare_splits": f"""WITH {PREPARED}
+        SELECT en, vi, vi_normalized, length_ratio, {TEXT_SPLIT} AS split FROM kept JOIN raw USING (pair_id)""",
+    "ragged_patience": f"""WITH {RAGGED} SELECT run, epoch, earlier_best, improved, waited FROM waited""",
+    "ragged_early_stop": f"""WITH {RAGGED},
+        s AS (SELECT *, min(CASE WHEN waited >= 5 THEN epoch END) OVER (PARTITION BY run) AS stop_epoch FROM waited)
+        SELECT run, max(stop_epoch) AS stop_epoch, max(CASE WHEN improved THEN epoch END) AS best_epoch,
+               min(val_loss) AS best_val_loss FROM s WHERE epoch <= coalesce(stop_epoch, epoch) GROUP BY run""",
+    "ragged_epochs": f"""WITH {RAGGED}
+        SELECT epoch, a.train_loss AS {FIRST_RUN}_train_loss, a.val_loss AS {FIRST_RUN}_val_loss,
+               b.train_loss AS {SECOND_RUN}_train_loss, b.val_loss AS {SECOND_RUN}_val_loss
+        FROM (SELECT * FROM log WHERE run = '{FIRST_RUN}' AND epoch > 1) a
+        FULL JOIN (SELECT * FROM log WHERE run = '{SECOND_RUN}' AND epoch > 1) b USING (epoch)""",
+    "verdict_without_a_run": f"SELECT unnest(['{FIRST_RUN}', '{SECOND_RUN}', NULL]) AS winner FROM (SELECT count(*) FROM events)",
     "vocab_round_trip": f"""WITH {ENCODED}
         SELECT 'en' AS lang, CAST(id AS INT) AS id, piece, freq, 'char' AS kind FROM vocab JOIN chars USING (piece)
         UNION ALL SELECT 'en', CAST(k - 1 AS INT), names[k], 0, 'special'

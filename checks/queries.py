@@ -21,6 +21,8 @@ from pairloom.operators import (
     split,
     subword,
 )
+from pairloom.config import PipelineConfig
+from pairloom.plans import prepare
 from pairloom.sources import tables
 from pairloom.sources.pairs import read_pairs_csv, read_pairs_tsv
 from pairloom.workspace import new_path
@@ -69,19 +71,24 @@ def union_missing_columns(spark, sf_dir):
     return pairs.union_sources(turns, views.bitext_lines(spark, sf_dir))
 
 
+def _dirty(pairs_: DataFrame) -> DataFrame:
+    return pairs_.withColumns({side: views.dirtied(F.col(side)) for side in ("en", "vi")})
+
+
 def nfc_text(spark, sf_dir):
-    lines = views.bitext_lines(spark, sf_dir)
+    lines = _dirty(views.bitext_lines(spark, sf_dir))
     return lines.select("pair_id", nfc(F.col("en")).alias("en"), nfc(F.col("vi")).alias("vi"))
 
 
 def squeeze_text(spark, sf_dir):
-    return views.bitext_turns(spark, sf_dir).select(
+    return _dirty(views.bitext_turns(spark, sf_dir)).select(
         "pair_id", squeeze(F.col("en")).alias("en"), squeeze(F.col("vi")).alias("vi")
     )
 
 
 def clean_text_pairs(spark, sf_dir):
-    return pairs.clean_pairs(union_dedup_pairs(spark, sf_dir)).select("pair_id", "en_normalized", "vi_normalized")
+    unique = _dirty(union_dedup_pairs(spark, sf_dir))
+    return pairs.clean_pairs(unique).select("pair_id", "en_normalized", "vi_normalized")
 
 
 def protect_terms_exact(spark, sf_dir):
@@ -90,7 +97,7 @@ def protect_terms_exact(spark, sf_dir):
 
 
 def protect_terms_safe(spark, sf_dir):
-    return views.bitext_lines(spark, sf_dir).select(
+    return _dirty(views.bitext_lines(spark, sf_dir)).select(
         "pair_id", clean(F.col("vi"), is_target=True, terms=TERMS).alias("vi_normalized")
     )
 
@@ -146,11 +153,14 @@ def orient_pairs(spark, sf_dir):
 
 
 def subword_text(spark, sf_dir):
-    return views.bitext_lines(spark, sf_dir).select("pair_id", subword_normalize(F.col("en")).alias("text"))
+    lines = views.document_lines(spark, sf_dir)
+    return lines.select("line_id", subword_normalize(views.dirtied(F.col("text"))).alias("text"))
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subword.word_counts(_cleaned(spark, sf_dir), "en_normalized")
+def _words(spark: SparkSession, sf_dir: str, terms=()) -> DataFrame:
+    """Words of all lines of all documents."""
+    lines = views.document_lines(spark, sf_dir).select(clean(F.col("text")).alias("text"))
+    return subword.word_counts(lines, "text", terms)
 
 
 def word_counts(spark, sf_dir):
@@ -158,9 +168,9 @@ def word_counts(spark, sf_dir):
 
 
 def user_symbol_counts(spark, sf_dir):
-    units = subword.word_counts(_cleaned(spark, sf_dir), "vi_normalized", TERMS)
+    units = _words(spark, sf_dir, TERMS)
     user = F.startswith("word", F.lit(subword.USER))
-    return units.where(user).select(F.substring("word", 2, 1000).alias("symbol"), "freq")
+    return units.where(user).select(F.substr("word", F.lit(2)).alias("symbol"), "freq")
 
 
 def pair_counts(spark, sf_dir):
@@ -208,6 +218,15 @@ def encode_words(spark, sf_dir):
     )
 
 
+def forged_specials(spark, sf_dir):
+    """Text that reads like special pieces comes back as text."""
+    text = F.concat(F.lit("<s> a<s>b "), F.col("text"), F.lit(" </s> </s>b <pad><unk>"))
+    lines = views.document_lines(spark, sf_dir).select("line_id", text.alias("text"))
+    model = encode.load_model(*subword.learn_bpe(subword.word_counts(lines, "text"), BPE_VOCAB), "en")
+    ids = lines.withColumn("ids", encode.encode_text(F.col("text"), model))
+    return ids.select("line_id", encode.decode_ids(F.col("ids"), model).alias("text"))
+
+
 def segment_words(spark, sf_dir):
     """Ids by join: distinct words cut into pieces, pieces looked up in the vocabulary."""
     words = _words(spark, sf_dir)
@@ -315,6 +334,26 @@ def run_summary(spark, sf_dir):
     return runs.run_summary(views.run_metrics(spark, sf_dir))
 
 
+def ragged_patience(spark, sf_dir):
+    log = views.ragged_metrics(spark, sf_dir, SECOND_RUN)
+    return runs.patience_counter(log).select("run", "epoch", "earlier_best", "improved", "waited")
+
+
+def ragged_early_stop(spark, sf_dir):
+    return runs.early_stop_epoch(views.ragged_metrics(spark, sf_dir, SECOND_RUN))
+
+
+def ragged_epochs(spark, sf_dir):
+    log = views.ragged_metrics(spark, sf_dir, SECOND_RUN).where("epoch > 1")
+    return runs.compare_epochs(log, FIRST_RUN, SECOND_RUN, ("train_loss", "val_loss"))
+
+
+def verdict_without_a_run(spark, sf_dir):
+    log = views.ragged_metrics(spark, sf_dir, SECOND_RUN)
+    verdicts = [runs.verdict_by_loss(log, *two) for two in ((FIRST_RUN, "absent"), ("absent", SECOND_RUN), ("no", "absent"))]
+    return verdicts[0].unionByName(verdicts[1]).unionByName(verdicts[2])
+
+
 def compare_epochs(spark, sf_dir):
     return runs.compare_epochs(views.run_metrics(spark, sf_dir), FIRST_RUN, SECOND_RUN)
 
@@ -374,10 +413,34 @@ def csv_round_trip(spark, sf_dir):
     return read_pairs_csv(spark, path).select("en", "vi", "topic")
 
 
+def _pair_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Conversations as a CSV file, lines of documents as a tab-separated one."""
+    csv, tsv = new_path(spark, "pairs-csv"), new_path(spark, "pairs-tsv")
+    tables.write_csv(views.bitext_turns(spark, sf_dir).select("en", "vi"), csv)
+    lines = views.bitext_lines(spark, sf_dir)
+    tables.write_corpus_text(lines.withColumn("line", F.concat_ws("\t", "en", "vi")), "line", tsv)
+    return csv, tsv
+
+
+def prepare_counts(spark, sf_dir):
+    """The whole preparation: rows per reason and per split."""
+    config = PipelineConfig(vocab_size=BPE_VOCAB)
+    return prepare.process(spark, *_pair_files(spark, sf_dir), new_path(spark, "prepared"), config)
+
+
+def prepare_splits(spark, sf_dir):
+    """The split of every pair that the preparation keeps."""
+    out = new_path(spark, "prepared")
+    prepare.prepare_pairs(prepare.load_pairs(spark, *_pair_files(spark, sf_dir)), out)
+    return tables.read_splits(spark, out + "/splits").select("en", "vi", "vi_normalized", "length_ratio", "split")
+
+
 def splits_round_trip(spark, sf_dir):
     path = new_path(spark, "splits")
     tables.write_splits(split.split_pairs(_kept(spark, sf_dir)), path)
-    return tables.read_splits(spark, path, "test").select("pair_id", "en", "vi_normalized", "length_ratio")
+    parts = [tables.read_splits(spark, path, split) for split in ("train", "val", "test")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("pair_id", "en", "vi_normalized", "length_ratio", "split")
 
 
 def vocab_round_trip(spark, sf_dir):
@@ -411,7 +474,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokens_13a, bleu_ngrams, bleu_corpus, epoch_mean, best_so_far, patience, early_stop,
         run_summary, compare_epochs, verdict_by_loss, verdict_by_bleu, compare_translations,
         head_translations, translate_batches, evaluate_run_score, evaluate_run_examples,
-        tsv_round_trip, csv_round_trip, splits_round_trip, vocab_round_trip, epoch_comparison_file,
+        forged_specials, ragged_patience, ragged_early_stop, ragged_epochs, verdict_without_a_run,
+        prepare_counts, prepare_splits, tsv_round_trip, csv_round_trip, splits_round_trip, vocab_round_trip, epoch_comparison_file,
         translation_comparison_file,
     )
 }

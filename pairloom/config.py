@@ -18,6 +18,7 @@ class PipelineConfig:
     max_chars: int = 100
     length_ratio: float = 2.5
     vocab_size: int = 8000
+    min_pair_freq: int = 1  # rarer pairs are not merged, even if the vocabulary stays short
     held_out: float = 0.2
     seed: int = 42
     batch_size: int = 32

@@ -149,3 +149,30 @@ def tokenize_13a(text: Column) -> Column:
     text = F.regexp_replace(text, r"([.,])([^0-9])", " $1 $2")
     text = F.regexp_replace(text, r"([0-9])(-)", "$1 $2 ")
     return F.array_remove(F.split(text, _SPACE_RUN), "")
+
+
+def tokenizer_13a():
+    """The same rules as a function from a text to a list, for work that is done in Python anyway.
+
+    A closure over compiled patterns, so that it travels with a task.
+    """
+    import re
+
+    marks = re.compile(r"([!\"#$%&()*+/:;<=>?@\[\\\]^_`{|}~])")
+    before, after = re.compile(r"([^0-9])([.,])"), re.compile(r"([.,])([^0-9])")
+    dash, entities = re.compile(r"([0-9])(-)"), (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+    spaces = _SPACES
+
+    def tokenize(text: str) -> list[str]:
+        text = text.rstrip(spaces).replace("<skipped>", "").replace("-\n", "")
+        if "&" in text:
+            for entity, char in entities:
+                text = text.replace(entity, char)
+        text = marks.sub(r" \1 ", f" {text} ")
+        if "." in text or "," in text:
+            text = after.sub(r" \1 \2", before.sub(r"\1 \2 ", text))
+        if "-" in text:
+            text = dash.sub(r"\1 \2 ", text)
+        return text.split()
+
+    return tokenize

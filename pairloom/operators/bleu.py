@@ -2,77 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import tokenize_13a
+from pairloom.functions.text import tokenizer_13a
 
 ORDERS = (1, 2, 3, 4)
+_PARTS = [f"{part}{n}" for part in "mtr" for n in ORDERS]
 
 
-def ngram_matches(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Per sample, order and gram: occurrences in translation and reference.
+def gram_counts(translation: Column, reference: Column) -> Column:
+    """Per row a struct of m1..m4, t1..t4, r1..r4: clipped matches, and grams of translation and reference.
 
-    Rows move once, as text, to the partition of their sample; the grams made
-    there are already where they are counted.
+    A sample is one row, so nothing is moved and no key is needed. A null text
+    has no grams.
     """
-    placed = df.repartition(F.col(key)).select(
-        key,
-        tokenize_13a(F.col("translation")).alias("hyp"),
-        tokenize_13a(F.col("reference")).alias("ref"),
-    )
-    sides = placed.select(
-        key,
-        F.inline(
-            F.array(
-                F.struct(F.lit(1).alias("is_hyp"), F.col("hyp").alias("g1")),
-                F.struct(F.lit(0).alias("is_hyp"), F.col("ref").alias("g1")),
-            )
-        ),
-    )
-    # Grams of order n extend those of order n-1; tokens hold no blanks, so a blank joins them.
-    for n in ORDERS[1:]:
-        starts = F.slice(f"g{n - 1}", F.lit(1), F.greatest(F.size(f"g{n - 1}") - 1, F.lit(0)))
-        ends = F.slice("g1", F.lit(n), F.size("g1"))
-        sides = sides.withColumn(f"g{n}", F.zip_with(starts, ends, lambda start, end: F.concat(start, F.lit(" "), end)))
-    by_order = sides.select(
-        key, "is_hyp", F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("g")) for n in ORDERS]))
-    )
-    grams = by_order.select(key, "is_hyp", "n", F.explode("g").alias("gram"))
-    return grams.groupBy(key, "n", "gram").agg(
-        F.sum("is_hyp").alias("hyp_count"), F.sum(1 - F.col("is_hyp")).alias("ref_count")
-    )
+    tokenize, orders, names = tokenizer_13a(), ORDERS, _PARTS
+
+    def count(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        from collections import Counter
+
+        for translations, references in pairs:
+            columns = [[] for _ in names]
+            for hyp, ref in zip(translations.to_pylist(), references.to_pylist()):
+                hyp, ref = tokenize(hyp or ""), tokenize(ref or "")
+                for i, n in enumerate(orders):
+                    there = Counter(zip(*(ref[k:] for k in range(n))))
+                    matches = 0
+                    for gram in zip(*(hyp[k:] for k in range(n))):
+                        left = there.get(gram)
+                        if left:
+                            there[gram] = left - 1
+                            matches += 1
+                    row = matches, max(0, len(hyp) - n + 1), max(0, len(ref) - n + 1)
+                    for part, value in enumerate(row):
+                        columns[part * len(orders) + i].append(value)
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
+    kind = ", ".join(f"{name} bigint" for name in _PARTS)
+    return F.arrow_udf(count, f"struct<{kind.replace(' bigint', ':bigint')}>")(translation, reference)
 
-def ngram_totals(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Per order: clipped matches, and grams in all translations and references."""
-    return (
-        ngram_matches(df, key)
-        .groupBy("n")
-        .agg(
-            F.sum(F.least("hyp_count", "ref_count")).alias("matches"),
-            F.sum("hyp_count").alias("hyp_total"),
-            F.sum("ref_count").alias("ref_total"),
+
+def _summed(df: DataFrame) -> DataFrame:
+    """One row: m1..m4, t1..t4, r1..r4 of all rows, zeros for no rows."""
+    counted = df.select(gram_counts(F.col("translation"), F.col("reference")).alias("c"))
+    return counted.agg(*[F.coalesce(F.sum(f"c.{name}"), F.lit(0)).alias(name) for name in _PARTS])
+
+
+def ngram_totals(df: DataFrame) -> DataFrame:
+    """Four rows, one per order: clipped matches, and grams in all translations and references."""
+    rows = [
+        F.struct(
+            F.lit(n).alias("n"), F.col(f"m{n}").alias("matches"), F.col(f"t{n}").alias("hyp_total"), F.col(f"r{n}").alias("ref_total")
         )
-    )
+        for n in ORDERS
+    ]
+    return _summed(df).select(F.inline(F.array(*rows)))
 
 
-def corpus_bleu(df: DataFrame, key: str = "sample_id") -> DataFrame:
+def corpus_bleu(df: DataFrame) -> DataFrame:
     """One row: the BLEU score of ``translation`` against ``reference`` and its parts.
 
     Order 4, one reference, case kept, exponential smoothing: the k-th order
     without a match counts as 1/2^k matches.
     """
-    per_order = ngram_totals(df, key)
-
-    def of(column: str, n: int) -> Column:
-        return F.coalesce(F.max(F.when(F.col("n") == n, F.col(column))), F.lit(0))
-
-    wide = per_order.agg(
-        *[of("matches", n).alias(f"m{n}") for n in ORDERS],
-        *[of("hyp_total", n).alias(f"t{n}") for n in ORDERS],
-        of("ref_total", 1).alias("ref_length"),
-    )
+    wide = _summed(df).withColumnRenamed("r1", "ref_length")
     precisions, misses = [], F.lit(0)
     for n in ORDERS:
         match, total = F.col(f"m{n}"), F.col(f"t{n}")

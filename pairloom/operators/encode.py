@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections import OrderedDict
@@ -12,14 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.config import UNK
+from pairloom.config import SPECIAL_PIECES, UNK
 from pairloom.functions.ids import cut_at_eos, drop_special_ids, pieces_to_text, wrap_truncate
 from pairloom.functions.text import subword_normalize
 from pairloom.operators.segment import merger
 from pairloom.operators.subword import BLANK, USER, symbol_pattern
 
-# A vocabulary larger than this is refused rather than shipped to every task.
-MAX_PIECES = 1_000_000
 # Distinct words one task remembers; the longest known leave first.
 _CACHED_WORDS = 1 << 18
 
@@ -34,15 +33,14 @@ class SubwordModel:
 
 
 def load_model(vocab: DataFrame, merges: DataFrame, lang: str) -> SubwordModel:
-    """The model of one language from the vocabulary tables."""
-    rows = vocab.where(F.col("lang") == lang).orderBy("id").limit(MAX_PIECES + 1).collect()
-    if len(rows) > MAX_PIECES:
-        raise ValueError(f"the vocabulary of {lang} exceeds {MAX_PIECES} pieces")
+    """The model of one language from the vocabulary tables, which have the size asked for when learning.
+
+    ``lookup_ids`` and ``lookup_pieces`` need no model: they join the tables.
+    """
+    rows = vocab.where(F.col("lang") == lang).orderBy("id").collect()
     if [r.id for r in rows] != list(range(len(rows))):
         raise ValueError(f"the ids of {lang} are not 0..{len(rows) - 1}")
-    ranked = merges.where(F.col("lang") == lang).orderBy("rank").limit(MAX_PIECES + 1).collect()
-    if len(ranked) > MAX_PIECES:
-        raise ValueError(f"more than {MAX_PIECES} merges of {lang}")
+    ranked = merges.where(F.col("lang") == lang).orderBy("rank").collect()
     return SubwordModel(
         tuple(r.piece for r in rows),
         tuple((r.l, r.r) for r in ranked),
@@ -63,25 +61,25 @@ def segment_words(words: DataFrame, model: SubwordModel) -> DataFrame:
 
 
 def lookup_ids(pieces: DataFrame, vocab: DataFrame, lang: str) -> DataFrame:
-    """Adds ``id`` to a table with a ``piece`` column; a piece not in the vocabulary gets the unknown id."""
-    ids = vocab.where(F.col("lang") == lang).select("piece", "id")
-    if ids.limit(MAX_PIECES + 1).count() <= MAX_PIECES:
-        ids = F.broadcast(ids)
+    """Adds ``id`` to a table with a ``piece`` column; a piece not in the vocabulary gets the unknown id.
+
+    Text never gets the id of a special piece, even if it reads like one.
+    """
+    ids = vocab.where((F.col("lang") == lang) & (F.col("kind") != "special")).select("piece", "id")
     return pieces.join(ids, "piece", "left").withColumn("id", F.coalesce("id", F.lit(UNK)))
 
 
 def lookup_pieces(ids: DataFrame, vocab: DataFrame, lang: str) -> DataFrame:
     """Adds ``piece`` to a table with an ``id`` column."""
     pieces = vocab.where(F.col("lang") == lang).select("id", "piece")
-    if pieces.limit(MAX_PIECES + 1).count() <= MAX_PIECES:
-        pieces = F.broadcast(pieces)
     return ids.join(pieces, "id", "left")
 
 
 def _encoder(model: SubwordModel):
     """An Arrow UDF from normalised text to ids, cutting text where ``word_units`` does."""
     merge = merger(model.merges)
-    ids = {piece: i for i, piece in reversed(list(enumerate(model.pieces)))}
+    special = len(SPECIAL_PIECES)  # their ids never come from text
+    ids = {piece: i for i, piece in enumerate(model.pieces[special:], special)}
     symbols = symbol_pattern(model.user_symbols)
     blank, unk, limit = BLANK, UNK, _CACHED_WORDS
     seen: OrderedDict[str, array] = OrderedDict()
@@ -143,7 +141,7 @@ def encode_pairs(df: DataFrame, src_model: SubwordModel, tgt_model: SubwordModel
 
 def ids_to_pieces(ids: Column, model: SubwordModel) -> Column:
     """Pieces of ids, read from one constant array."""
-    table = F.split(F.lit("\n".join(model.pieces)), "\n", -1)
+    table = F.from_json(F.lit(json.dumps(model.pieces)), "array<string>")  # folded to a literal
     return F.transform(ids, lambda i: F.get(table, i))
 
 

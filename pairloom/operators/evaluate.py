@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.bleu import corpus_bleu
 from pairloom.operators.runs import pick_examples
+from pairloom.workspace import materialize
 
 Translator = Callable[[list[str]], list[str]]
 
@@ -56,6 +57,13 @@ def translate_batches(
 
 
 def evaluate_run(sample: DataFrame, make_translator: Callable[[], Translator]) -> tuple[DataFrame, DataFrame]:
-    """BLEU of a translator on a sample with ``source`` and ``reference``, and some examples."""
-    translated = translate_batches(sample, make_translator)
+    """BLEU of a translator on a sample with ``source`` and ``reference``, and some examples.
+
+    Batches are spread over tasks, translated once and written, so that the
+    examples are those that were scored. The number of tasks is named, or the
+    few rows of a sample would be put together again.
+    """
+    parts = sample.sparkSession.sparkContext.defaultParallelism
+    spread = sample.repartition(parts, "batch_id")
+    translated = materialize(translate_batches(spread, make_translator), "translated")
     return corpus_bleu(translated), pick_examples(translated)

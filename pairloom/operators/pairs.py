@@ -26,6 +26,17 @@ def dedup_pairs(df: DataFrame, id_column: str = "pair_id") -> DataFrame:
     return df.groupBy(*raw).agg(F.min(id_column).alias(id_column)).select(*df.columns)
 
 
+def content_key(df: DataFrame, id_column: str = "pair_id") -> DataFrame:
+    """Adds ``pair_key``, a digest of all raw columns but the id, in order of their names.
+
+    Unlike an id given while reading it does not depend on how files are cut
+    into tasks; after ``dedup_pairs`` it is unique.
+    """
+    raw = sorted(c for c in df.columns if c != id_column)
+    row = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in raw]), {"ignoreNullFields": "false"})
+    return df.withColumn("pair_key", F.md5(row))
+
+
 def clean_pairs(
     df: DataFrame, terms: Sequence[str] = VIETNAMESE_TERMS, term_mode: str = "safe"
 ) -> DataFrame:

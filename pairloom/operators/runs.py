@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,20 +11,30 @@ def epoch_mean(steps: DataFrame, by: tuple[str, ...] = ("run", "epoch"), loss: s
     return steps.groupBy(*by).agg(F.avg(loss).alias("mean_loss"), F.count("*").alias("n_steps"))
 
 
+def _number(column: str) -> Column:
+    """Null in place of NaN."""
+    return F.when(~F.isnan(column), F.col(column))
+
+
 def best_so_far(log: DataFrame) -> DataFrame:
-    """Adds ``earlier_best`` and ``improved``: strictly below every earlier validation loss."""
+    """Adds ``earlier_best`` and ``improved``: strictly below every earlier validation loss.
+
+    The search starts from infinity, so a loss that is NaN, null or infinite
+    never improves; NaN and null do not count as earlier losses.
+    """
     earlier = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
-    best = F.min("val_loss").over(earlier)
-    return log.withColumn("earlier_best", best).withColumn(
-        "improved", F.col("earlier_best").isNull() | (F.col("val_loss") < F.col("earlier_best"))
-    )
+    best = F.min(_number("val_loss")).over(earlier)
+    below = F.col("val_loss") < F.coalesce("earlier_best", F.lit(float("inf")))
+    return log.withColumn("earlier_best", best).withColumn("improved", F.coalesce(below, F.lit(False)))
 
 
 def patience_counter(log: DataFrame) -> DataFrame:
-    """Adds ``waited``: epochs since the last improvement."""
-    so_far = Window.partitionBy("run").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("improved"), F.col("epoch"))).over(so_far)
-    return best_so_far(log).withColumn("waited", F.col("epoch") - last)
+    """Adds ``waited``: the number of logged epochs since the last improvement, or since the start."""
+    in_order = Window.partitionBy("run").orderBy("epoch")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = best_so_far(log).withColumn("_nth", F.row_number().over(in_order))
+    last = F.max(F.when(F.col("improved"), F.col("_nth"))).over(so_far)
+    return numbered.withColumn("waited", F.col("_nth") - F.coalesce(last, F.lit(0))).drop("_nth")
 
 
 def early_stop_epoch(log: DataFrame, patience: int = 5) -> DataFrame:
@@ -37,7 +47,7 @@ def early_stop_epoch(log: DataFrame, patience: int = 5) -> DataFrame:
     return ran.groupBy("run").agg(
         F.max("stop_epoch").alias("stop_epoch"),
         F.max(F.when(F.col("improved"), F.col("epoch"))).alias("best_epoch"),
-        F.min("val_loss").alias("best_val_loss"),
+        F.min(_number("val_loss")).alias("best_val_loss"),
     )
 
 
@@ -61,12 +71,18 @@ def compare_epochs(log: DataFrame, first: str, second: str, columns: tuple[str,
 
 
 def verdict_by_loss(log: DataFrame, first: str, second: str) -> DataFrame:
-    """The run with the lower minimum of validation loss; a tie goes to the second."""
+    """The run with the lower minimum of validation loss; a tie goes to the second.
+
+    A run that is not in the log, or has no loss but NaN and null there, loses;
+    if both are missing the winner is null.
+    """
     lowest = log.agg(
-        F.min(F.when(F.col("run") == first, F.col("val_loss"))).alias("a"),
-        F.min(F.when(F.col("run") == second, F.col("val_loss"))).alias("b"),
+        F.min(F.when(F.col("run") == first, _number("val_loss"))).alias("a"),
+        F.min(F.when(F.col("run") == second, _number("val_loss"))).alias("b"),
     )
-    return lowest.select(F.when(F.col("a") < F.col("b"), first).otherwise(second).alias("winner"))
+    a, b = F.col("a"), F.col("b")
+    winner = F.when(a.isNull() & b.isNull(), F.lit(None)).when(b.isNull() | (a < b), first).otherwise(second)
+    return lowest.select(winner.cast("string").alias("winner"))
 
 
 def verdict_by_bleu(scores: DataFrame, first: str, second: str) -> DataFrame:

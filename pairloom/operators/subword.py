@@ -147,8 +147,10 @@ def _merges_in_runs(runs: list, floor: int, known: set[str], room: int) -> list[
             continue
         if -n <= floor and taken:
             break
-        taken.append((*pair, -n))
         piece = "".join(pair)
+        if piece in SPECIAL_PIECES:
+            continue  # never made of text
+        taken.append((*pair, -n))
         if piece in known or piece in made:
             break
         made.add(piece)
@@ -166,7 +168,7 @@ def learn_merges(
     words: DataFrame,
     known: set[str],
     max_pieces: int,
-    min_freq: int = 2,
+    min_freq: int = 1,
     lookahead: int = 64,
     max_lookahead: int = 4096,
     max_run_chars: int = 400_000,
@@ -199,7 +201,8 @@ def learn_merges(
             discard(before)
         state = written
         counts = _adjacent(state, "symbols", F.col("freq")).groupBy("l", "r").agg(F.sum("freq").alias("freq"))
-        counts = counts.where(F.col("freq") >= min_freq)
+        # A special piece is never made of text.
+        counts = counts.where((F.col("freq") >= min_freq) & ~F.concat("l", "r").isin(*SPECIAL_PIECES))
         best = counts.orderBy(F.desc("freq"), "l", "r").limit(max_lookahead + 1).collect()
         if not best:
             break
@@ -249,10 +252,13 @@ def learn_bpe(
     pieces in the order they were learned and the characters by frequency:
     ``vocab(lang, id, piece, freq, kind)``, ``merges(lang, rank, l, r, freq)``.
     If characters alone overfill it, the rarest are left to the unknown piece.
+    It stays smaller than asked for only if no pair occurs ``min_freq`` times.
     """
     spark = words.sparkSession
     users = [s.replace(" ", BLANK) for s in user_symbols]
     room = vocab_size - len(SPECIAL_PIECES) - len(users)
+    if set(users) & set(SPECIAL_PIECES):
+        raise ValueError("a special piece cannot be a user symbol")
     if room < 0:
         raise ValueError(f"a vocabulary of {vocab_size} has no room for {len(users)} user symbols")
     words = materialize(words, "subword-words")

@@ -19,7 +19,7 @@ from pairloom.operators.runs import (
 )
 from pairloom.plans.loaders import encode_split
 from pairloom.sources.tables import read_splits, read_vocab, write_epoch_comparison, write_translation_comparison
-from pairloom.workspace import materialize
+from pairloom.workspace import discard, materialize
 
 
 def compare_models(log: DataFrame, first: str, second: str, out_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +34,7 @@ def evaluation_sample(spark: SparkSession, out_dir: str, config: PipelineConfig
     """The rows to translate: source text, and the reference as its ids give it back."""
     vocab, merges = read_vocab(spark, f"{out_dir}/subwords")
     target = load_model(vocab, merges, config.tgt_lang)
-    sample = eval_sample(read_splits(spark, f"{out_dir}/splits", "test"), config.eval_rows, config.batch_size)
+    sample = eval_sample(read_splits(spark, f"{out_dir}/splits", "test"), config.eval_rows, config.batch_size, ("pair_key",))
     return encode_split(spark, sample, out_dir, config).select(
         "sample_id",
         "batch_id",
@@ -47,22 +47,27 @@ def evaluation_sample(spark: SparkSession, out_dir: str, config: PipelineConfig
 def evaluate_and_compare(
     spark: SparkSession,
     out_dir: str,
-    translators: dict[str, Callable[[], Translator]],
+    translators: dict[str, Callable[[], Translator] | None],
     config: PipelineConfig = PipelineConfig(),
 ) -> tuple[DataFrame, DataFrame]:
     """Score two translators on the same sample, write their examples side by side.
 
-    Returns (run, bleu) and the winner.
+    Returns (run, bleu) and the winner. A translator that is missing (None)
+    scores 0, and then no examples are written.
     """
     first, second = translators
     sample = materialize(evaluation_sample(spark, out_dir, config), "evaluation-sample")
     scores, examples = [], []
     for run in (first, second):
+        if translators[run] is None:
+            scores.append((run, 0.0))
+            continue
         score, picked = evaluate_run(sample, translators[run])
-        scores.append(score.select(F.lit(run).alias("run"), "bleu"))
+        scores.append((run, score.first()["bleu"]))
         examples.append(picked)
-    write_translation_comparison(
-        compare_translations(examples[0], examples[1], first, second), f"{out_dir}/translation_comparison"
-    )
-    table = materialize(scores[0].unionByName(scores[1]), "scores")
+    if len(examples) == 2:
+        both = compare_translations(examples[0], examples[1], first, second)
+        write_translation_comparison(both, f"{out_dir}/translation_comparison")
+    discard(sample)
+    table = spark.createDataFrame(scores, "run string, bleu double")
     return table, verdict_by_bleu(table, first, second)

@@ -22,14 +22,14 @@ def encode_split(
 
 
 def write_batches(spark: SparkSession, out_dir: str, config: PipelineConfig = PipelineConfig()) -> str:
-    """Encode every split once and write its batches: training rows shuffled, the others in order.
+    """Encode every split once and write its batches: training rows shuffled, the others in the order of their keys.
 
     Batches are assigned first, while rows are cheap to read twice.
     """
     path = f"{out_dir}/batches"
     for split in ("train", "val", "test"):
         seed = config.seed if split == "train" else None
-        batched = assign_batches(read_splits(spark, f"{out_dir}/splits", split), config.batch_size, seed)
+        batched = assign_batches(read_splits(spark, f"{out_dir}/splits", split), config.batch_size, seed, ("pair_key",))
         batches = pad_batches(encode_split(spark, batched, out_dir, config))
         batches.write.mode("overwrite").parquet(f"{path}/split={split}")
     return path

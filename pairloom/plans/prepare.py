@@ -10,6 +10,7 @@ from pairloom.functions.terms import VIETNAMESE_TERMS
 from pairloom.operators.pairs import (
     REASONS,
     clean_pairs,
+    content_key,
     dedup_pairs,
     measure_pairs,
     reject_reason,
@@ -20,12 +21,12 @@ from pairloom.operators.split import split_pairs
 from pairloom.operators.subword import learn_bpe, word_counts
 from pairloom.sources.pairs import read_pairs_csv, read_pairs_tsv
 from pairloom.sources.tables import read_splits, write_splits, write_vocab
-from pairloom.workspace import materialize
+from pairloom.workspace import discard, materialize
 
 
 def load_pairs(spark: SparkSession, csv_path: str, tsv_path: str) -> DataFrame:
-    """Distinct raw pairs of both files."""
-    return dedup_pairs(union_sources(read_pairs_csv(spark, csv_path), read_pairs_tsv(spark, tsv_path)))
+    """Distinct raw pairs of both files, each with the key of its content."""
+    return content_key(dedup_pairs(union_sources(read_pairs_csv(spark, csv_path), read_pairs_tsv(spark, tsv_path))))
 
 
 def prepare_pairs(
@@ -34,18 +35,22 @@ def prepare_pairs(
     """Clean, measure, filter, split and write ``raw``; returns the rows per stage.
 
     One pass: the reject counts are observed while the kept pairs are written.
-    The split depends on the text of a pair, so it survives any new layout of
-    the input files; exact sizes need the kept pairs written once before.
+    The split depends on the two texts of a pair alone, so it survives any new
+    layout of the input files, and pairs that differ in other columns only stay
+    together. Exact sizes follow ``pair_key`` and need the kept pairs written
+    once before.
     """
     bounds = (config.min_len, config.max_chars, config.length_ratio)
     labelled = reject_reason(measure_pairs(clean_pairs(raw, term_mode=config.term_mode)), *bounds)
     seen = Observation("reasons")
     labelled = labelled.observe(seen, *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
     kept = labelled.where(F.col("reason") == "kept").drop("reason")
-    key = ["en", "vi", "pair_id"]
+    key = ["pair_key"] if exact_split else ["en", "vi"]
     if exact_split:
         kept = materialize(kept, "kept-pairs")
     write_splits(split_pairs(kept, config.held_out, config.seed, key, exact_split), f"{out_dir}/splits")
+    if exact_split:
+        discard(kept)
 
     spark = raw.sparkSession
     reasons = spark.createDataFrame(list(seen.get.items()), "stage string, n_rows bigint")
@@ -58,7 +63,7 @@ def learn_vocabularies(spark: SparkSession, out_dir: str, config: PipelineConfig
     learned = []
     for lang, symbols in (("en", ()), ("vi", VIETNAMESE_TERMS)):
         words = word_counts(pairs, f"{lang}_normalized", symbols)
-        learned.append(learn_bpe(words, config.vocab_size, lang, symbols))
+        learned.append(learn_bpe(words, config.vocab_size, lang, symbols, min_freq=config.min_pair_freq))
     (en_vocab, en_merges), (vi_vocab, vi_merges) = learned
     write_vocab(en_vocab.unionByName(vi_vocab), en_merges.unionByName(vi_merges), f"{out_dir}/subwords")
 

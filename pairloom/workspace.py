@@ -42,6 +42,7 @@ def discard(table: DataFrame) -> None:
     spark = table.sparkSession
     root = shared_dir(spark)
     for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        # The names are URIs, in which blanks and the like are encoded.
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
         if path.toUri().getPath().startswith(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath() + "/"):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,8 +1,12 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import ids as i
 from pairloom.operators import encode, subword
+from pairloom.operators.segment import merger
 
 TERMS = ("Hà Nội", "Hồ Chí Minh", "Hồ")
 TEXTS = ["tôi ở Hà Nội nhé", "Hồ Chí Minh và Hồ", "xHồy", "", None, "tôi tôi tôi ở đây", "một  hai ba", "ﬁ 😀"]
@@ -82,3 +86,52 @@ def test_id_functions(apply):
     assert apply(lambda c: i.pad_right(c, F.lit(4)), [[5], [5, 6, 7, 8]], kind) == [[5, 0, 0, 0], [5, 6, 7, 8]]
     assert apply(i.token_length, [[5, 6]], kind) == [2]
     assert apply(i.pieces_to_text, [["▁a", "b", "▁c"], []], "array<string>") == ["ab c", ""]
+
+
+def test_special_ids_never_come_from_text(spark):
+    texts = ["a<s>b i</s>j", "<pad> <unk>", "a <s> b"] * 5
+    lines = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocab, merges = subword.learn_bpe(subword.word_counts(lines, "text"), 80)
+    pieces = [r.piece for r in vocab.collect()]
+    assert len(set(pieces)) == len(pieces)
+    model = encode.load_model(vocab, merges, "en")
+    ids = lines.withColumn("ids", encode.encode_text(F.col("text"), model))
+    rows = ids.select("text", "ids", encode.decode_ids(F.col("ids"), model).alias("back")).collect()
+    assert all(min(r.ids) > 3 and r.back == r.text for r in rows)
+    looked = encode.lookup_ids(spark.createDataFrame([("<s>",), ("a",)], "piece string"), vocab, "en").collect()
+    assert {r.piece: r.id for r in looked}["<s>"] == 1
+    with pytest.raises(ValueError):
+        subword.learn_bpe(subword.word_counts(lines, "text", ("<s>",)), 80, "en", ("<s>",))
+
+
+def test_merging_goes_turn_by_turn():
+    rng = random.Random(6)
+
+    def one_by_one(merges, symbols):
+        for left, right in merges:
+            joined, i = [], 0
+            while i < len(symbols):
+                if symbols[i : i + 2] == [left, right]:
+                    joined.append(left + right)
+                    i += 2
+                else:
+                    joined.append(symbols[i])
+                    i += 1
+            symbols = joined
+        return symbols
+
+    for _ in range(400):
+        parts = ["a", "b", "aa", "ab", "ba", "aab", "abab"]
+        merges = [(rng.choice(parts), rng.choice(parts)) for _ in range(rng.randint(0, 12))]
+        word = [rng.choice("ab") for _ in range(rng.randint(0, 25))]
+        assert merger(merges)(list(word)) == one_by_one(merges, word), (merges, word)
+
+
+def test_long_words_are_merged_in_good_time():
+    rng = random.Random(7)
+    merges = [(a, b) for a in "abcdefghijkl" for b in "abcdefghijkl"]
+    merges += [(l + r, m) for l, r in merges for m in "abcdefghijkl"]
+    word = [rng.choice("abcdefghijkl") for _ in range(100_000)]
+    began = time.perf_counter()
+    assert "".join(merger(merges)(word)) == "".join(word)
+    assert time.perf_counter() - began < 10

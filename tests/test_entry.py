@@ -4,6 +4,7 @@ import os
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from checks.oracles import ORACLES
@@ -43,3 +44,13 @@ def test_library_never_holds_whole_tables():
         source = path.read_text(encoding="utf-8")
         for word in ("toPandas", "crossJoin", "localCheckpoint", ".rdd"):
             assert word not in source, f"{word} in {path}"
+
+
+def test_inputs_that_stand_for_untidy_text_are_untidy(spark):
+    """Normalising must have something to do in the queries about it."""
+    from checks import views
+    from pairloom.functions.text import nfc, squeeze, subword_normalize
+
+    lines = views.document_lines(spark, SF_DIR).select(views.dirtied(F.col("text")).alias("t"))
+    for step in (nfc, squeeze, subword_normalize):
+        assert lines.where(step(F.col("t")) != F.col("t")).count() > 50

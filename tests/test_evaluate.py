@@ -46,3 +46,25 @@ def test_evaluate_run(spark, upper):
     score, examples = evaluate.evaluate_run(sample, upper)
     assert score.first().bleu == pytest.approx(100)
     assert examples.count() == 6
+
+
+def test_every_text_is_translated_once_and_in_several_tasks(spark):
+    from pyspark import TaskContext
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting():
+        task = str(TaskContext.get().partitionId())
+
+        def translate(texts):
+            seen.add(len(texts))
+            return [task] * len(texts)
+
+        return translate
+
+    rows = spark.range(500).select(F.col("id").alias("pair_id"), F.concat(F.lit("text "), "id").alias("source"))
+    sample = evaluate.eval_sample(rows).withColumn("reference", F.col("source"))
+    score, examples = evaluate.evaluate_run(sample, counting)
+    score.collect()
+    assert len({r.translation for r in examples.collect()}) > 1
+    assert seen.value == 128

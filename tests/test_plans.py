@@ -51,17 +51,28 @@ def test_splits_are_disjoint_and_keep_words_like_null(spark, prepared):
     assert set(rows[0].asDict()) >= {"en_normalized", "vi_normalized", "en_length", "vi_length", "length_ratio"}
 
 
-def test_split_is_independent_of_the_file_layout(spark, prepared, files, config, tmp_path):
-    raw = prepare.load_pairs(spark, files[0], files[1]).repartition(5)
-    prepare.prepare_pairs(raw, str(tmp_path), config)
-
-    def assigned(path):
-        return {(r.en, r.vi): r.split for r in read_splits(spark, f"{path}/splits").collect()}
-
-    def of_text(path):
-        return {pair: split for pair, split in assigned(path).items()}
-
-    assert of_text(tmp_path) == of_text(prepared[0])
+def test_nothing_depends_on_how_files_are_cut(spark, files, config, tmp_path):
+    """The same files in one task and in many: same splits, batches and sample."""
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            out = str(tmp_path / size)
+            raw = prepare.load_pairs(spark, files[0], files[1])
+            prepare.prepare_pairs(raw, out, config)
+            prepare.learn_vocabularies(spark, out, config)
+            loaders.write_batches(spark, out, config)
+            splits = {(r.en, r.vi): r.split for r in read_splits(spark, f"{out}/splits").collect()}
+            batches = {split: sorted(map(str, loaders.read_batches(spark, out, split).collect())) for split in ("train", "val", "test")}
+            sample = sorted((r.sample_id, r.source, r.reference) for r in compare.evaluation_sample(spark, out, config).collect())
+            exact = str(tmp_path / f"exact{size}")
+            prepare.prepare_pairs(raw, exact, config, exact_split=True)
+            exact = {(r.en, r.vi): r.split for r in read_splits(spark, f"{exact}/splits").collect()}
+            found.append((splits, batches, sample, exact))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and found[0][0]
 
 
 def test_exact_split(spark, files, config, tmp_path):
@@ -115,6 +126,17 @@ def test_evaluation(spark, prepared, config):
     assert {"source", "reference", "good", "bad"} <= set(written[0].asDict())
 
 
+def test_evaluation_without_one_run(spark, prepared, config):
+    out, _ = prepared
+
+    def good():
+        return lambda texts: list(texts)
+
+    scores, winner = compare.evaluate_and_compare(spark, out, {"good": good, "gone": None}, config)
+    assert {r.run: r.bleu for r in scores.collect()}["gone"] == 0.0
+    assert winner.first().winner in ("good", "tie")
+
+
 def test_compare_models(spark, tmp_path):
     rows = [("a", 1, 2.0, 1.0), ("a", 2, 1.5, 0.5), ("b", 1, 3.0, 0.7)]
     log = spark.createDataFrame(rows, "run string, epoch int, train_loss double, val_loss double")

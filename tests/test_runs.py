@@ -85,3 +85,24 @@ def test_examples(spark):
     rows = spark.createDataFrame([(b, p) for b in range(5) for p in range(4 if b != 1 else 2)], "batch_id int, batch_pos int")
     got = [tuple(r) for r in runs.pick_examples(rows.repartition(4)).collect()]
     assert got == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1), (2, 2), (3, 0), (3, 1)]
+
+
+def test_losses_that_are_no_numbers_never_improve(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = runs.patience_counter(log(spark, a=[nan, 3, nan, 2, inf], b=[nan, inf, nan])).orderBy("run", "epoch").collect()
+    assert [r.improved for r in rows] == [False, True, False, True, False, False, False, False]
+    assert [r.waited for r in rows] == [1, 0, 1, 0, 1, 1, 2, 3]
+    got = {r.run: r for r in runs.early_stop_epoch(log(spark, a=[nan, 3, nan, 2, inf], b=[nan, inf, nan]), 3).collect()}
+    assert (got["a"].stop_epoch, got["a"].best_epoch, got["a"].best_val_loss) == (None, 4, 2.0)
+    assert (got["b"].stop_epoch, got["b"].best_epoch) == (3, None)
+
+
+def test_waiting_counts_logged_epochs(spark):
+    rows = [("a", 1, 2.0), ("a", 5, 3.0), ("a", 9, 3.0)]
+    waited = runs.patience_counter(spark.createDataFrame(rows, LOG)).orderBy("epoch").collect()
+    assert [r.waited for r in waited] == [0, 1, 2]
+
+
+def test_a_missing_run_loses(spark):
+    both = log(spark, x=[3, 1], y=[float("nan")])
+    assert [runs.verdict_by_loss(both, *two).first().winner for two in (("x", "z"), ("z", "x"), ("x", "y"), ("y", "x"), ("y", "z"))] == ["x", "x", "x", "x", None]

@@ -76,7 +76,8 @@ def test_segmenting_repeats_what_learning_did(seed, letters):
 
 def test_merges_stop_below_two(spark):
     table = spark.createDataFrame([("abab", 3), ("xyz", 1)], "word string, freq bigint")
-    assert s.learn_merges(table, set("abxyz"), 100) == [("a", "b", 6), ("ab", "ab", 3)]
+    assert s.learn_merges(table, set("abxyz"), 100, min_freq=2) == [("a", "b", 6), ("ab", "ab", 3)]
+    assert len(s.learn_merges(table, set("abxyz"), 100)) == 4
 
 
 def test_merges_ignore_layout(spark):
