@@ -371,6 +371,8 @@ ORACLES: dict[str, str] = {
         p AS (SELECT string_split(regexp_replace(regexp_replace(en || chr(9) || vi, '^{SPACE}', ''), '{SPACE}$', ''), chr(9)) AS p
               FROM lines)
         SELECT p[1] AS en, p[2] AS vi FROM p WHERE len(p) >= 2""",
+    "csv_files": f"""WITH {TURNS} SELECT en, vi, NULL AS malformed_record FROM turns
+        UNION ALL SELECT NULL, NULL, CAST(pair_id AS VARCHAR) || ',a,"b, c"' FROM turns""",
     "csv_round_trip": f"WITH {TURNS} SELECT en, vi, 'talk' AS topic FROM turns",
     "splits_round_trip": f"""WITH {LINES}, unique_lines AS {DEDUP.format("lines")}, {measured("unique_lines")}, {kept()}
         SELECT pair_id, en, vi_normalized, length_ratio, {SPLIT} AS split FROM kept JOIN unique_lines USING (pair_id)""",

@@ -413,6 +413,18 @@ def csv_round_trip(spark, sf_dir):
     return read_pairs_csv(spark, path).select("en", "vi", "topic")
 
 
+def csv_files(spark, sf_dir):
+    """Files of one folder with headers in another order, line breaks in fields, and rows with a field too many."""
+    path = new_path(spark, "csv-files")
+    turns = views.bitext_turns(spark, sf_dir)
+    tables.write_csv(turns.where("pair_id % 2 = 0").select("en", "vi"), f"{path}/one")
+    tables.write_csv(turns.where("pair_id % 2 <> 0").select("vi", "en"), f"{path}/two")
+    bad = turns.select(F.concat_ws(",", "pair_id", F.lit("a"), F.lit('"b, c"')).alias("line"))
+    head = spark.range(1).select(F.lit("en,vi").alias("line"))
+    tables.write_corpus_text(head.unionByName(bad).coalesce(1), "line", f"{path}/three")
+    return read_pairs_csv(spark, f"{path}/*", keep_malformed=True).select("en", "vi", "malformed_record")
+
+
 def _pair_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Conversations as a CSV file, lines of documents as a tab-separated one."""
     csv, tsv = new_path(spark, "pairs-csv"), new_path(spark, "pairs-tsv")
@@ -475,7 +487,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         run_summary, compare_epochs, verdict_by_loss, verdict_by_bleu, compare_translations,
         head_translations, translate_batches, evaluate_run_score, evaluate_run_examples,
         forged_specials, ragged_patience, ragged_early_stop, ragged_epochs, verdict_without_a_run,
-        prepare_counts, prepare_splits, tsv_round_trip, csv_round_trip, splits_round_trip, vocab_round_trip, epoch_comparison_file,
+        prepare_counts, prepare_splits, tsv_round_trip, csv_round_trip, csv_files, splits_round_trip, vocab_round_trip, epoch_comparison_file,
         translation_comparison_file,
     )
 }

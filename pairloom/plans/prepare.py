@@ -25,8 +25,9 @@ from pairloom.workspace import discard, materialize
 
 
 def load_pairs(spark: SparkSession, csv_path: str, tsv_path: str) -> DataFrame:
-    """Distinct raw pairs of both files, each with the key of its content."""
-    return content_key(dedup_pairs(union_sources(read_pairs_csv(spark, csv_path), read_pairs_tsv(spark, tsv_path))))
+    """Distinct raw pairs of both files, each with the key of its content; malformed records stay, without texts."""
+    both = union_sources(read_pairs_csv(spark, csv_path, keep_malformed=True), read_pairs_tsv(spark, tsv_path))
+    return content_key(dedup_pairs(both))
 
 
 def prepare_pairs(

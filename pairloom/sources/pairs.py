@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pairloom.functions.text import strip
 
@@ -16,28 +19,99 @@ def _with_pair_id(df: DataFrame, source_no: int) -> DataFrame:
     return df.select(pair_id.alias("pair_id"), *df.columns)
 
 
-def _fields_span_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted field may hold a line break: then some line has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, line): lines in the order of ``at`` within their block, blocks in order within their file."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("value").alias("line"),
+    )
+
+
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
 
 
-def read_pairs_csv(spark: SparkSession, path: str, source_no: int = 0) -> DataFrame:
-    """CSV with a header naming at least ``en`` and ``vi``; every other column is kept.
+def _joined_records(lines: DataFrame) -> DataFrame:
+    """Lines joined to records where quoted fields hold line breaks.
 
-    Files whose fields span lines are read one per task, as only their start
-    tells records apart; one look over the lines finds out, and all others are
-    split among tasks.
+    A line begins a record if the quotes before it in its file are even in
+    number. Blocks are counted apart and only their sums are accumulated over a
+    file, so a large file is as many tasks as it has blocks.
     """
-    df = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", _fields_span_lines(spark, path))
-        .csv(path)
-    )
-    missing = {"en", "vi"} - set(df.columns)
-    if missing:
-        raise ValueError(f"{path} lacks the columns {sorted(missing)}")
+    blocks_before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lines_before = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines_so_far = lines_before.rowsBetween(Window.unboundedPreceding, 0)
+
+    def summed(df: DataFrame, column: str, name: str) -> DataFrame:
+        sums = df.groupBy("file", "block").agg(F.sum(column).alias("n"))
+        return sums.select("file", "block", F.coalesce(F.sum("n").over(blocks_before), F.lit(0)).alias(name))
+
+    lines = lines.withColumn("quotes", _quotes(F.col("line")))
+    lines = lines.join(summed(lines, "quotes", "quotes_before"), ["file", "block"])
+    before = F.col("quotes_before") + F.coalesce(F.sum("quotes").over(lines_before), F.lit(0))
+    lines = lines.withColumn("begins", (before % 2 == 0).cast("int"))
+    lines = lines.join(summed(lines, "begins", "records_before"), ["file", "block"])
+    numbered = lines.withColumn("record_no", F.col("records_before") + F.sum("begins").over(lines_so_far))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "line")))
+    return numbered.groupBy("file", "record_no").agg(
+        F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("record"), F.min(F.struct("block", "at")).alias("place")
+    ).select("file", "place", "record")
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, record): the records of CSV files, header included; empty lines between them are left out."""
+    lines = _lines(spark, path)
+    broken = lines.where(_quotes(F.col("line")) % 2 == 1).select("file").distinct()
+    whole = lines.join(broken, "file", "left_anti").select("file", F.struct("block", "at").alias("place"), F.col("line").alias("record"))
+    return whole.unionByName(_joined_records(lines.join(broken, "file", "left_semi"))).where("record <> ''")
+
+
+_CSV = {"escape": '"', "quote": '"'}
+_QUOTED = '"(?:[^"]|"")*"'
+
+
+def read_pairs_csv(
+    spark: SparkSession, path: str, source_no: int = 0, keep_malformed: bool = False
+) -> DataFrame:
+    """CSV files with a header naming at least ``en`` and ``vi``; every other column is kept.
+
+    Each file has its own header, which may name the columns in another order
+    or have others. Quoted fields may hold line breaks (kept as \\n); such files
+    are read by as many tasks as others. A record with fewer fields than its
+    header ends in nulls. One with more is not guessed at: it is an error, or with
+    ``keep_malformed`` its text is in ``malformed_record``, a column that is
+    null for all others, and its fields are null, so that it is counted with
+    the pairs that lack a text.
+    """
+    records = _records(spark, path)
+    heads = records.groupBy("file").agg(F.min("place").alias("head_place"), F.min_by("record", "place").alias("head"))
+    # As many as there are different headers.
+    headers = [row["head"] for row in heads.select("head").distinct().orderBy("head").collect()]
+    body = records.join(heads, "file").where(F.col("place") != F.col("head_place"))
+    parts = []
+    for head in headers:
+        names = next(csv.reader([head]))
+        missing = {"en", "vi"} - set(names)
+        if missing:
+            raise ValueError(f"{path} lacks the columns {sorted(missing)}")
+        schema = StructType([StructField(name, StringType()) for name in names])
+        fields = F.size(F.split(F.regexp_replace("record", _QUOTED, ""), ",", -1))
+        rows = body.where(F.col("head") == head).withColumn("excess", fields > len(names))
+        parsed = F.from_csv(F.when(~F.col("excess"), F.col("record")), schema.toDDL(), _CSV)
+        if keep_malformed:
+            malformed = [F.when(F.col("excess"), F.col("record")).alias("malformed_record")]
+        else:
+            error = F.raise_error(F.concat(F.lit(f"more than {len(names)} fields: "), "record"))
+            parsed, malformed = F.when(F.col("excess"), error).otherwise(parsed), []
+        rows = rows.withColumn("fields", parsed)
+        parts.append(rows.select(*[F.col("fields").getField(name).alias(name) for name in names], *malformed))
+    if not parts:
+        raise ValueError(f"{path} has no header")
+    df = parts[0]
+    for part in parts[1:]:
+        df = df.unionByName(part, allowMissingColumns=True)
     return _with_pair_id(df, source_no)
 
 

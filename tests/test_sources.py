@@ -114,3 +114,43 @@ def test_learning_leaves_no_tables_behind(spark):
     vocab, merges = learn_bpe(table, 20)
     assert vocab.count() > 4 and merges.count() > 0
     assert not list(Path(shared_dir(spark)).glob("subword-*"))
+
+
+def test_csv_files_have_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('en,vi\nq,one\n"x, y","two\nlines ""q"""\n\nq,one, two\nshort\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text('vi,topic,en\nV,t,E\n"V\n2",,"E,2"\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text("en,vi\n", encoding="utf-8")
+    rows = pairs.read_pairs_csv(spark, str(tmp_path), keep_malformed=True).collect()
+    assert sorted(((r.en, r.vi, r.topic, r.malformed_record) for r in rows), key=str) == sorted(
+        [
+            ("q", "one", None, None), ("x, y", 'two\nlines "q"', None, None), (None, None, None, "q,one, two"),
+            ("short", None, None, None), ("E", "V", "t", None), ("E,2", "V\n2", None, None),
+        ],
+        key=str,
+    )
+    with pytest.raises(Exception, match="more than 2 fields: q,one, two"):
+        pairs.read_pairs_csv(spark, str(tmp_path)).collect()
+
+
+def test_one_file_with_line_breaks_in_fields_is_many_tasks(spark, tmp_path):
+    rows = [(f"word {i}\nsecond, {i}", f'say "{i}"\n\n') for i in range(2000)]
+    text = "en,vi\n" + "".join('"{}","{}"\n'.format(*(side.replace('"', '""') for side in row)) for row in rows)
+    (tmp_path / "one.csv").write_text(text, encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = pairs._lines(spark, str(tmp_path)).withColumn("task", F.spark_partition_id())
+        assert lines.select("task").distinct().count() > 5
+        got = pairs.read_pairs_csv(spark, str(tmp_path)).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sorted((r.en, r.vi) for r in got) == sorted(rows)
+
+
+def test_discard_of_a_name_with_a_blank(spark):
+    table = materialize(spark.range(3), "gone with blank")
+    assert table.count() == 3
+    discard(table)
+    assert not list(Path(shared_dir(spark)).glob("gone with blank-*"))
