@@ -19,7 +19,7 @@ from pairloom.operators.runs import (
 )
 from pairloom.plans.loaders import encode_split
 from pairloom.sources.tables import read_splits, read_vocab, write_epoch_comparison, write_translation_comparison
-from pairloom.workspace import discard, materialize
+from pairloom.workspace import materialize, temporary
 
 
 def compare_models(log: DataFrame, first: str, second: str, out_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -56,18 +56,18 @@ def evaluate_and_compare(
     scores 0, and then no examples are written.
     """
     first, second = translators
-    sample = materialize(evaluation_sample(spark, out_dir, config), "evaluation-sample")
-    scores, examples = [], []
-    for run in (first, second):
-        if translators[run] is None:
-            scores.append((run, 0.0))
-            continue
-        score, picked = evaluate_run(sample, translators[run])
-        scores.append((run, score.first()["bleu"]))
-        examples.append(picked)
-    if len(examples) == 2:
-        both = compare_translations(examples[0], examples[1], first, second)
-        write_translation_comparison(both, f"{out_dir}/translation_comparison")
-    discard(sample)
+    with temporary(spark):
+        sample = materialize(evaluation_sample(spark, out_dir, config), "evaluation-sample")
+        scores, examples = [], []
+        for run in (first, second):
+            if translators[run] is None:
+                scores.append((run, 0.0))
+                continue
+            score, picked = evaluate_run(sample, translators[run])
+            scores.append((run, score.first()["bleu"]))
+            examples.append(picked)
+        if len(examples) == 2:
+            both = compare_translations(examples[0], examples[1], first, second)
+            write_translation_comparison(both, f"{out_dir}/translation_comparison")
     table = spark.createDataFrame(scores, "run string, bleu double")
     return table, verdict_by_bleu(table, first, second)

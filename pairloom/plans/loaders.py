@@ -10,6 +10,7 @@ from pairloom.operators.batches import assign_batches, pad_batches
 from pairloom.operators.encode import encode_pairs, load_model
 from pairloom.operators.pairs import orient
 from pairloom.sources.tables import read_splits, read_vocab
+from pairloom.workspace import temporary
 
 
 def encode_split(
@@ -29,9 +30,10 @@ def write_batches(spark: SparkSession, out_dir: str, config: PipelineConfig = Pi
     path = f"{out_dir}/batches"
     for split in ("train", "val", "test"):
         seed = config.seed if split == "train" else None
-        batched = assign_batches(read_splits(spark, f"{out_dir}/splits", split), config.batch_size, seed, ("pair_key",))
-        batches = pad_batches(encode_split(spark, batched, out_dir, config))
-        batches.write.mode("overwrite").parquet(f"{path}/split={split}")
+        with temporary(spark):
+            batched = assign_batches(read_splits(spark, f"{out_dir}/splits", split), config.batch_size, seed, ("pair_key",))
+            batches = pad_batches(encode_split(spark, batched, out_dir, config))
+            batches.write.mode("overwrite").parquet(f"{path}/split={split}")
     return path
 
 

@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import pytest
 
 from pairloom.config import PipelineConfig
 from pairloom.plans import compare, loaders, prepare
 from pairloom.sources.tables import read_splits, read_vocab
+from pairloom.workspace import shared_dir
 
 WORDS = {"en": "the a cat dog sits runs on under big red house tree".split(), "vi": "con mèo chó ngồi chạy trên dưới to đỏ nhà cây Hà Nội Huế".split()}
 
@@ -95,7 +97,9 @@ def test_vocabularies(spark, prepared, config):
 
 def test_batches(spark, prepared, config):
     out, counts = prepared
+    before = set(Path(shared_dir(spark)).iterdir())
     loaders.write_batches(spark, out, config)
+    assert set(Path(shared_dir(spark)).iterdir()) == before  # nothing is left behind
     for split in ("train", "val", "test"):
         rows = loaders.read_batches(spark, out, split).collect()
         assert sum(len(r.src) for r in rows) == counts[split]
