@@ -186,6 +186,7 @@ def decontaminate(
     hit = find_hits(docs, benchmark, n, id_col, text_col).where("n_hit > 0")
     hit_id, key, spans = (fresh(docs, name) for name in ("hit_id", "hit_key", "hit_spans"))
     hit = hit.groupBy(F.col("id").alias(hit_id), F.col("text_key").alias(key)).agg(F.first("spans").alias(spans))
+    hit = materialize(hit, "leaks")  # its size tells Spark how to join
     same = docs[id_col].eqNullSafe(F.col(hit_id)) & (F.xxhash64(docs[text_col]) == F.col(key))
     if remove == "documents":
         return docs.join(hit.drop(spans), same, "left_anti")

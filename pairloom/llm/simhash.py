@@ -168,18 +168,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id keeps one row.
     """
     groups = materialize(near_groups(docs, id_col, text_col, max_bucket), "near-groups")
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "fp").distinct()
+    is_first = F.col("id").eqNullSafe(F.col("component_id"))
     repeated = materialize(groups.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
     own, kept_id, kept_fp, nth = (fresh(docs, name) for name in ("own_fp", "kept_id", "kept_fp", "nth"))
     same_id = docs[id_col].eqNullSafe(F.col(kept_id))
-    single = kept.join(repeated, kept["id"].eqNullSafe(repeated["id"]), "left_anti").select(F.col("id").alias(kept_id))
-    stay = docs.join(single, same_id, "left_semi")
+    # The ids that go are fewer than those that stay; written, their size tells Spark how to join.
+    gone = groups.where(~is_first).select("id").unionByName(repeated).distinct().withColumnRenamed("id", kept_id)
+    stay = docs.join(materialize(gone, "near-copies"), same_id, "left_anti")
     if repeated.isEmpty():
         return stay
     again = docs.join(repeated.select(F.col("id").alias(kept_id)), same_id, "left_semi")
     again = again.withColumn(own, simhash(F.col(text_col)))
     again = again.join(
-        kept.select(F.col("id").alias(kept_id), F.col("fp").alias(kept_fp)),
+        groups.where(is_first).select(F.col("id").alias(kept_id), F.col("fp").alias(kept_fp)),
         F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_fp)),
         "left_semi",
     )
