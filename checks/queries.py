@@ -241,7 +241,8 @@ def lookup_pieces(spark, sf_dir):
     """Pieces by join, of ids counted before."""
     vocab, merges = subword.learn_bpe(_words(spark, sf_dir), CHAR_VOCAB)
     model = encode.load_model(vocab, merges, "en")
-    ids = _cleaned(spark, sf_dir).select(F.explode(encode.encode_text(F.col("en_normalized"), model)).alias("id"))
+    lines = views.document_lines(spark, sf_dir).select(clean(F.col("text")).alias("text"))
+    ids = lines.select(F.explode(encode.encode_text(F.col("text"), model)).alias("id"))
     return encode.lookup_pieces(ids.groupBy("id").agg(F.count("*").alias("n_used")), vocab, "en")
 
 
