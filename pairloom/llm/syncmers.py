@@ -24,7 +24,7 @@ from pairloom.llm.tables import read_table
 K, S = 16, 4  # K is a multiple of S: a k-mer's hash is made of those of its parts
 ANCHORS = 48
 CHUNK = 1 << 19  # code points hashed at a time
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 24
 CUT_SAMPLE = 8
 ROWS = 512  # documents judged at a time
 
