@@ -167,7 +167,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     judged by its own text, and equal ones count as one. A group without any
     id keeps one row.
     """
-    groups = materialize(near_groups(docs, id_col, text_col, max_bucket), "near-groups")
+    return one_of_each(docs, near_groups(docs, id_col, text_col, max_bucket), simhash(F.col(text_col)), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, fingerprint: Column, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` (id, fp, component_id) keeps; ``fingerprint`` gives fp from the text."""
+    groups = materialize(groups, "near-groups")
     is_first = F.col("id").eqNullSafe(F.col("component_id"))
     repeated = materialize(groups.groupBy("id").count().where("count > 1").select("id"), "repeated-ids")
     own, kept_id, kept_fp, nth = (fresh(docs, name) for name in ("own_fp", "kept_id", "kept_fp", "nth"))
@@ -178,7 +183,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if repeated.isEmpty():
         return stay
     again = docs.join(repeated.select(F.col("id").alias(kept_id)), same_id, "left_semi")
-    again = again.withColumn(own, simhash(F.col(text_col)))
+    again = again.withColumn(own, fingerprint)
     again = again.join(
         groups.where(is_first).select(F.col("id").alias(kept_id), F.col("fp").alias(kept_fp)),
         F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_fp)),
