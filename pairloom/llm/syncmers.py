@@ -3,15 +3,13 @@
 A k-mer of code points is an anchor if the smallest hash of its inner s-mers
 is that of the first or the last one. Whether it is depends on the k-mer
 alone, so equal stretches of two texts give equal anchors whatever surrounds
-them. A fingerprint keeps the anchors with the smallest hashes and their
-positions; two fingerprints are compared by the anchors they share in the same
-order.
+them. A fingerprint keeps all anchors and their positions, so it grows with the
+text; two fingerprints are compared by the anchors they share in the same order.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,11 +20,11 @@ from pyspark.sql import functions as F
 from pairloom.llm.tables import read_table
 
 K, S = 16, 4  # K is a multiple of S: a k-mer's hash is made of those of its parts
-ANCHORS = 48
 CHUNK = 1 << 19  # code points hashed at a time
 BLOCK_BYTES = 1 << 24
 CUT_SAMPLE = 8
-ROWS = 512  # documents judged at a time
+ROWS = 512  # documents judged at a time, fewer if they are long
+CODE_POINTS = 1 << 21  # of the texts judged at a time, but for a longer single one
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -87,7 +85,7 @@ def _pieces(texts: Iterable[str]) -> Iterator[tuple[list[tuple[int, int, int]],
 
 
 def sketches(texts: list[str]) -> list[list[tuple[int, int]]]:
-    """For each text its up to ANCHORS anchors (hash, first place), smallest hashes first.
+    """For each text all its anchors (hash, place) in text order.
 
     A text without syncmers has one anchor, a hash of all of it; an empty text none.
     """
@@ -105,16 +103,11 @@ def sketches(texts: list[str]) -> list[list[tuple[int, int]]]:
     if not owners:
         return []
     owner, h, place = np.concatenate(owners), np.concatenate(hashes), np.concatenate(places)
-    order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | h, kind="stable")  # equal hashes stay in text order
-    owner, h, place = owner[order], h[order], place[order]
-    first = np.ones(len(owner), bool)
-    first[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
-    owner, h, place = owner[first], h[first], place[first]
     starts = np.searchsorted(owner, np.arange(len(texts) + 1))
     found = []
     for i, text in enumerate(texts):
         a = starts[i]
-        b = min(starts[i + 1], a + ANCHORS)
+        b = starts[i + 1]
         if a < b:
             found.append(list(zip(h[a:b].tolist(), place[a:b].tolist())))
         elif text:
@@ -130,22 +123,45 @@ def as_text(sketch: list[tuple[int, int]]) -> str:
     return np.array([(h, p & 0xFFFFFFFF) for h, p in sketch], ">u4").tobytes().hex()
 
 
+def _common(a: list[int], b: list[int]) -> int:
+    """The length of the longest common subsequence: a bit of ``row`` for each place in ``a``, updated for each of ``b``."""
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    stop = 0
+    while stop < end - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    a, b = a[start : len(a) - stop], b[start : len(b) - stop]
+    both = set(a) & set(b)
+    a, b = [h for h in a if h in both], [h for h in b if h in both]
+    where: dict[int, list[int]] = {}
+    for i, h in enumerate(a):
+        where.setdefault(h, []).append(i)
+
+    def mask(places: list[int]) -> int:
+        bits = bytearray(places[-1] // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+    # Only those of many places are held: there are few of them.
+    held = {h: mask(places) for h, places in where.items() if len(places) > 64}
+    full = (1 << len(a)) - 1
+    row = full
+    for h in b:
+        hit = row & (held[h] if h in held else mask(where[h]))
+        row = (row + hit | row - hit) & full
+    return start + stop + len(a) - row.bit_count()
+
+
 def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> float:
-    """From 0 to 1: the share of anchors found in both in the same order (Dice), as far as both sketches reach.
+    """From 0 to 1: the share of anchors found in both in the same order (Dice).
 
     Two empty sketches are alike, an empty one is unlike any other.
     """
     if a == b:
         return 1.0
-    reach = min((s[-1][0] for s in (a, b) if len(s) == ANCHORS), default=1 << 32)
-    a, b = ([x for x in s if x[0] <= reach] for s in (a, b))
-    there = dict(b)
-    matches = sorted((place, there[h]) for h, place in a if h in there)
-    tails: list[int] = []  # of increasing runs of each length
-    for _, place in matches:
-        at = bisect_left(tails, place)
-        tails[at : at + 1] = [place]
-    return 2 * len(tails) / (len(a) + len(b)) if a and b else 0.0
+    return 2 * _common([h for h, _ in a], [h for h, _ in b]) / (len(a) + len(b)) if a and b else 0.0
 
 
 def edited(text: str, following: str) -> str:
@@ -164,8 +180,14 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of (block, guest, no_id, doc_id, text) in order; a guest only follows the last document of a block."""
     last = None  # block, guest, id, text, sketch
     for batch in batches:
-        for at in range(0, len(batch), ROWS):
-            part = batch.iloc[at : at + ROWS]
+        lengths = batch["text"].str.len().tolist()
+        at = 0
+        while at < len(batch):
+            start, size = at, 0
+            while at < len(batch) and at - start < ROWS and (at == start or size + lengths[at] <= CODE_POINTS):
+                size += lengths[at]
+                at += 1
+            part = batch.iloc[start:at]
             texts = part["text"].tolist()
             ids = [None if missing else i for i, missing in zip(part["doc_id"].tolist(), part["no_id"])]
             rows = list(zip(part["block"].tolist(), part["guest"].tolist(), ids, texts, sketches(texts)))

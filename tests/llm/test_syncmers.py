@@ -80,3 +80,23 @@ def test_edited_texts_stay_half_alike(spark):
 
 def test_empty_table(spark):
     assert fingerprint_neighbours(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_passages_of_long_texts_are_found():
+    rng = random.Random(11)
+    a, b, shared = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (30000, 30000, 400))
+    x, y, s = sketches([a[:7000] + shared + a[7000:], b[:21000] + shared + b[21000:], shared])
+    assert likeness(x, y) > 0 and likeness(x, s) == 2 * len(s) / (len(x) + len(s))
+    assert len(x) == len(closed_syncmers(a[:7000] + shared + a[7000:])[1]) > 3000
+
+
+def test_likeness_is_the_longest_common_order():
+    rng = random.Random(12)
+    for _ in range(200):
+        a, b = ([(rng.randrange(6), i) for i in range(rng.randrange(1, 40))] for _ in "ab")
+        best = [0] * (len(b) + 1)
+        for h, _ in a:
+            old = best[:]
+            for j, (g, _) in enumerate(b):
+                best[j + 1] = old[j] + 1 if g == h else max(old[j + 1], best[j])
+        assert likeness(a, b) == (1.0 if a == b else 2 * best[-1] / (len(a) + len(b)))
