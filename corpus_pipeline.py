@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairloom.llm.decontaminate import decontaminate
 from pairloom.llm.language import UNKNOWN, learn_from_documents, predict
 from pairloom.llm.mixing import mixed_documents
-from pairloom.llm.near_copies import drop_near_copies
+from pairloom.llm.simhash import near_dedup
 from pairloom.llm.tables import fresh, read_table
 from pairloom.workspace import new_path, temporary
 
@@ -28,8 +28,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    return drop_near_copies(docs)
+    """One document of each group that fingerprints link: the one with the smallest id."""
+    return near_dedup(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
