@@ -12,18 +12,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.tables import fresh, read_table, without
 from pairloom.workspace import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DEPTH = 6  # levels of the tree; what lies below is one wildcard
 MIN_LABELS = 5  # labelled pages that a branch and its siblings need to be told apart
 Z = 1.96
 PRIOR_PAGES = 10.0  # weight of the overall share, in labelled pages
 MIN_PURITY = 0.5
+PRIOR_PURITY = 0.6  # of templates that inherit: above the bound, so little evidence blocks nothing
 BROADCAST_TEMPLATES = 200_000  # at about 200 bytes each; more are joined by a shuffle
 
 # (verdict, host and path) of the registered query.
@@ -57,47 +57,82 @@ def _segments(path: Column) -> Column:
     return F.transform(found, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
 
 
-def template_tree(pages: DataFrame) -> DataFrame:
-    """(host, segments, template, n_labelled, n_bad): one row for each shape of a path on a host.
+def _level(shapes: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """The shapes with one more step of their template, and the labelled nodes (host, template, n, b) of this level.
+
+    Counts are added up by partial aggregation; what is joined back are the
+    steps that stay literal: those that labels tell apart, at most one for
+    ``MIN_LABELS`` labelled pages, and the only children of their node.
+    """
+    shapes = shapes.withColumn("step", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
+    children = shapes.groupBy("host", "template", "step").agg(
+        F.sum("labelled").alias("n1"), F.sum("bad").alias("b1"), F.count("*").alias("shapes")
+    )
+    children = materialize(children, "url-children")
+    nodes = children.groupBy("host", "template").agg(
+        F.sum("n1").alias("n"), F.sum("b1").alias("b"), F.count("*").alias("kinds"),
+        F.sum("shapes").alias("shapes"), F.min("step").alias("step"),
+    )
+    told = children.where(F.col("n1") >= MIN_LABELS).drop("shapes").join(nodes.select("host", "template", "n", "b"), ["host", "template"])
+    told = told.withColumns({"n2": F.col("n") - F.col("n1"), "b2": F.col("b") - F.col("b1")}).where(F.col("n2") >= MIN_LABELS)
+    pooled = (F.col("b1") + F.col("b2")) / (F.col("n1") + F.col("n2"))
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n2")))
+    apart = F.abs(F.try_divide("b1", "n1") - F.try_divide("b2", "n2")) > Z * spread
+    only = nodes.where("kinds = 1")
+    literal = told.where(apart).select("host", "template", "step", F.lit(False).alias("alone")).unionByName(
+        only.select("host", "template", "step", (F.col("shapes") == 1).alias("alone"))
+    )
+    steps = shapes.join(literal, ["host", "template", "step"], "left")
+    rest = F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments"), F.lit(1))), "/")
+    step = F.when(F.col("alone"), rest).when(F.col("alone").isNull(), F.lit("*")).otherwise(F.col("step"))
+    ended = F.col("step") == ""
+    template = F.when(ended, F.col("template")).otherwise(F.concat("template", F.lit("/"), step))
+    moved = steps.select(
+        "host", "segments", "labelled", "bad", template.alias("template"), (ended | F.coalesce("alone", F.lit(False))).alias("done")
+    )
+    return moved, nodes.where("n > 0").select("host", "template", "n", "b")
+
+
+def template_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (host, segments, labelled, bad, template), a row for each shape of a path on a host, and the
+    labelled nodes (host, template, n, b) of the trees, templates included.
 
     ``pages`` has host, path and bad (null: not labelled). Pages are added up
-    by shape first, so a large host is a few rows; the counts are those of the
-    template.
+    by shape first. The tree goes down until no shape has a further segment; a
+    shape that is alone below its node is settled at once, so one very long path
+    costs no levels of its own.
     """
     shapes = pages.groupBy("host", _segments(F.col("path")).alias("segments")).agg(
-        F.count("bad").alias("labelled"), F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("bad")
+        F.count("bad").alias("labelled"), F.coalesce(F.sum(F.when(F.col("bad"), 1).otherwise(0)), F.lit(0)).alias("bad")
     )
-    shapes = shapes.withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        shapes = shapes.withColumn("step", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
-        node, child = Window.partitionBy("host", "template"), Window.partitionBy("host", "template", "step")
-        first = F.row_number().over(child.orderBy("segments")) == 1
-        shapes = shapes.withColumns(
-            {
-                "first": first.cast("int"), "n1": F.sum("labelled").over(child), "b1": F.sum("bad").over(child),
-                "n2": F.sum("labelled").over(node), "b2": F.sum("bad").over(node),
-            }
-        )
-        shapes = shapes.withColumns(
-            {"kinds": F.sum("first").over(node), "n2": F.col("n2") - F.col("n1"), "b2": F.col("b2") - F.col("b1")}
-        )
-        pooled = (F.col("b1") + F.col("b2")) / (F.col("n1") + F.col("n2"))
-        spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n2")))
-        apart = F.abs(F.col("b1") / F.col("n1") - F.col("b2") / F.col("n2")) > Z * spread
-        # Nested, as a division by zero is an error wherever it is evaluated.
-        told = F.when(F.least("n1", "n2") >= MIN_LABELS, apart).otherwise(F.lit(False))
-        step = F.when((F.col("kinds") == 1) | told, F.col("step")).otherwise("*")
-        shapes = shapes.withColumn(
-            "template",
-            F.when(F.col("step") == "", F.col("template")).otherwise(F.concat("template", F.lit("/"), step)),
-        ).select("host", "segments", "labelled", "bad", "template")
-    deep = F.size("segments") > DEPTH
-    shapes = shapes.withColumn("template", F.when(deep, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-    same = Window.partitionBy("host", "template")
-    return shapes.select(
-        "host", "segments", "template",
-        F.sum("labelled").over(same).alias("n_labelled"), F.sum("bad").over(same).alias("n_bad"),
+    going = materialize(shapes.withColumn("template", F.lit("")), "url-shapes")
+    settled, nodes, level = [], [], 0
+    while not going.isEmpty():
+        moved, labelled = _level(going, level)
+        moved = materialize(moved, "url-shapes")
+        settled.append(moved.where("done").drop("done"))
+        nodes.append(labelled)
+        going, level = moved.where("NOT done").drop("done"), level + 1
+    empty = going.limit(0)
+    for part in settled:
+        empty = empty.unionByName(part)
+    templates = empty.groupBy("host", "template").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).where("n > 0")
+    for part in nodes:
+        templates = templates.unionByName(part)
+    # A template that ends at an inner node counts its own pages only, not the node's.
+    return empty, templates.groupBy("host", "template").agg(F.min_by(F.struct("n", "b"), "n").alias("c")).select("host", "template", "c.n", "c.b")
+
+
+def _inherited(shapes: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(host, template, n, b): the counts of the nearest labelled node on the way up, the template itself included."""
+    names = shapes.select("host", "template").distinct()
+    parts = F.split("template", "/", -1)
+    up = names.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn(
+        "above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/")
     )
+    found = up.join(labelled.withColumnRenamed("template", "above"), ["host", "above"])
+    nearest = F.max_by(F.struct("n", "b", (F.col("above") == F.col("template")).alias("own")), "depth")
+    return found.groupBy("host", "template").agg(nearest.alias("c")).select("host", "template", "c.n", "c.b", "c.own")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", bad_col: str = "bad") -> DataFrame:
@@ -106,24 +141,27 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_c
     ``bad_col`` says which pages are labelled bad or good, null leaves a page
     unlabelled. The verdict is that of the longest rule, else that of the
     template: its purity is the share of good labelled pages, smoothed by
-    ``PRIOR_PAGES`` pages with the overall share. Without any label all
-    templates are allowed. Null and malformed urls have an empty host and path
+    ``PRIOR_PAGES`` pages with the overall share. A template without labels
+    has the purity of the nearest node above it that has some, smoothed by as
+    many pages of ``PRIOR_PURITY``; without any label up to its host it is
+    allowed, with purity 1. Null and malformed urls have an empty host and path
     and are judged by their own template. Repeated rows stay repeated.
     """
     names = ("host", "path", "rule", "template", "purity", "verdict")
     split = without(pages, names).withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
-    tree = materialize(template_tree(split.select("host", "path", F.col(bad_col).alias("bad"))), "url-templates")
-    totals = tree.select("host", "template", "n_labelled", "n_bad").distinct().agg(
-        F.coalesce(F.sum("n_labelled"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_bad"), F.lit(0)).alias("b")
-    ).first()
+    counted = split.select("host", "path", F.col(bad_col).alias("bad"))
+    totals = counted.agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("int")), F.lit(0)).alias("b")).first()
     overall = 1 - totals["b"] / totals["n"] if totals["n"] else 1.0
-    good = F.col("n_labelled") - F.col("n_bad")
+    shapes, labelled = template_tree(counted)
+    prior = PRIOR_PAGES * F.when(F.col("own"), F.lit(overall)).otherwise(PRIOR_PURITY)
+    purity = (F.col("n") - F.col("b") + prior) / (F.col("n") + PRIOR_PAGES)
+    judged = _inherited(shapes, labelled).select("host", "template", purity.alias("purity"))
     site, shape, key = (fresh(split, name) for name in ("tree_host", "tree_segments", "page_segments"))
-    templates = tree.select(
-        F.col("host").alias(site), F.col("segments").alias(shape), "template",
-        ((good + PRIOR_PAGES * overall) / (F.col("n_labelled") + PRIOR_PAGES)).alias("purity"),
+    tree = shapes.join(judged, ["host", "template"], "left").select(
+        F.col("host").alias(site), F.col("segments").alias(shape), "template", F.coalesce("purity", F.lit(1.0)).alias("purity")
     )
-    if tree.count() <= BROADCAST_TEMPLATES:
+    templates = materialize(tree, "url-templates")
+    if templates.count() <= BROADCAST_TEMPLATES:
         templates = F.broadcast(templates)
     keyed = split.withColumn(key, _segments(F.col("path")))
     judged = keyed.join(templates, (F.col("host") == F.col(site)) & (F.col(key) == F.col(shape)))

@@ -46,7 +46,7 @@ def test_templates_and_verdicts(spark):
     assert by["h.com", "/bad/#/x"] == {"block"}
     assert ("h.com", "/*/z") in by  # likea and likeb cannot be told apart
     assert by["k.com", "/*/#"] == {"allow"}
-    assert by["deep.com", "/a/b/c/d/e/f/**"] == {"allow"}
+    assert by["deep.com", "/a/b/c/d/e/f/g/h/i/j"] == {"allow"}
     assert by["k.net", "/x"] == {"block"}
     purity = {r["template"]: r["purity"] for r in rows if r["host"] == "h.com"}
     overall = 1 - 61 / 121
@@ -69,3 +69,74 @@ def test_labels_follow_the_number_in_the_url(spark):
 def test_empty_table_and_no_rules(spark):
     assert judge_urls(_pages(spark).limit(0)).count() == 0
     assert {r["rule"] for r in judge_urls(_pages(spark), rules=()).collect()} == {None}
+
+
+def _plain_tree(rows):
+    """Brute force: (host, segments) -> template, top down, one node at a time."""
+    import math
+
+    out = {}
+
+    def go(host, shapes, level, template):
+        kinds = {}
+        for segments, counts in shapes.items():
+            kinds.setdefault(segments[level] if level < len(segments) else "", {})[segments] = counts
+        n, b = (sum(c[i] for c in shapes.values()) for i in (0, 1))
+        below = {}
+        for step, part in kinds.items():
+            n1, b1 = (sum(c[i] for c in part.values()) for i in (0, 1))
+            n2, b2, told = n - n1, b - b1, False
+            if min(n1, n2) >= 5:
+                pooled = b / n
+                told = abs(b1 / n1 - b2 / n2) > 1.96 * math.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
+            if step == "":
+                out.update({(host, segments): template for segments in part})
+            else:
+                below.setdefault(step if len(kinds) == 1 or told else "*", {}).update(part)
+        for step, part in below.items():
+            go(host, part, level + 1, f"{template}/{step}")
+
+    hosts = {}
+    for host, segments, bad in rows:
+        counts = hosts.setdefault(host, {}).setdefault(segments, [0, 0])
+        counts[0] += bad is not None
+        counts[1] += bool(bad)
+    for host, shapes in hosts.items():
+        go(host, shapes, 0, "")
+    return out
+
+
+def test_templates_equal_those_of_a_plain_tree(spark):
+    import random
+
+    rng, rows = random.Random(4), []
+    for _ in range(1500):
+        host, depth = f"h{rng.randrange(3)}", rng.randint(0, 12)
+        segments = tuple(rng.choice("ab" if k < 3 or rng.random() < 0.6 else "abcdefgh") for k in range(depth))
+        bad = rng.choice((None, "".join(segments[:2]) == "ab" or rng.random() < 0.2))
+        rows.append((host, segments, bad))
+    urls = [(f"x://{host}/" + "/".join(segments), bad) for host, segments, bad in rows]
+    got = judge_urls(spark.createDataFrame(urls, "url string, bad boolean").repartition(5)).collect()
+    expected = _plain_tree(rows)
+    assert len(got) == 1500 and any("*" in t for t in expected.values()) and max(t.count("/") for t in expected.values()) > 8
+    for r in got:
+        assert r["template"] == expected[r["host"], tuple(s for s in r["path"].split("/") if s)]
+
+
+def test_a_host_of_slugs_and_a_very_long_path(spark):
+    slugs = F.concat(F.lit("x://shop.com/item/"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    long = "x://calm.com/" + "/".join(f"p{k}x" for k in range(3000))
+    pages = spark.range(50_000).select(slugs.alias("url"), (F.col("id") % 100 == 0).alias("seen"))
+    pages = pages.select("url", F.when(F.col("seen"), F.lit(True)).alias("bad"))
+    pages = pages.unionByName(spark.createDataFrame([(long, None), (long, None)], "url string, bad boolean"))
+    got = judge_urls(pages).groupBy("template", "verdict").count().collect()
+    assert sorted((r["template"].count("/"), r["verdict"], r["count"]) for r in got) == [(2, "block", 50_000), (3000, "allow", 2)]
+
+
+def test_pages_without_labels_follow_the_nearest_labelled_branch(spark):
+    rows = [(f"x://h/spam/{i}", True) for i in range(30)] + [(f"x://h/news/{i}", False) for i in range(60)]
+    rows += [("x://h/spam/deep/er", None), ("x://h/other", None), ("x://unseen/a", None)]
+    got = {r["url"]: r for r in judge_urls(spark.createDataFrame(rows, "url string, bad boolean"), rules=()).collect()}
+    assert got["x://h/spam/3"]["verdict"] == got["x://h/spam/deep/er"]["verdict"] == "block"
+    assert got["x://h/other"]["verdict"] == got["x://unseen/a"]["verdict"] == "allow"
+    assert got["x://unseen/a"]["purity"] == 1.0
