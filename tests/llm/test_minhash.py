@@ -1,0 +1,126 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom.llm import minhash
+from pairloom.llm.minhash import _sketcher, alike, near_duplicate_groups, plain_words, shingles
+
+WORDS = [f"w{i}" for i in range(4000)]
+
+
+def _edited(rng, text, n):
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = "edit" + str(rng.randrange(10**6))
+    return " ".join(words)
+
+
+def _sets(texts):
+    ascii_lower = str.maketrans(minhash.UPPER, minhash.LOWER)
+    out = []
+    for t in texts:
+        words = (t or "").translate(ascii_lower).encode().split()
+        out.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def _expected(texts):
+    sets, root = _sets(texts), list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= 85 * len(a | b) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+
+
+def _got(docs):
+    return {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicate_groups(docs).collect()}
+
+
+def test_groups_by_exact_similarity(spark):
+    rng = random.Random(3)
+    texts = [None, "", " \t", "too short", "Too  SHORT", "TOO \x0bshort", "ÉTÉ", "été", "a b", "a b", "one"]
+    for _ in range(60):
+        first = " ".join(rng.choice(WORDS) for _ in range(rng.randint(20, 400)))
+        texts += [first, *(_edited(rng, first, max(1, len(first.split()) * k // 200)) for k in (1, 3, 4, 5, 8))]
+    texts += [f"{i} " + " ".join(WORDS[:3000]) * 30 for i in range(3)]  # very long ones
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    docs = docs.withColumns({c: F.lit(c) for c in ("id", "key", "fp", "words", "u", "v", "n", "root", "component_id")})
+    expected = _expected(texts)
+    assert 60 < sum(i != r for i, (_, r) in expected.items()) < len(texts) - 60
+    assert _got(docs) == expected
+    assert expected[1] == (0, 1) and expected[4][1] == 3 and expected[7][1] == 7
+
+
+@pytest.mark.parametrize("edits", [4, 5, 6])
+def test_near_copies_of_a_text_at_the_bound(spark, edits, monkeypatch):
+    """Copies with edits in random places, alike to their origin or not, and hardly ever to each other."""
+    rng = random.Random(edits)
+    first = " ".join(rng.choice(WORDS) for _ in range(150))
+    texts = [_edited(rng, first, edits - rng.randint(0, 2)) for _ in range(120)] + [first if edits == 5 else "other"]
+    # Edits in common make copies alike that are both far from the leader.
+    texts += [_edited(rng, texts[k], 1) for k in range(0, 40, 2)]
+    seen = []
+    real = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, label: seen.append((label, t := real(df, label), t.count())) or t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert _got(docs) == _expected(texts)
+    pairs = {label: n for label, _, n in seen if label in ("stars", "rest-pairs")}
+    assert pairs["stars"] <= 32 * len(texts) and pairs["rest-pairs"] <= 6 * len(texts)
+
+
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
+    """2,000 texts that have half of their words in common and nothing else."""
+    rng = random.Random(8)
+    passage = " ".join(WORDS[:60])
+    texts = [passage + " " + " ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(2000)]
+    counts = {}
+    real = minhash.materialize
+
+    def counted(df, label):
+        table = real(df, label)
+        counts.setdefault(label, table.count())
+        return table
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert _got(docs) == {i: (n, i) for i, (n, _) in _expected(texts[:1]).items()} | {i: (len(s), i) for i, s in enumerate(_sets(texts))}
+    assert counts["stars"] <= 8 * len(texts) and counts["rest-pairs"] == 0
+
+
+def test_repeated_and_null_ids_and_an_empty_table(spark):
+    text = " ".join(WORDS[:50])
+    rows = [(9, text), (9, text), (None, text + " more"), (None, "alone here"), (4, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, near_duplicate_groups(docs).collect()), key=str)
+    assert got == sorted([(9, 46, 9), (9, 46, 9), (None, 47, 9), (None, 1, None), (4, 0, 4), (None, 0, None)], key=str)
+    assert near_duplicate_groups(docs.limit(0)).count() == 0
+
+
+def test_every_coordinate_is_filled_and_estimates_the_similarity():
+    import numpy as np
+
+    rng, sketch = np.random.default_rng(1), _sketcher(256)
+    for n in (1, 2, 5, 30, 300, 70_000):
+        assert (sketch(rng.integers(0, 1 << 63, n, np.uint64)) != np.uint64(2**64 - 1)).all()
+    off = []
+    for _ in range(60):
+        both = rng.integers(0, 1 << 63, 700, np.uint64)
+        a, b = both[:600], both[100:]
+        off.append((sketch(a) == sketch(b)).mean() - 500 / 700)
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.04
+    assert (sketch(both) == sketch(both[::-1])).all()
+
+
+def test_shingles_and_the_bound(apply):
+    assert apply(plain_words, ["AÉ\tb \r\n", None, "  x"]) == ["aÉ b", "", "  x"]
+    assert shingles("") == set() and shingles("a b") == {b"a b"} and len(shingles("a b c d e f")) == 2
+    assert alike(85, 85, 100) and not alike(84, 84, 100)

@@ -80,7 +80,7 @@ def test_stages_of_an_empty_table(spark, sf_dir):
 
 def test_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(driver.queries())
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert "pipeline" not in driver.oracle_sql()
 
 
