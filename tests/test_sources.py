@@ -1,5 +1,9 @@
+import csv
+import io
+import random
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +158,81 @@ def test_discard_of_a_name_with_a_blank(spark):
     assert table.count() == 3
     discard(table)
     assert not list(Path(shared_dir(spark)).glob("gone with blank-*"))
+
+
+def test_quotes_within_plain_fields_are_text(spark, tmp_path):
+    text = 'en,vi\n5" pipe,ong\na,b\nthe 7" disc,x\nc,d\n"q" tail "x",say "hi"\n"two\nlines, 5"" wide",""\n \t\ne,f"\n"g\n'
+    (tmp_path / "inch.csv").write_text('\ufeff' + text + '",h\n', encoding="utf-8")
+    want = pd.read_csv(tmp_path / "inch.csv", dtype=str, keep_default_na=False)
+    got = [(r.en, r.vi) for r in pairs.read_pairs_csv(spark, str(tmp_path)).orderBy("pair_id").collect()]
+    assert got == list(want.itertuples(index=False, name=None)) and len(got) == 8
+
+
+def test_a_field_that_never_ends_is_malformed(spark, tmp_path):
+    (tmp_path / "open.csv").write_text('en,vi\na,b\nc,"d\ne,f\n', encoding="utf-8")
+    rows = pairs.read_pairs_csv(spark, str(tmp_path), keep_malformed=True).collect()
+    assert {(r.en, r.vi, r.malformed_record) for r in rows} == {("a", "b", None), (None, None, 'c,"d\ne,f')}
+    with pytest.raises(Exception, match="without end"):
+        pairs.read_pairs_csv(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("block", [7, 31, 100_000])
+def test_any_text_in_blocks_of_any_size(spark, tmp_path, block):
+    rng = random.Random(block)
+    for n in range(6):
+        body = "".join(rng.choices(['"', ",", "\n", "a", " ", '""', '","', '"\n"'], [4, 4, 4, 5, 1, 2, 2, 1], k=150 * (n + 1)))
+        (tmp_path / f"{n}.csv").write_text("en,vi\n" + body, encoding="utf-8", newline="")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = pairs.read_pairs_csv(spark, str(tmp_path), keep_malformed=True).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    whole = sorted(((r.en or "", r.vi or "") for r in got if r.malformed_record is None))
+    want, malformed = [], 0
+    for file in tmp_path.glob("*.csv"):
+        text = file.read_text(encoding="utf-8")
+        rows = _plain_csv(text)
+        if rows[-1][-1] is not None:  # the standard reader takes what never ends for ended
+            assert [r for r in csv.reader(io.StringIO(text, newline="")) if "".join(r).strip(" ") or len(r) > 1] == [
+                r for r in rows if "".join(r).strip(" ") or len(r) > 1
+            ]
+        for row in rows[1:]:
+            malformed += len(row) > 2 or row[-1] is None
+            if len(row) <= 2 and row[-1] is not None:
+                want.append(tuple((row + [""])[:2]))
+    assert whole == sorted(want) and len(whole) > 50
+    assert sum(r.malformed_record is not None for r in got) == malformed > 50
+
+
+def _plain_csv(text):
+    """One character at a time: the rows; the last field of a row that never ends is None."""
+    rows, row, field, state, line = [], [], "", "start", ""
+    for c in text + "\n":
+        line += c
+        if c == "\n" and state != "inside":
+            if line.strip(" \t\n") or len(row) or state == "quote":
+                rows.append(row + [field])
+            row, field, state, line = [], "", "start", ""
+        elif state == "inside":
+            state, field = ("quote", field) if c == '"' else (state, field + c)
+        elif state == "quote" and c == '"':
+            state, field = "inside", field + c
+        elif c == ",":
+            row, field, state = row + [field], "", "start"
+        elif state == "start" and c == '"':
+            state = "inside"
+        else:
+            state, field = "plain", field + c
+    if state == "inside":
+        rows.append(row + [None])
+    return rows
+
+
+def test_very_long_lines_of_quotes(spark, tmp_path):
+    long = '""' * 300_000
+    (tmp_path / "long.csv").write_text(f'en,vi\n"{long}",b\n' + "a," + "b" * 10 + '"' * 200_001 + "\nc,d\n", encoding="utf-8")
+    rows = pairs.read_pairs_csv(spark, str(tmp_path)).orderBy("pair_id").collect()
+    assert [(len(r.en), len(r.vi)) for r in rows] == [(300_000, 1), (1, 200_011), (1, 1)]
