@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.terms import VIETNAMESE_TERMS
 from pairloom.functions.text import clean
+from pairloom.workspace import materialize
 
 
 def union_sources(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -16,14 +17,29 @@ def union_sources(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
+def _row_digest(df: DataFrame, id_column: str) -> Column:
+    """32 hex digits of all columns but the id, in order of their names."""
+    raw = sorted(c for c in df.columns if c != id_column)
+    return F.md5(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in raw]), {"ignoreNullFields": "false"}))
+
+
 def dedup_pairs(df: DataFrame, id_column: str = "pair_id") -> DataFrame:
-    """One row per distinct combination of all raw columns, under its smallest id.
+    """One row per distinct combination of all raw columns, under its smallest id; ids must be unique.
 
-    Copies collapse in the map-side half of the aggregation, so a pair that
-    fills a third of the input reaches the shuffle once per task.
+    ``df`` is evaluated once and written. What is shuffled for every row is a
+    digest and an id, and of a digest that repeats, a third of the input or
+    not, one row per task. Texts are compared only where a digest repeats, and
+    collapse in the map-side half of that; the copies that lose go by their ids.
     """
     raw = [c for c in df.columns if c != id_column]
-    return df.groupBy(*raw).agg(F.min(id_column).alias(id_column)).select(*df.columns)
+    rows = materialize(df.withColumn("_digest", F.unhex(_row_digest(df, id_column))), "dedup-rows")
+    repeated = rows.groupBy("_digest").agg(F.count("*").alias("n")).where("n > 1").select("_digest")
+    repeated = materialize(repeated, "dedup-digests")
+    again = rows.join(repeated, "_digest", "left_semi")
+    kept = again.groupBy(*raw).agg(F.min(id_column).alias(id_column)).select(id_column)
+    losers = again.select(id_column).join(kept, id_column, "left_anti")
+    losers = materialize(losers, "dedup-losers")
+    return rows.join(losers, id_column, "left_anti").select(*df.columns)
 
 
 def content_key(df: DataFrame, id_column: str = "pair_id") -> DataFrame:
@@ -32,9 +48,7 @@ def content_key(df: DataFrame, id_column: str = "pair_id") -> DataFrame:
     Unlike an id given while reading it does not depend on how files are cut
     into tasks; after ``dedup_pairs`` it is unique.
     """
-    raw = sorted(c for c in df.columns if c != id_column)
-    row = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in raw]), {"ignoreNullFields": "false"})
-    return df.withColumn("pair_key", F.md5(row))
+    return df.withColumn("pair_key", _row_digest(df, id_column))
 
 
 def clean_pairs(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.operators.rank import rank_by_hash, seeded_hash
+from pairloom.operators.rank import comes_before, rows_at, seeded_hash
+from pairloom.workspace import materialize
 
 
 def split_by_hash(
@@ -28,17 +30,22 @@ def split_by_hash(
 def split_exact(
     df: DataFrame, held_out: float = 0.2, seed: int = 42, key: Sequence[str] = ("pair_id",)
 ) -> DataFrame:
-    """Adds ``split`` with exact sizes: ceil(held_out * n) rows held out, the larger half of them test."""
-    ranked = rank_by_hash(df, seed, key)
-    held = F.ceil(F.lit(float(held_out)) * F.col("n_total"))
-    test = F.ceil(held * F.lit(0.5))
-    train_end = F.col("n_total") - held
-    return ranked.withColumn(
-        "split",
-        F.when(F.col("rank") < train_end, "train")
-        .when(F.col("rank") < F.col("n_total") - test, "val")
-        .otherwise("test"),
-    ).drop("rank", "n_total")
+    """Adds ``split`` with exact sizes: ceil(held_out * n) rows held out, the larger half of them test.
+
+    ``key`` must be unique. Its hashes are written once; the two rows at which
+    the parts begin are selected from them by histograms. Then each row is told
+    its part by itself: no row is ranked or shuffled.
+    """
+    order = ["_hash", *key]
+    keys = materialize(df.select(*key).withColumn("_hash", seeded_hash(seed, key)), "split-keys")
+    total = keys.count()
+    held = math.ceil(held_out * total)
+    val, test = rows_at(keys, order, [total - held, total - math.ceil(held * 0.5)], "_hash")
+    hashed = df.withColumn("_hash", seeded_hash(seed, key))
+    part = F.lit("train") if val is None else F.when(comes_before(order, val, hashed), "train").otherwise("val")
+    if test is not None:
+        part = F.when(comes_before(order, test, hashed), part).otherwise("test")
+    return hashed.withColumn("split", part).drop("_hash")
 
 
 def split_pairs(
