@@ -16,6 +16,11 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
 lines AS (SELECT a.doc_id * 4294967296 + a.i AS pair_id, a.line AS en, b.line AS vi
           FROM l a JOIN l b ON b.doc_id = a.doc_id + 1 AND a.doc_id // 2 = b.doc_id // 2 AND a.i = b.i)"""
 
+ALL_LINES = """
+all_lines AS (SELECT doc_id * 4294967296 + i AS line_id, text
+              FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text,
+                           generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
+
 TURNS = """
 turns AS (SELECT u.conv_id * 4294967296 + u.turn AS pair_id, u.text AS en, a.text AS vi
           FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
@@ -240,18 +245,18 @@ ORACLES: dict[str, str] = {
         SELECT min(pair_id) AS pair_id, en, vi FROM (SELECT * FROM lines UNION ALL SELECT * FROM turns) GROUP BY en, vi""",
     "union_missing_columns": f"""WITH {LINES}, {TURNS}
         SELECT pair_id, en, vi, 'talk' AS topic FROM turns UNION ALL SELECT pair_id, en, vi, NULL FROM lines""",
-    "nfc_text": f"WITH {LINES} SELECT pair_id, nfc_normalize({dirtied('en')}) AS en, nfc_normalize({dirtied('vi')}) AS vi FROM lines",
+    "nfc_text": f"WITH {ALL_LINES} SELECT line_id, nfc_normalize({dirtied('text')}) AS text FROM all_lines",
     "squeeze_text": f"WITH {TURNS} SELECT pair_id, {squeezed(dirtied('en'))} AS en, {squeezed(dirtied('vi'))} AS vi FROM turns",
     "clean_text_pairs": f"""WITH {LINES}, {TURNS}, both_views AS (SELECT * FROM lines UNION ALL SELECT * FROM turns)
         SELECT pair_id, {cleaned(dirtied("en"))} AS en_normalized, {cleaned(dirtied("vi"))} AS vi_normalized
         FROM {DEDUP.format("both_views")}""",
-    "protect_terms_exact": f"""WITH {LINES},
-        w AS (SELECT pair_id, {protected(cleaned("vi"))} AS t FROM lines),
-        parts AS (SELECT pair_id, string_split_regex(t, '__(.+?)__') AS outside,
+    "protect_terms_exact": f"""WITH {ALL_LINES},
+        w AS (SELECT line_id, {protected(cleaned("text"))} AS t FROM all_lines),
+        parts AS (SELECT line_id, string_split_regex(t, '__(.+?)__') AS outside,
                          regexp_extract_all(t, '__(.+?)__', 1) AS inside FROM w)
-        SELECT pair_id, array_to_string(list_transform(outside, lambda p, k:
-                   p || coalesce(replace(inside[k], '_', ' '), '')), '') AS vi_normalized FROM parts""",
-    "protect_terms_safe": f"WITH {LINES} SELECT pair_id, {cleaned(dirtied('vi'))} AS vi_normalized FROM lines",
+        SELECT line_id, array_to_string(list_transform(outside, lambda p, k:
+                   p || coalesce(replace(inside[k], '_', ' '), '')), '') AS text FROM parts""",
+    "protect_terms_safe": f"WITH {ALL_LINES} SELECT line_id, {cleaned(dirtied('text'))} AS text FROM all_lines",
     "measure_pairs": f"""{MEASURED}
         SELECT pair_id, en_length, vi_length, length_ratio FROM measured""",
     "filter_pairs": f"""{KEPT} SELECT pair_id, en_normalized, vi_normalized, en_length, vi_length,
@@ -289,10 +294,9 @@ ORACLES: dict[str, str] = {
     "char_counts": f"WITH {WORDS} SELECT piece, freq FROM chars",
     "top_pieces": f"WITH {WORDS} SELECT piece, freq FROM chars ORDER BY freq DESC, piece LIMIT 20",
     "bpe_merges": MERGES,
-    "bpe_vocab_size": f"""WITH {WORDS},
-        v AS (SELECT count(DISTINCT c) AS n FROM (SELECT unnest(string_split(vi_normalized, '')) AS c FROM measured) WHERE c <> '')
+    "bpe_vocab_size": f"""WITH {WORDS}
         SELECT 'en' AS lang, least({CHAR_VOCAB}, 4 + (SELECT count(*) FROM chars)) AS n_pieces
-        UNION ALL SELECT 'vi', least({CHAR_VOCAB}, 4 + {len(TERMS)} + (SELECT n FROM v))""",
+        UNION ALL SELECT 'vi', least({CHAR_VOCAB}, 4 + {len(TERMS)} + (SELECT count(*) FROM chars))""",
     "encode_words": f"""WITH {ENCODED}
         SELECT pair_id, array_to_string(src_ids, ' ') AS src_ids, array_to_string(tgt_ids, ' ') AS tgt_ids,
                CAST(len(src_ids) AS INT) AS src_len, CAST(len(tgt_ids) AS INT) AS tgt_len FROM encoded""",
@@ -373,6 +377,11 @@ ORACLES: dict[str, str] = {
         SELECT p[1] AS en, p[2] AS vi FROM p WHERE len(p) >= 2""",
     "csv_files": f"""WITH {TURNS} SELECT en, vi, NULL AS malformed_record FROM turns
         UNION ALL SELECT NULL, NULL, CAST(pair_id AS VARCHAR) || ',a,"b, c"' FROM turns""",
+    "csv_literal_quotes": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+        SELECT CAST(doc_id * 4294967296 + i AS VARCHAR) || '" by 5" pipe' AS en,
+               'a "' || line || '"' || chr(10) || chr(10) || 'b' AS vi, ' 7" disc' AS size, 'q tail"' AS note,
+               CAST(NULL AS VARCHAR) AS malformed_record FROM l""",
     "csv_round_trip": f"WITH {TURNS} SELECT en, vi, 'talk' AS topic FROM turns",
     "splits_round_trip": f"""WITH {LINES}, unique_lines AS {DEDUP.format("lines")}, {measured("unique_lines")}, {kept()}
         SELECT pair_id, en, vi_normalized, length_ratio, {SPLIT} AS split FROM kept JOIN unique_lines USING (pair_id)""",
@@ -403,5 +412,7 @@ ORACLES: dict[str, str] = {
 for copy, original in (
     ("epoch_comparison_file", "compare_epochs"),
     ("translation_comparison_file", "compare_translations"),
+    ("compare_stored_runs", "compare_translations"),
+    ("resumed_translations", "translate_batches"),
 ):
     ORACLES[copy] = ORACLES[original]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +77,8 @@ def _dirty(pairs_: DataFrame) -> DataFrame:
 
 
 def nfc_text(spark, sf_dir):
-    lines = _dirty(views.bitext_lines(spark, sf_dir))
-    return lines.select("pair_id", nfc(F.col("en")).alias("en"), nfc(F.col("vi")).alias("vi"))
+    lines = views.document_lines(spark, sf_dir)
+    return lines.select("line_id", nfc(views.dirtied(F.col("text"))).alias("text"))
 
 
 def squeeze_text(spark, sf_dir):
@@ -92,14 +93,13 @@ def clean_text_pairs(spark, sf_dir):
 
 
 def protect_terms_exact(spark, sf_dir):
-    cleaned = views.bitext_lines(spark, sf_dir).withColumn("text", clean(F.col("vi")))
-    return cleaned.select("pair_id", protect_terms(F.col("text"), TERMS, "exact").alias("vi_normalized"))
+    cleaned = views.document_lines(spark, sf_dir).select("line_id", clean(F.col("text")).alias("text"))
+    return cleaned.select("line_id", protect_terms(F.col("text"), TERMS, "exact").alias("text"))
 
 
 def protect_terms_safe(spark, sf_dir):
-    return _dirty(views.bitext_lines(spark, sf_dir)).select(
-        "pair_id", clean(F.col("vi"), is_target=True, terms=TERMS).alias("vi_normalized")
-    )
+    lines = views.document_lines(spark, sf_dir).withColumn("text", views.dirtied(F.col("text")))
+    return lines.select("line_id", clean(F.col("text"), is_target=True, terms=TERMS).alias("text"))
 
 
 def measure_pairs(spark, sf_dir):
@@ -190,9 +190,8 @@ def bpe_merges(spark, sf_dir):
 
 
 def bpe_vocab_size(spark, sf_dir):
-    cleaned = _cleaned(spark, sf_dir)
-    en, _ = subword.learn_bpe(subword.word_counts(cleaned, "en_normalized"), CHAR_VOCAB, "en")
-    vi, _ = subword.learn_bpe(subword.word_counts(cleaned, "vi_normalized", TERMS), CHAR_VOCAB, "vi", TERMS)
+    en, _ = subword.learn_bpe(_words(spark, sf_dir), CHAR_VOCAB, "en")
+    vi, _ = subword.learn_bpe(_words(spark, sf_dir, TERMS), CHAR_VOCAB, "vi", TERMS)
     return subword.vocab_size(en.unionByName(vi))
 
 
@@ -382,6 +381,22 @@ def compare_translations(spark, sf_dir):
     return runs.compare_translations(fifth, third, "fifth", "third")
 
 
+def compare_stored_runs(spark, sf_dir):
+    names = [f"{name}_{uuid.uuid4().hex}" for name in ("fifth", "third")]
+    for name, nth in zip(names, (5, 3)):
+        tables.write_run(views.scored_lines(spark, sf_dir, nth), name, 16)
+    both = runs.compare_stored(spark, *names)
+    return both.withColumnsRenamed(dict(zip(names, ("fifth", "third"))))
+
+
+def resumed_translations(spark, sf_dir):
+    """Half of the batches are there from an earlier call."""
+    path = new_path(spark, "resumed")
+    lines = views.scored_lines(spark, sf_dir).drop("translation").withColumn("batch_id", F.pmod(F.xxhash64("sample_id"), F.lit(50)))
+    evaluate.translate_into(path, lines.where("batch_id % 2 = 0"), reverse_words())
+    return evaluate.translate_into(path, lines, reverse_words()).select("sample_id", "translation")
+
+
 def head_translations(spark, sf_dir):
     return runs.head(compare_translations(spark, sf_dir))
 
@@ -420,6 +435,13 @@ def csv_round_trip(spark, sf_dir):
     return read_pairs_csv(spark, path).select("en", "vi", "topic")
 
 
+def _write_lines(lines: DataFrame, head: str, path: str) -> None:
+    """Lines as text files, each with the header before its first line."""
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    line = F.when(first, F.concat(F.lit(head + "\n"), "line")).otherwise(F.col("line"))
+    tables.write_corpus_text(lines.select(line.alias("headed")), "headed", path)
+
+
 def csv_files(spark, sf_dir):
     """Files of one folder with headers in another order, line breaks in fields, and rows with a field too many."""
     path = new_path(spark, "csv-files")
@@ -427,11 +449,20 @@ def csv_files(spark, sf_dir):
     tables.write_csv(turns.where("pair_id % 2 = 0").select("en", "vi"), f"{path}/one")
     tables.write_csv(turns.where("pair_id % 2 <> 0").select("vi", "en"), f"{path}/two")
     bad = turns.select(F.concat_ws(",", "pair_id", F.lit("a"), F.lit('"b, c"')).alias("line"))
-    head = spark.range(1).select(F.lit("en,vi").alias("line"))
-    tables.write_corpus_text(head.unionByName(bad).coalesce(1), "line", f"{path}/three")
+    _write_lines(bad, "en,vi", f"{path}/three")
     return read_pairs_csv(spark, f"{path}/*", keep_malformed=True).select("en", "vi", "malformed_record")
 
 
+def csv_literal_quotes(spark, sf_dir):
+    """Every line of every document as a quoted field with line breaks, among fields in which quotes are text."""
+    path = new_path(spark, "csv-quotes")
+    lines = views.document_lines(spark, sf_dir)
+    quoted = F.concat(F.lit('"a ""'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('""\n\nb", 7" disc'))
+    plain = F.concat(F.col("line_id").cast("string"), F.lit('" by 5" pipe'))
+    _write_lines(lines.select(F.concat_ws(",", plain, quoted, F.lit('"q" tail"')).alias("line")), "en,vi,size,note", path)
+    return read_pairs_csv(spark, path, keep_malformed=True).select("en", "vi", "size", "note", "malformed_record")
+
+
 def _pair_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Conversations as a CSV file, lines of documents as a tab-separated one."""
     csv, tsv = new_path(spark, "pairs-csv"), new_path(spark, "pairs-tsv")
@@ -492,9 +523,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lookup_pieces, decode_ids, batch_pad, batch_shape, shift_targets, pad_masks, eval_sample, pick_examples,
         tokens_13a, bleu_ngrams, bleu_corpus, epoch_mean, best_so_far, patience, early_stop,
         run_summary, compare_epochs, verdict_by_loss, verdict_by_bleu, compare_translations,
-        head_translations, translate_batches, evaluate_run_score, evaluate_run_examples,
+        compare_stored_runs, head_translations, translate_batches, resumed_translations, evaluate_run_score, evaluate_run_examples,
         forged_specials, ragged_patience, ragged_early_stop, ragged_epochs, verdict_without_a_run,
-        prepare_counts, prepare_splits, tsv_round_trip, csv_round_trip, csv_files, splits_round_trip, vocab_round_trip, epoch_comparison_file,
+        prepare_counts, prepare_splits, tsv_round_trip, csv_round_trip, csv_files, csv_literal_quotes, splits_round_trip, vocab_round_trip, epoch_comparison_file,
         translation_comparison_file,
     )
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators.bleu import corpus_bleu
 from pairloom.operators.runs import pick_examples
-from pairloom.workspace import materialize
+from pairloom.workspace import exists, temporary_path
 
 Translator = Callable[[list[str]], list[str]]
 
@@ -56,14 +56,44 @@ def translate_batches(
     return df.withColumn("translation", F.arrow_udf(translate, "string").asNondeterministic()(column))
 
 
-def evaluate_run(sample: DataFrame, make_translator: Callable[[], Translator]) -> tuple[DataFrame, DataFrame]:
+_MOST_TASKS = 10_000
+
+
+def translate_into(
+    path: str, df: DataFrame, make_translator: Callable[[], Translator], column: str = "source", batch: int = 32
+) -> DataFrame:
+    """``df`` with ``translation``, written to ``path`` batch by batch; what is there already is not translated again.
+
+    All rows of a ``batch_id`` lie in one task, and a task's file appears when
+    the task ends, not with the job: a batch is there whole or not at all. So
+    after a failure the next call translates only batches that are missing.
+    There is a task for each batch, up to 10,000; beyond that tasks take
+    several. ``path`` belongs to one sample and one translator.
+    """
+    spark = df.sparkSession
+    schema = df.withColumn("translation", F.lit(None).cast("string")).schema
+    missing = df
+    if exists(spark, path):
+        there = spark.read.schema(schema).parquet(path).select("batch_id").distinct()
+        missing = df.join(there, "batch_id", "left_anti")
+    ids = missing.agg(F.count_distinct("batch_id").alias("n")).first()["n"]
+    if ids:
+        tasks = min(ids, _MOST_TASKS)
+        spread = missing.repartitionById(tasks, F.pmod("batch_id", F.lit(tasks)).cast("int"))
+        done = translate_batches(spread, make_translator, column, batch).select(*schema.names)
+        # Version 2 moves a task's file to its place when the task commits.
+        done.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def evaluate_run(
+    sample: DataFrame, make_translator: Callable[[], Translator], path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """BLEU of a translator on a sample with ``source`` and ``reference``, and some examples.
 
     Batches are spread over tasks, translated once and written, so that the
-    examples are those that were scored. The number of tasks is named, or the
-    few rows of a sample would be put together again.
+    examples are those that were scored. With a ``path`` the translations stay
+    there, and a run that failed goes on where it stopped.
     """
-    parts = sample.sparkSession.sparkContext.defaultParallelism
-    spread = sample.repartition(parts, "batch_id")
-    translated = materialize(translate_batches(spread, make_translator), "translated")
+    translated = translate_into(path or temporary_path(sample.sparkSession, "translated"), sample, make_translator)
     return corpus_bleu(translated), pick_examples(translated)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -104,6 +104,11 @@ def compare_translations(a: DataFrame, b: DataFrame, first: str, second: str) ->
     return left.join(b.select("sample_id", F.col("translation").alias(second)), "sample_id")
 
 
+def compare_stored(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """The same of two runs that ``write_run`` stored under their names: bucket meets bucket where they lie."""
+    return compare_translations(spark.table(first).hint("merge"), spark.table(second), first, second)
+
+
 def head(df: DataFrame, n: int = 3, key: str = "sample_id") -> DataFrame:
     return df.orderBy(key).limit(n)
 

@@ -49,11 +49,13 @@ def evaluate_and_compare(
     out_dir: str,
     translators: dict[str, Callable[[], Translator] | None],
     config: PipelineConfig = PipelineConfig(),
+    resume: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Score two translators on the same sample, write their examples side by side.
 
     Returns (run, bleu) and the winner. A translator that is missing (None)
-    scores 0, and then no examples are written.
+    scores 0, and then no examples are written. With ``resume`` translations are
+    kept under ``out_dir``, and those that an earlier call left there are used.
     """
     first, second = translators
     with temporary(spark):
@@ -63,7 +65,7 @@ def evaluate_and_compare(
             if translators[run] is None:
                 scores.append((run, 0.0))
                 continue
-            score, picked = evaluate_run(sample, translators[run])
+            score, picked = evaluate_run(sample, translators[run], f"{out_dir}/translations/{run}" if resume else None)
             scores.append((run, score.first()["bleu"]))
             examples.append(picked)
         if len(examples) == 2:

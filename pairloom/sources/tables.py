@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.workspace import new_path
+
+RUN_BUCKETS = 64
+
 
 def write_corpus_text(df: DataFrame, column: str, path: str) -> None:
     """One sentence per line."""
@@ -47,3 +51,14 @@ def write_epoch_comparison(df: DataFrame, path: str) -> None:
 def write_translation_comparison(df: DataFrame, path: str) -> None:
     """The sample sentences of two runs side by side, in sample order."""
     write_csv(df.orderBy("sample_id"), path)
+
+
+def write_run(df: DataFrame, table: str, buckets: int = RUN_BUCKETS) -> DataFrame:
+    """The translations of a run as a table dealt into buckets by ``sample_id``, one file each; returns it read back.
+
+    Runs written with as many buckets are compared without moving a row.
+    """
+    spark = df.sparkSession
+    writer = df.repartition(buckets, "sample_id").write.mode("overwrite").option("path", new_path(spark, f"run-{table}"))
+    writer.bucketBy(buckets, "sample_id").sortBy("sample_id").saveAsTable(table)
+    return spark.table(table)

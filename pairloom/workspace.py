@@ -42,10 +42,23 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             _delete(spark, spark._jvm.org.apache.hadoop.fs.Path(path))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _delete(spark: SparkSession, path) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def temporary_path(spark: SparkSession, label: str) -> str:
+    """A new path that goes with the innermost open ``temporary`` block, if there is one."""
+    path = new_path(spark, label)
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -53,9 +66,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     re-read, not a re-run of everything before.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    if _open:
-        _open[-1].append(path)
+    path = temporary_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -68,3 +68,51 @@ def test_every_text_is_translated_once_and_in_several_tasks(spark):
     score.collect()
     assert len({r.translation for r in examples.collect()}) > 1
     assert seen.value == 128
+
+
+def test_a_failed_run_goes_on_where_it_stopped(spark, tmp_path):
+    """One batch kills the job; the rerun translates only what is missing."""
+    path, calls, mended = str(tmp_path / "out"), tmp_path / "calls", tmp_path / "mended"
+    calls.mkdir()
+
+    def make():
+        import os
+        import time
+        import uuid
+
+        def translate(texts):
+            if "text 7" in texts and not os.path.exists(mended):
+                time.sleep(6)  # the other batches get done
+                raise RuntimeError("lost")
+            (calls / uuid.uuid4().hex).write_text("\n".join(texts))
+            return [t.upper() for t in texts]
+
+        return translate
+
+    def translated():
+        return sorted(t for f in calls.iterdir() for t in f.read_text().split("\n"))
+
+    df = spark.range(60).select((F.col("id") % 6).alias("batch_id"), F.concat(F.lit("text "), "id").alias("source"))
+    with pytest.raises(Exception, match="lost"):
+        evaluate.translate_into(path, df, make, batch=10)
+    before = translated()
+    lost = {f"text {i}" for i in range(1, 60, 6)}
+    assert len(before) == 50 and not lost & set(before)
+    mended.touch()
+    rows = evaluate.translate_into(path, df, make, batch=10).collect()
+    assert sorted((r.batch_id, r.translation) for r in rows) == sorted((i % 6, f"TEXT {i}") for i in range(60))
+    assert sorted(set(translated())) == sorted(before + sorted(lost)) and len(translated()) == 60
+    evaluate.translate_into(path, df, make, batch=10).collect()
+    assert len(translated()) == 60
+
+
+def test_evaluate_run_keeps_its_translations(spark, upper, tmp_path):
+    rows = spark.range(50).select(F.col("id").alias("pair_id"), F.lit("a b c d e").alias("source"))
+    sample = evaluate.eval_sample(rows).withColumn("reference", F.lit("A B C D E"))
+    evaluate.evaluate_run(sample, upper, str(tmp_path / "kept"))
+
+    def never():
+        raise RuntimeError("not asked again")
+
+    score, _ = evaluate.evaluate_run(sample, never, str(tmp_path / "kept"))
+    assert score.first().bleu == pytest.approx(100)

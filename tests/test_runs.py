@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from pairloom.operators import runs
 
 LOG = "run string, epoch int, val_loss double"
@@ -106,3 +108,19 @@ def test_waiting_counts_logged_epochs(spark):
 def test_a_missing_run_loses(spark):
     both = log(spark, x=[3, 1], y=[float("nan")])
     assert [runs.verdict_by_loss(both, *two).first().winner for two in (("x", "z"), ("z", "x"), ("x", "y"), ("y", "x"), ("y", "z"))] == ["x", "x", "x", "x", None]
+
+
+def test_stored_runs_are_compared_without_an_exchange(spark):
+    from pairloom.sources.tables import write_run
+
+    rows = spark.range(500).select(F.col("id").alias("sample_id"), F.lit("s").alias("source"), F.lit("r").alias("reference"))
+    for name, factor in (("stored_one", 2), ("stored_two", 3)):
+        write_run(rows.withColumn("translation", (F.col("sample_id") * factor).cast("string")).where(f"sample_id % {factor + 2} > 0"), name, 8)
+    both = runs.compare_stored(spark, "stored_one", "stored_two")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert {(r.sample_id, r.stored_one, r.stored_two) for r in both.collect()} == {
+        (i, str(2 * i), str(3 * i)) for i in range(500) if i % 4 and i % 5
+    }
+    for name in ("stored_one", "stored_two"):
+        spark.sql(f"DROP TABLE {name}")
