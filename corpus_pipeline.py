@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from pairloom.llm.decontaminate import decontaminate
 from pairloom.llm.language import UNKNOWN, learn_from_documents, predict
-from pairloom.llm.mixing import mixed_documents
+from pairloom.llm.mixing import drawn_corpus
 from pairloom.llm.simhash import near_dedup
 from pairloom.llm.tables import fresh, read_table
-from pairloom.workspace import new_path, temporary
+from pairloom.workspace import discard, new_path, temporary
 
 MIN_LANGUAGE_SCORE = 0.5
 
@@ -38,9 +38,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws, with the words it takes of each."""
-    mixed = mixed_documents(docs).where("taken > 0")
-    return mixed.withColumnRenamed("id", "doc_id")
+    """The documents that the mix draws, whole, with the words it takes of each and their places in the shards."""
+    return drawn_corpus(docs)
 
 
 STAGES = [
@@ -56,10 +55,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over ``documents``; each result is written and read back."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, name)
         with temporary(spark):  # what the stage itself has written goes with it
             stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            discard(before)
+        docs = before = spark.read.parquet(path)
     return docs
