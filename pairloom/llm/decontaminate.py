@@ -17,7 +17,7 @@ from pairloom.llm.tables import fresh, read_table
 from pairloom.workspace import materialize
 
 WINDOW_WORDS = 10
-# Benchmark windows that are broadcast, at about 150 bytes each; a larger set is joined by a shuffle.
+# Benchmark windows that are broadcast, at about 150 bytes each; a larger set meets the hashes of the texts by a shuffle.
 BROADCAST_WINDOWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -77,6 +77,53 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW_WORDS, id_col: str =
     return materialize(reduce(DataFrame.unionByName, parts, empty), "benchmark-windows")
 
 
+def _places(hashed: DataFrame, lengths: list[int], last: Column) -> tuple[DataFrame, Column, Column]:
+    """The window hashes of all lengths and ``last`` as rows (pos, hash); start and length follow from pos."""
+    rows = hashed.select("*", F.posexplode(F.concat(*[F.col(f"_w{length}") for length in lengths], last)).alias("pos", "hash"))
+    span = F.greatest("n_words", F.lit(1))
+    length = F.try_element_at(F.array(*map(F.lit, lengths), F.lit(0)), F.floor(F.col("pos") / span).cast("int") + 1)
+    return rows, F.col("pos") % span, length
+
+
+def _same(start: Column, length: Column, window: Column) -> Column:
+    return F.array_join(F.slice("words", start + 1, length), " ") == window
+
+
+def _probed(scanned: DataFrame, needles: DataFrame, lengths: list[int]) -> DataFrame:
+    """The occurrences of a broadcast set of windows, verified where they are found; and a row of length 0 for each document."""
+    nothing = needles.sparkSession.range(1).select(
+        F.lit(0).cast("bigint").alias("hash"), F.lit(0).alias("len"), F.lit("").alias("window")
+    )
+    # Every document also brings one empty window, so that those without hits stay.
+    rows, start, of_length = _places(_with_window_hashes(scanned, lengths), lengths, F.array(F.lit(0).cast("bigint")))
+    is_last = F.col("pos") == F.col("n_words") * len(lengths)
+    real = ~is_last & (of_length == F.col("len")) & (start + F.col("len") <= F.col("n_words"))
+    probes = rows.select("row", "id", "text_key", "n_words", "words", "pos", "hash")
+    return probes.join(F.broadcast(needles.unionByName(nothing)), "hash").where(
+        F.when(F.col("len") == 0, is_last).otherwise(real & _same(start, F.col("len"), F.col("window")))
+    ).withColumn("start", start)
+
+
+def _shuffled(scanned: DataFrame, needles: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for a set of windows too large to broadcast.
+
+    Each place sends its hash and numbers, never words. Where a hash meets, the
+    place is a candidate of its text; the candidates of a text come back to its
+    rows and each row verifies them by its own words. Rows without any stay by
+    the outer join.
+    """
+    texts = scanned.select("text_key", "words", "n_words")
+    rows, start, of_length = _places(_with_window_hashes(texts, lengths), lengths, F.array().cast("array<bigint>"))
+    places = rows.select("text_key", start.alias("start"), of_length.alias("len"), "n_words", "hash")
+    places = places.where(F.col("start") + F.col("len") <= F.col("n_words")).drop("n_words")
+    met = places.join(needles, ["hash", "len"]).groupBy("text_key").agg(F.collect_set(F.struct("start", "len", "window")).alias("met"))
+    met = materialize(met, "candidate-windows")
+    both = scanned.join(met, "text_key", "left")
+    real = F.filter(F.coalesce("met", F.array().cast(met.schema["met"].dataType)), lambda m: _same(m["start"], m["len"], m["window"]))
+    itself = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("window")))
+    return both.select("row", "id", "text_key", "n_words", F.inline(F.concat(itself, real)))
+
+
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, n: int = WINDOW_WORDS, id_col: str = "doc_id", text_col: str = "text",
     broadcast_windows: int = BROADCAST_WINDOWS,
@@ -93,33 +140,14 @@ def find_hits(
     needles = by_item.select("hash", "len", "window").distinct()
     sizes = {row["len"]: row["count"] for row in needles.groupBy("len").count().collect()}  # n rows at most
     lengths, small = sorted(sizes), sum(sizes.values()) <= broadcast_windows
-    # Every document also brings one empty window, so that those without hits stay.
-    nothing = needles.sparkSession.range(1).select(
-        F.lit(0).cast("bigint").alias("hash"), F.lit(0).alias("len"), F.lit("").alias("window")
-    )
-    needles = needles.unionByName(nothing)
-
     scanned = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("text_key"),
         words(F.col(text_col)).alias("words"),
     ).withColumn("n_words", F.size("words"))
-    hashed = _with_window_hashes(scanned, lengths)
-    probes = hashed.select(
-        "row", "id", "text_key", "n_words", "words",
-        F.posexplode(F.concat(*[F.col(f"_w{length}") for length in lengths], F.array(F.lit(0).cast("bigint")))).alias("pos", "hash"),
-    )
-    span = F.greatest("n_words", F.lit(1))
-    start = F.col("pos") % span
-    of_length = F.try_element_at(F.array(*map(F.lit, lengths), F.lit(0)), F.floor(F.col("pos") / span).cast("int") + 1)
-    is_last = F.col("pos") == F.col("n_words") * len(lengths)
-    same = F.array_join(F.slice("words", start + 1, F.col("len")), " ") == F.col("window")
-    real = ~is_last & (of_length == F.col("len")) & (start + F.col("len") <= F.col("n_words")) & same
-    found = probes.join(F.broadcast(needles) if small else needles, "hash").where(
-        F.when(F.col("len") == 0, is_last).otherwise(real)
-    )
-    found = materialize(found.select("row", "id", "text_key", "n_words", start.alias("start"), "len", "window"), "hits")
+    found = (_probed if small else _shuffled)(scanned, needles, lengths)
+    found = materialize(found.select("row", "id", "text_key", "n_words", "start", "len", "window"), "hits")
 
     hits = found.where("len > 0")
     in_order = Window.partitionBy("row").orderBy("start", "len")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read_table
+from pairloom.llm.tables import fresh, read_table, without
 from pairloom.workspace import materialize
 
 WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
@@ -127,6 +127,7 @@ def split_quotas(quotas: DataFrame, shard_bits: int = SHARD_BITS, seed: int = SE
 def mix(
     docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, block_docs: int = BLOCK_DOCS,
     shard_bits: int = SHARD_BITS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables: the documents with their source's figures, and what the mix draws.
 
@@ -137,13 +138,14 @@ def mix(
     words are its target rounded: one document of a source may be taken in
     part, no document is taken more than ``max_repeats`` times. Documents
     without words are not drawn. Null sources are one source, the last; null
-    ids are mixed like others. The same rows give the same mix in any layout;
+    ids are mixed like others. ``row`` numbers the rows of ``docs``, or is
+    their ``row_col``, a unique bigint. The same rows give the same mix in any layout;
     rows with one id and size may change places.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("bigint")
     rows = materialize(
         docs.select(
-            F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
+            (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"), F.col(id_col).alias("id"),
             F.col(source_col).cast("string").alias("source"), size.alias("size"),
         ),
         "mix-rows",
@@ -211,6 +213,23 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     )
 
 
+def drawn_corpus(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that the mix draws, whole, with what it takes of them.
+
+    Added are size, source_size, target, taken and ``draws``, one (pass, shard,
+    place, taken) for each time the row is taken, in place of columns of these
+    names: exploded, they are the rows of the shards, in the order of ``place``.
+    """
+    names = ("size", "source_size", "target", "taken", "draws")
+    kept, row = without(docs, names), fresh(docs, "mix_row")
+    kept = materialize(kept.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    documents, draws = mix(kept, row_col=row, **settings)
+    each = F.array_sort(F.collect_list(F.struct("pass", "shard", "place", "taken")))
+    drawn = draws.groupBy("row").agg(F.sum("taken").alias("taken"), each.alias("draws"))
+    figures = documents.join(drawn, "row").select(F.col("row").alias(row), *names)
+    return kept.join(figures, row).drop(row)
+
+
 def op8_source_mix(spark, sf_dir):
     mixed = mixed_documents(read_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

@@ -102,3 +102,17 @@ def test_no_python_in_the_plan(spark):
     docs, benchmark = _tables(spark)
     plan = find_hits(docs, benchmark)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_texts_against_a_shuffled_set(spark):
+    """Texts of 20,000 words, many copies of one: as many hits as with a broadcast set."""
+    long = [" ".join(f"w{(i * k) % 9973}" for i in range(20_000)) for k in range(1, 13)]
+    rows = [(k, text + " " + ITEM * (k % 2)) for k, text in enumerate(long)] + [(100 + k, long[0]) for k in range(12)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    benchmark = spark.createDataFrame([*BENCHMARK, (20, " ".join(f"w{i}" for i in range(5, 300)))], "item_id bigint, text string")
+
+    def hits(limit):
+        found = find_hits(docs, benchmark, broadcast_windows=limit).collect()
+        return sorted(((r["id"], r["n_words"], r["n_hit"], r["items"], r["spans"]) for r in found), key=str)
+
+    assert hits(0) == hits(10**6) and sum(r[2] > 0 for r in hits(0)) > 12

@@ -60,14 +60,21 @@ def test_run_is_the_last_stage_and_agrees_with_itself(spark, sf_dir):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, last.collect()))
     taken = again.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert taken and all(abs(r["taken"] - r["target"]) <= 0.5 for r in taken)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = again.collect()
+    assert all(r["text"] == texts[r["doc_id"]] and r["taken"] == sum(d["taken"] for d in r["draws"]) for r in rows)
+    draws = [(d["shard"], d["place"]) for r in rows for d in r["draws"]]
+    assert len({shard for shard, _ in draws}) > 1 and len(set(draws)) == len(draws)
 
 
 def test_stages_keep_clashing_columns(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20")
     docs = docs.withColumns({c: F.lit(c) for c in ("score", "_lang", "_score", "lang_pred", "fp", "row", "hit_id", "id", "kept_id")})
-    for _, stage in corpus_pipeline.STAGES[:3]:
+    docs = docs.withColumns({c: F.lit(c) for c in ("mix_row", "taken", "draws", "block", "shard", "pass")})
+    for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
-        assert docs.count() == 20
+        assert docs.count() == 20 or name == "mixing" and 0 < docs.count() <= 20
+        assert {(r["mix_row"], r["shard"]) for r in docs.collect()} == {("mix_row", "shard")}
         assert {(r["score"], r["_lang"], r["_score"], r["id"]) for r in docs.collect()} == {("score", "_lang", "_score", "id")}
 
 
