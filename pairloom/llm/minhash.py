@@ -224,9 +224,12 @@ def near_duplicate_groups(
     stars = ranked.join(leaders, "band").where("key <> u").select("u", F.col("key").alias("v")).distinct()
     stars = materialize(stars, "stars")
     named = stars.select(F.col("u").alias("key")).unionByName(stars.select(F.col("v").alias("key"))).distinct()
-    named = materialize(unique.select("key", "fp").join(named, "key"), "candidates")
-    texts = read.select(digest, "words").join(named, "fp").groupBy("key").agg(F.first("words").alias("words"))
-    texts = materialize(texts, "candidate-texts")
+    named = materialize(unique.select("key", "fp", "first_id").join(named, "key"), "candidates")
+    # One row of each text, found by its id too, so that copies do not meet; always a merge, as the candidates grow
+    # with the input and cannot be broadcast.
+    same = (F.col("fp") == F.col("own")) & F.col("id").eqNullSafe(F.col("first_id"))
+    texts = read.select("id", digest.alias("own"), "words").join(named.hint("merge"), same)
+    texts = materialize(texts.groupBy("key").agg(F.first("words").alias("words")), "candidate-texts")
 
     compared = _compared(stars, texts, width).select("u", "v", "v_size", "difference", _similar(percent).alias("near"))
     compared = materialize(compared.withColumn("star", F.monotonically_increasing_id()), "compared")
