@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
+from collections.abc import Mapping as Mapping_
 from typing import Any, NamedTuple
 
 import pandas as pd
@@ -86,10 +87,46 @@ def registry(mappings: Sequence[Mapping] = MAPPINGS) -> dict[str, Mapping]:
         fixed = [p for p in mapping.schema if not p.endswith("?")]
         free = [p[:-1] for p in mapping.schema if p.endswith("?")]
         for chosen in range(1 << len(free)):
-            found.setdefault(fingerprint(fixed + [p for i, p in enumerate(free) if chosen >> i & 1]), mapping)
+            schema = fingerprint(fixed + [p for i, p in enumerate(free) if chosen >> i & 1])
+            if found.setdefault(schema, mapping) is not mapping:
+                raise ValueError(f"{mapping.name} and {found[schema].name} take the same schema")
     return found
 
 
+def null_names(value: Any, at: str = "") -> set[str]:
+    """The paths, without a kind, at which a record has a null."""
+    if isinstance(value, dict):
+        return set().union(*(null_names(v, f"{at}.{k}" if at else k) for k, v in value.items()))
+    if isinstance(value, list):
+        return set().union(*(null_names(v, at + "[]") for v in value))
+    return {at} if value is None else set()
+
+
+def choose(record: dict, known: Mapping_[str, Mapping], mappings: Sequence[Mapping]) -> tuple[str, Mapping | None, dict]:
+    """The record's fingerprint, its mapping and the record as the mapping takes it.
+
+    The mapping is that of the fingerprint. If there is none, fields that a
+    mapping does not name are ignored, and a null field that it needs is an
+    empty text: the mapping whose schema the rest then is, by its fingerprint,
+    is taken, of several the one that uses most fields, then the first. A
+    record in which all that a mapping needs is null has none.
+    """
+    paths = field_paths(record)
+    schema = fingerprint(paths)
+    if schema in known or not paths:
+        return schema, known.get(schema), record
+    nulls, best = null_names(record), (0, None, record)
+    for mapping in mappings:
+        needed = {p.partition(":")[0]: p for p in mapping.schema if not p.endswith("?")}
+        named = {p.rstrip("?").partition(":")[0] for p in mapping.schema}
+        there = {p for p in paths if p.partition(":")[0] in named}
+        empty = {name for name in needed if name in nulls}
+        whole = fingerprint(there | {needed[name] for name in empty})
+        if known.get(whole) is mapping and there & set(needed.values()) and len(there) > best[0]:
+            best = (len(there), mapping, {**record, **{name: "" for name in empty if "[]" not in name}})
+    return schema, best[1], best[2]
+
+
 def canonical_turns(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     """(role, text) in order. Fields of the record itself that are missing or null give no turn, in lists they are empty."""
     roles, turns = dict(mapping.roles), []
@@ -152,8 +189,9 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record", mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """(id, schema, mapping, n_turns, formatted, mask) for records in JSON, whatever their layout.
 
-    mask is an array of (start, end). A record of unknown layout has a null
-    mapping and text and is left to the caller, as are null and broken ones,
+    mask is an array of (start, end). Fields that no mapping names are ignored,
+    a null field that a mapping needs is an empty text. A record of unknown
+    layout has a null mapping and text, so that its schema can be counted, and is left to the caller, as are null and broken ones,
     whose schema is null too. A record with no value in it has no turn.
     """
     known = registry(mappings)
@@ -172,8 +210,7 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
                 if not isinstance(record, dict):
                     rows.append((None, None, None, None, None))
                     continue
-                schema = fingerprint(field_paths(record))
-                mapping = known.get(schema)
+                schema, mapping, record = choose(record, known, mappings)
                 if mapping is None and schema != empty:
                     rows.append((schema, None, None, None, None))
                     continue

@@ -93,3 +93,30 @@ def test_conversation_rows(spark):
     assert got[1]["loss_sha256"] == hashlib.sha256(b"bb").hexdigest()
     assert got[1]["turns_sha256"] == hashlib.sha256(b"user\na\nassistant\nb\nassistant\nb\n").hexdigest()
     assert conversation_records(turns.limit(0)).count() == 0
+
+
+EXTENDED = [
+    ({"prompt": "q", "completion": None}, "prompt_completion", [("user", "q"), ("assistant", "")]),
+    ({"prompt": "q", "completion": "a", "id": 7, "meta": {"tags": ["x"]}}, "prompt_completion", [("user", "q"), ("assistant", "a")]),
+    ({"id": "x", "messages": [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": None}]}, "messages",
+     [("user", "q"), ("assistant", "")]),
+    ({"instruction": "i", "input": None, "output": "a", "score": 0.5}, "instruction", [("system", "i"), ("assistant", "a")]),
+    ({"question": "q", "answer": "a", "context": "c", "prompt": None, "response": None}, "question_answer",
+     [("system", "c"), ("user", "q"), ("assistant", "a")]),
+    ({"prompt": None, "completion": None, "id": 1}, None, None),
+    ({"prompt": 3, "completion": "a"}, None, None),
+    ({"messages": "q", "id": 1}, None, None),
+]
+
+
+def test_other_fields_are_ignored_and_null_texts_empty(spark):
+    rows = [(i, json.dumps(record)) for i, (record, _, _) in enumerate(EXTENDED)]
+    got = {r["id"]: r for r in format_records(spark.createDataFrame(rows, "conv_id int, record string")).collect()}
+    for i, (_, name, turns) in enumerate(EXTENDED):
+        assert got[i]["mapping"] == name and got[i]["schema"] is not None
+        assert (read_back(got[i]["formatted"]) if name else got[i]["formatted"]) == turns
+
+
+def test_two_mappings_of_one_schema_are_an_error():
+    with pytest.raises(ValueError, match="same schema"):
+        registry([*MAPPINGS, MAPPINGS[3]._replace(name="again")])
