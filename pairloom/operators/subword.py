@@ -85,6 +85,16 @@ def _adjacent(words: DataFrame, symbols: str, freq: Column) -> DataFrame:
     )
 
 
+def _changes(words: DataFrame) -> DataFrame:
+    """What merges did to the counts of pairs: those of changed words as they were are taken away, as they are added.
+
+    ``words`` is (before, symbols, freq) with ``before`` null where no merge touched the word.
+    """
+    touched = words.where(F.col("before").isNotNull())
+    gone = _adjacent(touched, "before", -F.col("freq"))
+    return gone.unionByName(_adjacent(touched, "symbols", F.col("freq")))
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """Adjacent characters of (word, freq), weighted by word frequency: (l, r, freq)."""
     symbols = words.select(_wrapped(F.col("word")).alias("symbols"), "freq")
@@ -192,18 +202,27 @@ def learn_merges(
     merges: list[tuple[str, str, int]] = []
     pieces = set(known)
     pending: list[tuple[str, str, int]] = []
+    counts: DataFrame | None = None
     while len(pieces) - len(known) < max_pieces:
         if pending:
-            state = state.select(_apply(F.col("symbols"), pending).alias("symbols"), "freq")
+            merged = state.withColumn("merged", _apply(F.col("symbols"), pending))
+            touched = F.when(F.col("merged") != F.col("symbols"), F.col("symbols"))
+            state = merged.select(touched.alias("before"), F.col("merged").alias("symbols"), "freq")
+        else:
+            state = state.withColumn("before", F.lit(None).cast("string"))
+        previous, written = written, materialize(state, "subword-state")
+        # Counts of all pairs are taken once; a round recounts only the words that its merges touched.
+        moved = _adjacent(written, "symbols", F.col("freq")) if counts is None else counts.unionByName(_changes(written))
+        tallied = moved.groupBy("l", "r").agg(F.sum("freq").alias("freq")).where("freq > 0")
+        earlier, counts = counts, materialize(tallied, "subword-pairs")
+        for table in (previous, earlier):
+            if table is not None:
+                discard(table)
         # Words down to one symbol can never change again and are left behind.
-        before, written = written, materialize(state.where(F.contains("symbols", F.lit(WRAP * 2))), "subword-state")
-        if before is not None:
-            discard(before)
-        state = written
-        counts = _adjacent(state, "symbols", F.col("freq")).groupBy("l", "r").agg(F.sum("freq").alias("freq"))
+        state = written.where(F.contains("symbols", F.lit(WRAP * 2))).drop("before")
         # A special piece is never made of text.
-        counts = counts.where((F.col("freq") >= min_freq) & ~F.concat("l", "r").isin(*SPECIAL_PIECES))
-        best = counts.orderBy(F.desc("freq"), "l", "r").limit(max_lookahead + 1).collect()
+        able = counts.where((F.col("freq") >= min_freq) & ~F.concat("l", "r").isin(*SPECIAL_PIECES))
+        best = able.orderBy(F.desc("freq"), "l", "r").limit(max_lookahead + 1).collect()
         if not best:
             break
         while True:
@@ -226,8 +245,9 @@ def learn_merges(
         pieces.update(l + r for l, r, _ in pending)
         if size < max_run_chars // 4:
             lookahead = min(lookahead * 2, max_lookahead)
-    if written is not None:
-        discard(written)
+    for table in (written, counts):
+        if table is not None:
+            discard(table)
     return merges
 
 
