@@ -21,7 +21,7 @@ from pairloom.operators.split import split_pairs
 from pairloom.operators.subword import learn_bpe, word_counts
 from pairloom.sources.pairs import read_pairs_csv, read_pairs_tsv
 from pairloom.sources.tables import read_splits, write_splits, write_vocab
-from pairloom.workspace import discard, materialize
+from pairloom.workspace import discard, materialize, temporary
 
 
 def load_pairs(spark: SparkSession, csv_path: str, tsv_path: str) -> DataFrame:
@@ -78,6 +78,7 @@ def process(
     exact_split: bool = False,
 ) -> DataFrame:
     """The whole preparation; returns the rows per stage."""
-    counts = prepare_pairs(load_pairs(spark, csv_path, tsv_path), out_dir, config, exact_split)
+    with temporary(spark):  # what reading and deduplication have written goes with it
+        counts = prepare_pairs(load_pairs(spark, csv_path, tsv_path), out_dir, config, exact_split)
     learn_vocabularies(spark, out_dir, config)
     return counts
