@@ -162,7 +162,9 @@ def _rest_pairs(stars: DataFrame, percent: int) -> DataFrame:
     the number of the leader's texts that have the element, rare ones first.
     """
     crowd = stars.groupBy("u").agg(F.count("*").alias("n"), F.min("near").alias("all_near")).where("n > 1 AND NOT all_near")
-    tokens = stars.join(crowd.select("u"), "u").select(
+    # Written, its size is known before the join: while it is small, the texts of a large leader stay where they are.
+    crowd = materialize(crowd.select("u"), "open-leaders")
+    tokens = stars.join(crowd, "u").select(
         "u", "star", F.col("v_size").alias("size"), F.size("difference").alias("odd"), "near", F.explode("difference").alias("token")
     )
     # Elements of one text only meet nobody; they just take the first places in its order.
@@ -252,5 +254,6 @@ def near_duplicate_groups(
 
 
 def op12_minhash_groups(spark, sf_dir):
+    """The near-duplicate component of every document, and whether it is the one to keep."""
     groups = near_duplicate_groups(read_table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
