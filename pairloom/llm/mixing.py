@@ -3,11 +3,11 @@
 The documents of a source are dealt into blocks, and each pass over a source
 takes its blocks in an order of its own. A source's quota of words so becomes
 an exact number of block tickets, the last of which may be cut. The tree hands
-the tickets to the output shards: each node draws half of what it holds
-without replacement, source by source, so its left half has a multivariate
-hypergeometric share of every quota, and halves again. A shard then takes the
-next tickets of each source, disjoint from those of all others, and shuffles
-what it got. Only built-in functions are used.
+the tickets to the output shards: each node puts what it holds in a random
+order and sends the first half left, so its left half has a multivariate
+hypergeometric share of every quota, and halves again. A source's blocks, in
+the order of their passes, take its tickets one by one, so shards hold
+disjoint blocks, and a shard shuffles what it got. Only built-in functions are used.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ WEIGHTS = (5, 2, 1)  # of the sources in code point order, repeating
 MAX_REPEATS = 3
 BLOCK_DOCS = 256
 SHARD_BITS = 4
+HEAD_DIGITS = 3  # hex digits of a hash that tickets are counted by before any is numbered
+HEADS = 16**HEAD_DIGITS
 SEED = 42
 WORD = r"[^\x20\x09-\x0D]+"
 # Sources whose statistics are broadcast, at about 100 bytes each; more are joined by a shuffle.
@@ -60,67 +62,80 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     return sizes.withColumn("target", F.round(F.coalesce(target, F.col("cap").cast("double")), 6)).drop("level")
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the parts alone."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
+def _tree_key(level: int, seed: int) -> Column:
+    """The place of a ticket in the random order of its node; nodes of a level follow those of the levels above."""
+    return _key(seed, "tree", F.col("node") + (1 << level), F.col("source_no"), F.col("ticket"))
 
 
-def _drawn(quotas: Column, draws: Column, total: Column, node: Column, seed: int) -> Column:
-    """How many tickets of each source come among ``draws`` taken from all ``total`` without replacement.
+def _halves(tickets: DataFrame, level: int, seed: int) -> DataFrame:
+    """(node, cut): the ticket of each node that is the first of its right half.
 
-    Goes over the tickets once: one is taken with the chance that still needed
-    ones have among those still to come, which makes every choice equally likely.
+    A histogram of the keys' heads, ``HEADS`` counts a node, tells in which
+    head a node's middle lies; only tickets of that head are numbered.
     """
-    big = lambda c: c.cast("bigint")
-
-    def of_source(state, quota):
-        tickets = F.sequence(F.lit(1).cast("bigint"), quota["n"])
+    keyed = tickets.select("node", _tree_key(level, seed).alias("key"), "source_no", "ticket").withColumn("head", F.substring("key", 1, HEAD_DIGITS))
+    counts = keyed.groupBy("node", "head").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("node").orderBy("head")
+    counts = counts.withColumns(
+        {"end": F.sum("n").over(upto), "half": F.floor(F.sum("n").over(Window.partitionBy("node")) / 2)}
+    )
+    middle = counts.where((F.col("end") > F.col("half")) & (F.col("end") - F.col("n") <= F.col("half")))
+    middle = middle.select("node", "head", (F.col("half") - F.col("end") + F.col("n") + 1).alias("nth"))
+    order = Window.partitionBy("node").orderBy("key", "source_no", "ticket")
+    inside = keyed.join(F.broadcast(middle), ["node", "head"]).withColumn("number", F.row_number().over(order))
+    return inside.where("number = nth").select("node", F.struct("key", "source_no", "ticket").alias("cut"))
+
+
+def split_tickets(tickets: DataFrame, shard_bits: int = SHARD_BITS, seed: int = SEED) -> DataFrame:
+    """Adds ``shard`` to tickets (source_no, ticket, ...), dealt to 2^shard_bits shards without replacement.
+
+    At each level a node's tickets are ordered by a seeded hash and the first
+    half goes left: every choice of that many tickets is equally likely, so the
+    counts by source are multivariate hypergeometric. The sizes of the shards
+    differ by one at most on each level. Tickets are rows that never move: a
+    level reads them, counts, and writes one cut for each node, and each ticket
+    then finds its half by comparing. ``tickets`` is read twice a level.
+    """
+    split = tickets.withColumn("node", F.lit(0))
+    for level in range(shard_bits):
+        cuts = materialize(_halves(split, level, seed), "mix-cuts")  # at most 2^level rows
+        own = F.struct(_tree_key(level, seed).alias("key"), "source_no", "ticket")
+        right = F.when(own < F.col("cut"), 0).otherwise(1)
+        split = split.join(F.broadcast(cuts), "node").withColumn("node", F.col("node") * 2 + right).drop("cut")
+    return split.withColumnRenamed("node", "shard")
 
-        def ticket(inner, t):
-            chance = _uniform(F.lit(seed), node, quota["source_no"], t) * inner["left"] < inner["need"]
-            return F.struct(
-                big(inner["need"] - F.when(chance, 1).otherwise(0)).alias("need"), big(inner["left"] - 1).alias("left")
-            )
 
-        start = F.struct(state["need"].alias("need"), state["left"].alias("left"))
-        end = F.aggregate(tickets, start, ticket)
-        took = F.struct(quota["source_no"].alias("source_no"), big(state["need"] - end["need"]).alias("n"))
-        return F.struct(
-            end["need"].alias("need"), end["left"].alias("left"), F.concat(state["took"], F.array(took)).alias("took")
-        )
+def split_quotas(quotas: DataFrame, shard_bits: int = SHARD_BITS, seed: int = SEED) -> DataFrame:
+    """(source_no, shard, n): exact quotas (source_no, n) split over 2^shard_bits shards; see ``split_tickets``."""
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)
+    tickets = quotas.where("n > 0").select("source_no", F.explode(numbers).alias("ticket"))
+    return split_tickets(tickets, shard_bits, seed).groupBy("source_no", "shard").agg(F.count("*").alias("n"))
 
-    nothing = F.array().cast("array<struct<source_no:int,n:bigint>>")
-    start = F.struct(big(draws).alias("need"), big(total).alias("left"), nothing.alias("took"))
-    return F.aggregate(quotas, start, of_source, lambda state: state["took"])
 
+def _block_tickets(passes: DataFrame) -> DataFrame:
+    """Adds ``before``, the words ahead in the order of the pass, and ``ticket``, the number in the source, to blocks of passes.
 
-def split_quotas(quotas: DataFrame, shard_bits: int = SHARD_BITS, seed: int = SEED) -> DataFrame:
-    """(source_no, shard, n): exact quotas (source_no, n > 0) split over 2^shard_bits shards.
-
-    The shares of a source add up to its quota, the sizes of the shards differ
-    by one at most. A node of the tree holds one number for each source.
+    Both are sums over heads of the order, ``HEADS`` a pass, and within a head,
+    so that the blocks of a large source are summed in many tasks.
     """
-    held = F.array_sort(F.collect_list(F.struct("source_no", "n")))
-    tree = quotas.where("n > 0").groupBy().agg(held.alias("quotas")).select(F.lit(0).alias("node"), "quotas")
-    for level in range(shard_bits):
-        total = F.aggregate("quotas", F.lit(0).cast("bigint"), lambda s, q: s + q["n"])
-        tree = tree.withColumn("total", total).withColumn(
-            "drawn",
-            _drawn(F.col("quotas"), F.floor(F.col("total") / 2), F.col("total"), F.col("node") + (1 << level), seed),
-        )
-        rest = F.zip_with(
-            "quotas", "drawn",
-            lambda q, d: F.struct(q["source_no"].alias("source_no"), (q["n"] - d["n"]).alias("n")),
-        )
-        halves = F.array(
-            F.struct((F.col("node") * 2).alias("node"), F.col("drawn").alias("quotas")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), rest.alias("quotas")),
-        )
-        tree = tree.select(F.explode(halves).alias("half")).select("half.*")
-        # sequence(1, 0) would count down, so sources that ran out leave the node.
-        tree = tree.withColumn("quotas", F.filter("quotas", lambda q: q["n"] > 0))
-    return tree.select(F.col("node").alias("shard"), F.explode("quotas").alias("q")).select(
-        "q.source_no", "shard", "q.n"
+    head, group = F.substring("order", 1, HEAD_DIGITS), ["source_no", "pass"]
+    passes = passes.withColumn("head", head)
+    heads = passes.groupBy(*group, "head").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+    ahead = Window.partitionBy(*group).orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(
+        *group, "head", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("words_ahead"),
+        F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n_ahead"),
+        F.sum("n").over(Window.partitionBy(*group)).alias("n_of_pass"),
+    )
+    inside = Window.partitionBy(*group, "head").orderBy("order", "block")
+    within = F.coalesce(F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = passes.withColumns({"words_inside": within, "n_inside": F.row_number().over(inside) - 1})
+    # All passes but the last take every block of their source.
+    return numbered.join(heads, [*group, "head"]).withColumns(
+        {
+            "before": F.col("words_ahead") + F.col("words_inside"),
+            "ticket": F.col("pass") * F.col("n_of_pass") + F.col("n_ahead") + F.col("n_inside"),
+        }
     )
 
 
@@ -175,23 +190,10 @@ def mix(
     passes = passes.withColumns(
         {"limit": limit, "order": _key(seed, "order", F.col("pass"), F.col("source_no"), F.col("block"))}
     )
-    in_pass = Window.partitionBy("source_no", "pass").orderBy("order", "block")
-    before = F.coalesce(F.sum("words").over(in_pass.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    in_source = Window.partitionBy("source_no").orderBy("pass", "order", "block")
-    tickets = (
-        passes.withColumn("room", F.col("limit") - before)
-        .where("room > 0")
-        .withColumn("ticket", F.row_number().over(in_source).cast("bigint") - 1)
-    )
+    passes = materialize(passes.select("source_no", "block", "pass", "words", "limit", "order"), "mix-passes")
+    tickets = _block_tickets(passes).withColumn("room", F.col("limit") - F.col("before")).where("room > 0")
     tickets = materialize(tickets.select("source_no", "ticket", "block", "pass", "words", "room"), "mix-tickets")
-
-    shares = split_quotas(tickets.groupBy("source_no").agg(F.count("*").alias("n")), shard_bits, seed)
-    upto = Window.partitionBy("source_no").orderBy("shard")
-    shares = shares.withColumn("end", F.sum("n").over(upto))
-    of_shard = shares.select(
-        "source_no", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("ticket")
-    )
-    tickets = tickets.join(of_shard, ["source_no", "ticket"])
+    tickets = split_tickets(tickets, shard_bits, seed)
 
     drawn = placed.where("size > 0").join(tickets, ["source_no", "block"])
     cut = F.col("words") > F.col("room")
@@ -205,14 +207,25 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
-    """(id, source, size, source_size, target, taken): one row per row of ``docs``; taken adds up its draws."""
+    """(id, source, size, source_size, target, taken, draws): one row per row of ``docs``.
+
+    ``draws`` holds (pass, shard, place, taken) for each time the row is taken,
+    and is empty for rows never taken; ``taken`` adds them up.
+    """
     documents, draws = mix(docs, **settings)
-    taken = draws.groupBy("row").agg(F.sum("taken").alias("taken"))
-    return documents.join(taken, "row", "left").select(
-        "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken")
+    drawn = _by_row(draws)
+    return documents.join(drawn, "row", "left").select(
+        "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("bigint")).alias("taken"),
+        F.coalesce("draws", F.array().cast(drawn.schema["draws"].dataType)).alias("draws"),
     )
 
 
+def _by_row(draws: DataFrame) -> DataFrame:
+    """(row, taken, draws): what the mix takes of each row it draws."""
+    each = F.array_sort(F.collect_list(F.struct("pass", "shard", "place", "taken")))
+    return draws.groupBy("row").agg(F.sum("taken").alias("taken"), each.alias("draws"))
+
+
 def drawn_corpus(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that the mix draws, whole, with what it takes of them.
 
@@ -224,21 +237,34 @@ def drawn_corpus(docs: DataFrame, **settings) -> DataFrame:
     kept, row = without(docs, names), fresh(docs, "mix_row")
     kept = materialize(kept.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
     documents, draws = mix(kept, row_col=row, **settings)
-    each = F.array_sort(F.collect_list(F.struct("pass", "shard", "place", "taken")))
-    drawn = draws.groupBy("row").agg(F.sum("taken").alias("taken"), each.alias("draws"))
-    figures = documents.join(drawn, "row").select(F.col("row").alias(row), *names)
+    figures = documents.join(_by_row(draws), "row").select(F.col("row").alias(row), *names)
     return kept.join(figures, row).drop(row)
 
 
 def op8_source_mix(spark, sf_dir):
+    """Sizes, targets and taken words of all documents; ``draws`` lists pass:shard:place of each time one is taken."""
     mixed = mixed_documents(read_table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    drawn = F.transform("draws", lambda d: F.concat_ws(":", d["pass"].cast("string"), d["shard"].cast("string"), d["place"]))
+    return mixed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.array_join(drawn, ",").alias("draws")
+    )
 
 
 def _sql_key(*parts: str) -> str:
     return f"md5(concat_ws('|', '{SEED}', {', '.join(parts)}))"
 
 
+def _sql_tree() -> str:
+    """Tables h1, h2, ...: the tickets with their node on each level, the first half of a node in the order of its keys being the left."""
+    levels = []
+    for level in range(SHARD_BITS):
+        key = _sql_key("'tree'", f"CAST(node + {1 << level} AS VARCHAR)", "CAST(no AS VARCHAR)", "CAST(ticket AS VARCHAR)")
+        place = f"row_number() OVER (PARTITION BY node ORDER BY {key}, no, ticket) - 1"
+        right = f"CASE WHEN {place} < count(*) OVER (PARTITION BY node) // 2 THEN 0 ELSE 1 END"
+        levels.append(f"h{level + 1} AS (SELECT * EXCLUDE (node), 2 * node + {right} AS node FROM h{level}),")
+    return "\n".join(levels)
+
+
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
            FROM documents),
@@ -264,13 +290,19 @@ x AS (SELECT b.*, n AS pass,
       FROM b JOIN q ON q.no = b.no CROSS JOIN (SELECT unnest(range(0, {MAX_REPEATS} + 1)) AS n) r WHERE r.n <= q.whole),
 r AS (SELECT *, lim - coalesce(sum(words) OVER (PARTITION BY no, pass ORDER BY ord, block
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM x),
-g AS (SELECT p.doc_id, p.size, r.words, r.room,
-             coalesce(sum(p.size) OVER (PARTITION BY r.no, r.pass, r.block
+h0 AS (SELECT *, 0 AS node, row_number() OVER (PARTITION BY no ORDER BY pass, ord, block) - 1 AS ticket FROM r WHERE room > 0),
+{_sql_tree()}
+g AS (SELECT p.doc_id, p.size, h.words, h.room, h.pass, h.node AS shard,
+             coalesce(sum(p.size) OVER (PARTITION BY h.no, h.pass, h.block
                ORDER BY {_sql_key("'doc'", "coalesce(CAST(doc_id AS VARCHAR), 'null')")}, doc_id, p.size
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-      FROM p JOIN r ON r.no = p.no AND r.block = p.block AND r.room > 0 WHERE p.size > 0),
-k AS (SELECT doc_id, sum(CASE WHEN words <= room THEN size ELSE greatest(0, least(size, room - ahead)) END) AS taken
-      FROM g GROUP BY doc_id)
-SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken
+      FROM p JOIN h{SHARD_BITS} h ON h.no = p.no AND h.block = p.block WHERE p.size > 0),
+e AS (SELECT doc_id, pass, shard, CASE WHEN words <= room THEN size ELSE greatest(0, least(size, room - ahead)) END AS taken,
+             {_sql_key("'place'", "CAST(shard AS VARCHAR)", "CAST(pass AS VARCHAR)", "coalesce(CAST(doc_id AS VARCHAR), 'null')")} AS place
+      FROM g),
+k AS (SELECT doc_id, sum(taken) AS taken,
+             string_agg(concat_ws(':', CAST(pass AS VARCHAR), CAST(shard AS VARCHAR), place), ',' ORDER BY pass) AS draws
+      FROM e WHERE taken > 0 GROUP BY doc_id)
+SELECT p.doc_id, p.size, p.source_size, p.target, CAST(coalesce(k.taken, 0) AS BIGINT) AS taken, coalesce(k.draws, '') AS draws
 FROM p LEFT JOIN k USING (doc_id)
 """

@@ -1,9 +1,10 @@
+import hashlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm.mixing import WEIGHTS, mix, mixed_documents, source_targets, split_quotas
+from pairloom.llm.mixing import WEIGHTS, mix, mixed_documents, source_targets, split_quotas, split_tickets
 
 
 def _filled(sizes, weights=WEIGHTS, repeats=3):
@@ -60,6 +61,35 @@ def test_same_mix_in_any_layout(spark):
     assert run(1) == run(7)
 
 
+def _shard(ticket, of, bits, seed):
+    """The leaf a ticket ends in, by sorting the tickets of each node it passes."""
+    node, held = 0, sorted(of)
+    for level in range(bits):
+        held.sort(key=lambda t: (hashlib.md5(f"{seed}|tree|{node + (1 << level)}|{t[0]}|{t[1]}".encode()).hexdigest(), t))
+        half = len(held) // 2
+        right = held.index(ticket) >= half
+        node, held = 2 * node + right, held[half:] if right else held[:half]
+    return node
+
+
+@pytest.mark.parametrize("bits", [0, 1, 4])
+def test_tickets_go_where_sorting_each_node_sends_them(spark, bits):
+    tickets = [(1, t) for t in range(90)] + [(2, t) for t in range(7)] + [(3, 0)]
+    table = spark.createDataFrame(tickets, "source_no int, ticket bigint").repartition(5)
+    got = {(r["source_no"], r["ticket"]): r["shard"] for r in split_tickets(table, bits, 11).collect()}
+    assert got == {t: _shard(t, tickets, bits, 11) for t in tickets}
+
+
+def test_taken_documents_carry_their_places(spark):
+    """A document's draws add up to its words taken, and a shard's blocks are those of its tickets."""
+    rows = mixed_documents(_docs(spark), block_docs=4).collect()
+    assert all(r["taken"] == sum(d["taken"] for d in r["draws"]) for r in rows)
+    per_shard = Counter(d["shard"] for r in rows for d in r["draws"])
+    assert set(per_shard) == set(range(16))
+    other = mixed_documents(_docs(spark), block_docs=4, shard_bits=1).collect()
+    assert {d["shard"] for r in other for d in r["draws"]} == {0, 1}
+
+
 def test_draws_are_disjoint_and_shards_even(spark):
     _, draws = mix(_docs(spark), block_docs=4, shard_bits=3)
     rows = draws.collect()
