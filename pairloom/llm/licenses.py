@@ -1,12 +1,17 @@
 """License scans: stretches of text against licence templates, by the Dice coefficient over word bigrams.
 
-Each sentence, line, paragraph and the whole of a text is normalised to words
-and compared to the templates whose size allows the wanted likeness at all: two
-lists of a and b bigrams are alike by 2 * min(a, b) / (a + b) at most.
+A text is cut into units at sentence and line ends and normalised to words. Every
+run of neighbouring units (so each sentence, line, paragraph and the whole, but
+also a notice wrapped over lines or a licence of several paragraphs) is compared
+to the templates whose size allows the wanted likeness at all: two lists of a
+and b bigrams are alike by 2 * min(a, b) / (a + b) at most. That bounds the size
+of runs and prunes templates: of one with b bigrams at least
+b * min_dice / (2 - min_dice) must lie within a stretch of the largest size.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -16,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read_table
+from pairloom.llm.tables import read_table, without
 
 MIN_DICE = 0.8
 
@@ -46,7 +51,7 @@ TEMPLATES = (
 _CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORDS = re.compile("[a-z0-9]+")
 _SENTENCE = re.compile(r"[.!?][ \t]+")
-LEVELS = ("sentence", "line", "paragraph", "text")
+LEVELS = ("sentence", "line", "paragraph", "text")  # and "run"
 
 
 def normalise(text: str) -> list[str]:
@@ -55,72 +60,141 @@ def normalise(text: str) -> list[str]:
 
 
 class Templates:
-    """The templates by size, with the bounds on the size of what can be as like them as wanted."""
+    """The templates with the bounds on the size of what can be as like them as wanted, and their bigrams' index."""
 
     def __init__(self, templates: Sequence[tuple[str, str]], min_dice: float):
         counted = ((name, Counter(zip(words, words[1:]))) for name, words in ((n, normalise(t)) for n, t in templates))
         self.items = sorted(((c.total(), name, c) for name, c in counted if c), key=lambda x: x[:2])
-        self.sizes = [size for size, _, _ in self.items]
         self.min_dice = min_dice
         self.ratio = min_dice / (2 - min_dice)
+        self.having: dict[tuple[str, str], list[int]] = {}
+        for t, (_, _, pairs) in enumerate(self.items):
+            for pair in pairs:
+                self.having.setdefault(pair, []).append(t)
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """The likeness and name of the most alike template; of equal ones the largest, then the first by name."""
-        n = len(words) - 1
-        low = bisect_left(self.sizes, n * self.ratio - 1e-9)
-        high = bisect_right(self.sizes, n / self.ratio + 1e-9)
-        if n < 1 or low >= high:
-            return None
-        own, best = Counter(zip(words, words[1:])), None
-        for size, name, template in self.items[low:high]:
-            shared = sum(min(k, own[pair]) for pair, k in template.items() if pair in own)
+        return self.runs([words]).get((0, len(words)))
+
+    def runs(self, units: Sequence[list[str]]) -> dict[tuple[int, int], tuple[float, str]]:
+        """The best template of each run of units that is like one: (first word, end) to (dice, name).
+
+        Words are numbered through the text. Runs are told by their words, so
+        units without words don't count.
+        """
+        words = [word for unit in units for word in unit]
+        starts, at = [], 0
+        for unit in units:
+            if unit:
+                starts.append(at)
+            at += len(unit)
+        ends = [*starts[1:], at]
+        hits: dict[int, list[int]] = {}
+        for place, pair in enumerate(zip(words, words[1:])):
+            for t in self.having.get(pair, ()):
+                hits.setdefault(t, []).append(place)
+        found: dict[tuple[int, int], tuple[float, int, str]] = {}
+        for t, places in hits.items():
+            size, name, template = self.items[t]
+            need, longest = math.ceil(size * self.ratio - 1e-9), size / self.ratio + 1e-9
+            if len(places) < need:
+                continue
+            # The start of a run lies up to ``longest`` before the last of ``need`` hits.
+            tried = -1
+            for first, last in zip(places, places[need - 1 :]):
+                if last - first >= longest:
+                    continue
+                lowest = bisect_left(starts, last + 1 - longest)
+                for s in range(max(lowest, tried + 1), bisect_right(starts, first)):
+                    tried = s
+                    self._from(s, starts, ends, words, places, (size, name, template, longest), found)
+        return {run: (-dice, name) for run, (dice, _, name) in found.items()}
+
+    def _from(self, s, starts, ends, words, places, wanted, found) -> None:
+        """Adds the runs from unit ``s`` on that are like one template, counting its bigrams as the run grows."""
+        size, name, template, longest = wanted
+        left: dict[tuple[str, str], int] = {}
+        shared, hit = 0, bisect_left(places, starts[s])
+        for e in range(s, len(ends)):
+            n = ends[e] - starts[s] - 1
+            if n > longest:
+                break
+            while hit < len(places) and places[hit] + 1 < ends[e]:
+                pair = (words[places[hit]], words[places[hit] + 1])
+                rest = left.get(pair, template[pair])
+                left[pair] = rest - 1
+                shared += rest > 0
+                hit += 1
             dice = 2 * shared / (size + n)
-            if dice >= self.min_dice and (best is None or (-dice, -size, name) < best):
-                best = (-dice, -size, name)
-        return (-best[0], best[2]) if best else None
+            if dice >= self.min_dice:
+                run, rank = (starts[s], ends[e]), (-dice, -size, name)
+                if run not in found or rank < found[run]:
+                    found[run] = rank
 
 
-def segments(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(level, number within it, words); lines end at \\n, paragraphs at empty lines, sentences within a line."""
-    whole: list[str] = []
-    paragraph: list[str] = []
-    n_sentences = n_paragraphs = 0
+def units_and_segments(text: str) -> tuple[list[list[str]], list[tuple[int, int, int, int]]]:
+    """The words of each unit, and (level, number within it, first word, end); lines end at \\n, paragraphs at empty lines, sentences within a line."""
+    units: list[list[str]] = []
+    parts: list[tuple[int, int, int, int]] = []
+    at = paragraph = n_paragraphs = 0
     for n_lines, line in enumerate(text.split("\n")):
-        words: list[str] = []
+        before = at
         for sentence in _SENTENCE.split(line):
-            said = normalise(sentence)
-            yield 0, n_sentences, said
-            n_sentences += 1
-            words += said
-        yield 1, n_lines, words
-        if line.strip(" \t\r"):
-            paragraph += words
-        elif paragraph:
-            yield 2, n_paragraphs, paragraph
-            n_paragraphs += 1
-            whole += paragraph
-            paragraph = []
-    yield 2, n_paragraphs, paragraph
-    yield 3, 0, whole + paragraph
+            words = normalise(sentence)
+            parts.append((0, len(units), at, at + len(words)))
+            units.append(words)
+            at += len(words)
+        parts.append((1, n_lines, before, at))
+        if not line.strip(" \t\r") and at > paragraph:
+            parts.append((2, n_paragraphs, paragraph, at))
+            n_paragraphs, paragraph = n_paragraphs + 1, at
+    parts.append((2, n_paragraphs, paragraph, at))
+    parts.append((3, 0, 0, at))
+    return units, parts
+
+
+def _hits(text: str, known: Templates) -> list[dict]:
+    """The hits of a text, see ``scan_licenses``."""
+    units, parts = units_and_segments(text)
+    runs = known.runs(units)
+    if not runs:
+        return []
+    hits = [
+        {"level": LEVELS[level], "number": number, "license": runs[a, b][1], "dice": runs[a, b][0]}
+        for level, number, a, b in parts if (a, b) in runs
+    ]
+    named = {(a, b) for _, _, a, b in parts}
+    first_unit = {a: number for level, number, a, b in parts if level == 0 and a < b}
+    taken: dict[str, list[tuple[int, int]]] = {}
+    for (a, b), (dice, name) in sorted(runs.items(), key=lambda x: (-x[1][0], x[0][1] - x[0][0], x[0])):
+        own = taken.setdefault(name, [])
+        place = bisect_left(own, (a, b))
+        if (place and own[place - 1][1] > a) or (place < len(own) and own[place][0] < b):
+            continue
+        own.insert(place, (a, b))
+        if (a, b) not in named:
+            hits.append({"level": "run", "number": first_unit[a], "license": name, "dice": dice})
+    return hits
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, min_dice: float = MIN_DICE, text_col: str = "text") -> DataFrame:
-    """Adds ``licenses`` to ``docs``: (level, number, license, dice) of every stretch that is like a template.
+    """Adds ``licenses`` to ``docs``, in place of a column of this name: (level, number, license, dice) of stretches like a template.
 
+    All sentences, lines, paragraphs and whole texts that are like one are
+    listed. Of the other runs of sentences and lines, level ``run``, numbered by
+    their first sentence, those are listed that are more alike than any stretch
+    of that licence they overlap: runs are taken from the most alike on, of
+    equal ones the shortest, then the first, and none that overlaps one taken.
     Null and blank texts, and stretches of fewer than two words, are like none.
     """
+    docs = without(docs, ["licenses"])
     kind = "array<struct<level:string,number:bigint,license:string,dice:double>>"
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Templates(templates, min_dice)
         for texts in batches:
-            found = []
-            for text in texts:
-                hits = ((level, number, known.best(words)) for level, number, words in segments(text or ""))
-                found.append(
-                    [{"level": LEVELS[level], "number": number, "license": hit[1], "dice": hit[0]} for level, number, hit in hits if hit]
-                )
+            found = [_hits(text or "", known) for text in texts]
             yield pd.Series(found, dtype=object)
 
     return docs.withColumn("licenses", run(F.col(text_col)))
@@ -148,27 +222,35 @@ def _words_sql(text: str) -> str:
     return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
 
 
+# Every run of units (sentences within lines), for the templates of which a text has enough bigrams at all.
 OP6_SQL = f"""
 WITH t AS (SELECT row_number() OVER (ORDER BY license, wording) AS t, license, {_words_sql("wording")} AS w FROM {_template_rows()}),
 tb AS (SELECT t, license, len(w) - 1 AS size, w[i] || ' ' || w[i + 1] AS pair, count(*) AS k
        FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t) GROUP BY ALL),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
              generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-p AS (SELECT *, sum(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS par FROM l),
-s AS (SELECT doc_id, 0 AS level, i, j, {_words_sql("sentence")} AS w
-      FROM (SELECT doc_id, i, unnest(regexp_split_to_array(line, '[.!?][ \\t]+')) AS sentence,
-                   generate_subscripts(regexp_split_to_array(line, '[.!?][ \\t]+'), 1) AS j FROM l)
-      UNION ALL SELECT doc_id, 1, i, 0, {_words_sql("line")} FROM l
-      UNION ALL SELECT doc_id, 2, par, 0, {_words_sql("string_agg(line, chr(10) ORDER BY i)")} FROM p GROUP BY doc_id, par
-      UNION ALL SELECT doc_id, 3, 0, 0, {_words_sql("coalesce(text, '')")} FROM documents),
-near AS (SELECT row_number() OVER () AS seg, doc_id, w, len(w) - 1 AS n FROM s
-         WHERE len(w) > 1 AND EXISTS (SELECT 1 FROM tb WHERE 2 * least(size, len(w) - 1) >= {MIN_DICE} * (size + len(w) - 1) - 1e-9)),
-sb AS (SELECT seg, doc_id, n, w[i] || ' ' || w[i + 1] AS pair, count(*) AS k
-       FROM (SELECT *, unnest(range(1, len(w))) AS i FROM near) GROUP BY ALL),
-m AS (SELECT sb.seg, sb.doc_id, sb.n, tb.t, tb.license, tb.size, sum(least(sb.k, tb.k)) AS shared
-      FROM sb JOIN tb ON tb.pair = sb.pair GROUP BY sb.seg, sb.doc_id, sb.n, tb.t, tb.license, tb.size),
-d AS (SELECT *, 2 * shared / CAST(size + n AS DOUBLE) AS dice FROM m WHERE 2 * shared / CAST(size + n AS DOUBLE) >= {MIN_DICE}),
-best AS (SELECT doc_id, license, dice FROM d QUALIFY row_number() OVER (PARTITION BY seg ORDER BY dice DESC, size DESC, license) = 1),
+u AS (SELECT doc_id, i, unnest(regexp_split_to_array(line, '[.!?][ \\t]+')) AS sentence,
+             generate_subscripts(regexp_split_to_array(line, '[.!?][ \\t]+'), 1) AS j FROM l),
+v AS (SELECT doc_id, i, j, {_words_sql("sentence")} AS w FROM u),
+b AS (SELECT doc_id, row_number() OVER o AS k, sum(len(w)) OVER o AS stop, sum(len(w)) OVER o - len(w) AS start
+      FROM v WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY i, j)),
+d AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS w FROM documents),
+h AS (SELECT g.doc_id, g.pos, tb.t, tb.license, tb.size, tb.pair, tb.k
+      FROM (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(w))) AS i FROM d)) g
+      JOIN tb ON tb.pair = g.pair),
+c AS (SELECT doc_id, t, size, license FROM (SELECT doc_id, t, size, license, least(count(*), k) AS n FROM h GROUP BY doc_id, t, size, license, pair, k)
+      GROUP BY ALL HAVING sum(n) * {2 - MIN_DICE} >= {MIN_DICE} * size - 1e-9),
+r AS (SELECT c.doc_id, c.t, c.license, c.size, x.start, y.stop, y.stop - x.start - 1 AS n
+      FROM c JOIN b x ON x.doc_id = c.doc_id
+      JOIN b y ON y.doc_id = c.doc_id AND y.k >= x.k AND y.stop - x.start - 1 <= c.size * {2 - MIN_DICE} / {MIN_DICE} + 1e-9
+      WHERE y.stop - x.start - 1 >= c.size * {MIN_DICE} / {2 - MIN_DICE} - 1e-9),
+s AS (SELECT r.doc_id, r.t, r.license, r.size, r.start, r.stop, r.n, least(count(*), h.k) AS shared
+      FROM r JOIN h ON h.doc_id = r.doc_id AND h.t = r.t AND h.pos >= r.start AND h.pos + 1 < r.stop
+      GROUP BY r.doc_id, r.t, r.license, r.size, r.start, r.stop, r.n, h.pair, h.k),
+m AS (SELECT doc_id, license, size, start, stop, 2 * sum(shared) / CAST(size + n AS DOUBLE) AS dice
+      FROM s GROUP BY doc_id, t, license, size, start, stop, n),
+best AS (SELECT doc_id, license, dice FROM m WHERE dice >= {MIN_DICE}
+         QUALIFY row_number() OVER (PARTITION BY doc_id, start, stop ORDER BY dice DESC, size DESC, license) = 1),
 doc AS (SELECT doc_id, count(DISTINCT license) AS n_licenses FROM best GROUP BY doc_id),
 top AS (SELECT doc_id, license, round(dice, 6) AS dice FROM best
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(dice, 6) DESC, license) = 1)
