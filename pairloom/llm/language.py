@@ -8,7 +8,10 @@ the next shorter context asked, down to all bytes being equally likely. The
 language with the shortest code for the whole text wins.
 
 The cost of a byte depends on the bytes before it alone, so the trees are laid
-out as tables from byte grams to the costs in all languages at once.
+out as tables from byte grams to the costs in several languages at once. Every
+label is learned: languages are taken ``GROUP`` at a time, in order of their
+names, so a table is as wide as its group and holds the grams of its group only,
+and memory grows with the languages and not with their square.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pairloom.llm.tables import fresh, read_table
 
 ORDER = 4
 SAMPLE_DOCS = 400  # labelled documents per language that the trees are counted over
-MAX_LANGUAGES = 256  # the most frequent ones are learned
+SAMPLE_BYTES = 8 << 20  # of those, the bytes per language; the document that goes beyond is the last
+GROUP = 8  # languages in a table; a gram takes four bytes for each of them
 EVIDENCE_BYTES = 32.0
 UNKNOWN = "und"
 PAD = b"\n"
@@ -96,7 +100,16 @@ def _find(index: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarra
 
 
 def build_trees(langs: list[str], lang_no: np.ndarray, order: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict:
-    """The frozen trees as plain arrays: for each order the costs of known grams and of leaving known contexts."""
+    """The frozen trees: all languages, and a table for each ``GROUP`` of them."""
+    groups = []
+    for first in range(0, len(langs), GROUP):
+        here = (lang_no >= first) & (lang_no < first + GROUP)
+        groups.append(_build_group(langs[first : first + GROUP], lang_no[here] - first, order[here], gram[here], n[here]))
+    return {"langs": langs, "groups": groups}
+
+
+def _build_group(langs: list[str], lang_no: np.ndarray, order: np.ndarray, gram: np.ndarray, n: np.ndarray) -> dict:
+    """Plain arrays: for each order the costs of known grams and of leaving known contexts."""
     width = len(langs)
     trees: dict = {"langs": langs, "costs": [], "escapes": []}
     for o in range(ORDER + 1):
@@ -124,9 +137,15 @@ def build_trees(langs: list[str], lang_no: np.ndarray, order: np.ndarray, gram:
     return trees
 
 
-def learn_trees(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """Trees of (id, text, lang) rows: of each language up to ``sample_docs``, in the order of a hash of the id."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+def learn_trees(
+    spark: SparkSession, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES
+) -> dict:
+    """Trees of (id, text, lang) rows: of each language up to ``sample_docs``, in the order of a hash of the id.
+
+    Whatever number of labels there is, all are learned. The driver holds a row
+    for each label and the counted grams, at most five for each sampled byte.
+    """
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return build_trees([], *[np.zeros(0, np.int64)] * 4)
     langs = sorted(row["lang"] for row in counts)
@@ -138,7 +157,10 @@ def learn_trees(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAM
     head = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     some = labelled.join(F.broadcast(shares), "lang").where(head < F.col("share")).withColumn("key", key)
     first = Window.partitionBy("lang").orderBy("key", "id")
+    some = some.withColumn("bytes", F.octet_length("text").cast("bigint"))
     sample = some.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample_docs)
+    ahead = F.coalesce(F.sum("bytes").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sample = sample.withColumn("ahead", ahead).where(F.col("ahead") < sample_bytes)
     table = gram_counts(sample.select("lang", "text")).toArrow()  # bounded by the sample
     number = {lang: i for i, lang in enumerate(langs)}
     named = table["lang"].combine_chunks().dictionary_encode()
@@ -149,7 +171,7 @@ def learn_trees(spark: SparkSession, labelled: DataFrame, sample_docs: int = SAM
 
 
 def _byte_costs(trees: dict, padded: bytes) -> np.ndarray:
-    """The code length of each byte of a padded text in each language."""
+    """The code length of each byte of a padded text in each language of a group."""
     grams = _grams(padded, ORDER)
     index, table = trees["costs"][ORDER]
     found = _find(index, grams)
@@ -174,7 +196,13 @@ def _byte_costs(trees: dict, padded: bytes) -> np.ndarray:
 
 def code_lengths(trees: dict, texts: list[str | None]) -> np.ndarray:
     """The bits that each whole text takes in each language."""
-    width = max(1, len(trees["langs"]))
+    if not trees["groups"]:
+        return np.zeros((len(texts), 1))
+    return np.concatenate([_group_lengths(group, texts) for group in trees["groups"]], axis=1)
+
+
+def _group_lengths(trees: dict, texts: list[str | None]) -> np.ndarray:
+    width = len(trees["langs"])
     step = max(4096, CHUNK // width)
     totals = np.zeros((len(texts), width))
     held: list[bytes] = []

@@ -1,11 +1,12 @@
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
 
 from pairloom.llm import language
-from pairloom.llm.language import ORDER, PAD, build_trees, code_lengths, gram_counts, held_out, learn_from_documents, predict
+from pairloom.llm.language import ORDER, PAD, build_trees, code_lengths, gram_counts, held_out, learn_from_documents, learn_trees, predict
 
 TEXTS = {
     "en": ["the cat sat on the mat and the dog ran off", "this is the house that jack built", "they were there with the others"],
@@ -85,3 +86,37 @@ def test_empty_tables(spark):
     assert trees["langs"] == [] and predict(docs, trees).count() == 0
     some = spark.createDataFrame([(1, "text")], "doc_id bigint, text string")
     assert [(r["lang_pred"], r["score"]) for r in predict(some, trees).collect()] == [("und", 0.0)]
+
+
+def test_every_label_is_learned(spark):
+    """600 labels, each with letters of its own; tables of eight give the code lengths of one table for all."""
+    def said(i, k):
+        return " ".join(chr(0x4E00 + 7 * i + (k + j) % 7) * 2 for j in range(9))
+
+    rows = [(i * 10 + k, said(i, k), f"l{i:03}") for i in range(600) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(8)
+    trees = learn_from_documents(docs)
+    known = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
+    assert trees["langs"] == sorted(known) and len(known) > 590
+    got = predict(docs.where("doc_id % 10 = 0"), trees).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got if r["lang"] in known)
+
+
+def test_groups_of_any_size_give_the_same(spark, monkeypatch):
+    texts = ["the große chat", "où", "", None, "x" * 5000]
+    want = code_lengths(_trees(spark), texts)
+    for size in (1, 2):
+        monkeypatch.setattr(language, "GROUP", size)
+        assert code_lengths(_trees(spark), texts) == pytest.approx(want, rel=1e-6)
+
+
+def test_sampled_bytes_are_bounded(spark):
+    rows = [(i, TEXTS["en"][0] * 100, "en") for i in range(1, 200)] + [(i, TEXTS["de"][0], "de") for i in range(200, 260)]
+    labelled = spark.createDataFrame(rows, "id bigint, text string, lang string")
+
+    def learned(limit):
+        # The cost of leaving the empty context grows with the bytes counted.
+        return learn_trees(spark, labelled, 400, limit)["groups"][0]["escapes"][0][1][0]
+
+    few, many = learned(10_000), learned(1 << 30)
+    assert few[1] < many[1] and few[0] == many[0]
