@@ -1,10 +1,11 @@
 import hashlib
 import random
+import time
 
 import pytest
 
 from pairloom.llm import syncmers
-from pairloom.llm.syncmers import K, S, as_text, closed_syncmers, edited, fingerprint_neighbours, likeness, sketches
+from pairloom.llm.syncmers import K, S, as_text, closed_syncmers, edited, fingerprint_neighbours, from_text, likeness, sketches
 
 
 def _texts(n, seed=1):
@@ -40,8 +41,51 @@ def test_likeness():
     assert likeness(x, y) < 0.1
     shifted = sketches(["some words put before it " + a])[0]
     assert likeness(x, shifted) > 0.8
-    assert all(len(as_text(s)) == 16 * len(s) for s in (x, y, e))
-
+    assert all(from_text(as_text(s)) == s for s in (x, y, e)) and as_text(e) == ""
+
+
+def test_fingerprints_are_small_and_read_back():
+    rng = random.Random(13)
+    texts = [*_texts(60, 4), "short", "x" * 500, "ab" * 999, "".join(rng.choice("abcdefgh ") for _ in range(100000))]
+    for text, sketch in zip(texts, sketches(texts)):
+        assert from_text(as_text(sketch)) == sketch
+    assert len(as_text(sketch)) < 0.95 * len(texts[-1])
+
+
+def test_anchors_by_the_rule_written_out():
+    """The s-mers of each k-mer one by one, hashed with integers of Python."""
+    bits = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ (h >> 32)) * 0x165667B19E3779F9 & bits
+        return h ^ (h >> 29)
+
+    def of(part):
+        h = 0
+        for c in part:
+            h = (h * 0x9E3779B97F4A7C15 + ord(c)) & bits
+        return mixed(h)
+
+    for text in [*_texts(30, 6), "x" * 40, "ab" * 30]:
+        expected = []
+        for i in range(len(text) - K + 1):
+            inner = [of(text[j : j + S]) for j in range(i, i + K - S + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                h = 0
+                for j in range(0, K, S):
+                    h = (h * 0xC2B2AE3D27D4EB4F + inner[j]) & bits
+                expected.append((mixed(h) >> 32, i))
+        h, at = closed_syncmers(text)
+        assert list(zip(h.tolist(), at.tolist())) == expected
+
+
+def test_swapped_halves_of_a_long_text_are_compared_at_once():
+    rng = random.Random(14)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=1_200_000))
+    x, y = sketches([text, text[600_000:] + text[:600_000]])
+    start = time.process_time()
+    assert 0.49 < likeness(x, y) < 0.51
+    assert time.process_time() - start < 3  # bits of all places took 22 s for twice this text
 
 def _expected(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -78,6 +122,17 @@ def test_edited_texts_stay_half_alike(spark):
     assert sorted(r["fingerprint"] for r in got) == sorted(r["fingerprint"] for r in again)
 
 
+def test_many_ranges_become_few(spark):
+    docs = spark.createDataFrame(CASES["many"], "doc_id bigint, text string").repartition(5)
+    got = fingerprint_neighbours(docs, block_bytes=64, max_blocks=40).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == _expected(CASES["many"])
+
+
+def test_columns_with_names_of_the_result_do_not_clash(spark):
+    docs = spark.createDataFrame([(1, "some text", "f", 3, True)], "doc_id bigint, text string, fingerprint string, block int, guest boolean")
+    assert [r["n_chars"] for r in fingerprint_neighbours(docs).collect()] == [9]
+
+
 def test_empty_table(spark):
     assert fingerprint_neighbours(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
@@ -99,4 +154,7 @@ def test_likeness_is_the_longest_common_order():
             old = best[:]
             for j, (g, _) in enumerate(b):
                 best[j + 1] = old[j] + 1 if g == h else max(old[j + 1], best[j])
+        x, y = [h for h, _ in a], [h for h, _ in b]
+        where = {h: [i for i, g in enumerate(x) if g == h] for h in range(6)}
+        assert syncmers._by_matches(y, where) == best[-1] == syncmers._by_bits(len(x), [h for h in y if where[h]], where)
         assert likeness(a, b) == (1.0 if a == b else 2 * best[-1] / (len(a) + len(b)))
