@@ -8,10 +8,16 @@ page is of low importance and one that varies is of high; the composite
 importance of a branch mixes that of its top and its texts. Branches of low
 importance are removed from each page of the host.
 
+Importance is smoothed: a node counts as important until the pages it is on
+outweigh that, so a host of any size is judged, and what is the same on three
+different pages goes.
+
 Importance cannot tell a menu or an advert that varies from page to page from
 text. So branches whose element name, class, id or role says what they are go
 whatever their importance, and where a page marks its article, text outside of
-it goes.
+it goes. Neither rule may empty a page: words that also name what a page is
+about count only where there is other text, and an article that is the smaller
+part of the page's main element is a teaser beside the text.
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ from pairloom.llm.tables import fresh, read_table, without
 from pairloom.llm.url_templates import url_host
 from pairloom.workspace import materialize
 
-MIN_PAGES = 8  # different pages of a host that a branch must be on before it can be judged
 MIN_IMPORTANCE = 0.2
+PRIOR_PAGES = 0.7  # pages of full importance that every node is taken to have been on before
+MOST = 0.8  # share of a page's text that is on other pages too if the page is a copy of them
 DAMPING = 0.9  # weight of what lies below a node, to the power of its depth
 MAX_DEPTH = 64  # elements below this depth count as part of that at it
 
@@ -69,6 +76,8 @@ SOFT_WORDS = frozenset(
     "gdpr notice notices notification alert newsletter subscribe subscription signup login share sharing social pagination "
     "pager copyright legal disclaimer skip hidden".split()
 )
+# ... these of both kinds only on pages that have other text, as they also name what a page is about, ...
+TOPIC_WORDS = frozenset("legal disclaimer copyright notice notices alert newsletter discussion promotion".split())
 # ... and these only outside of articles, which have headings of their own.
 OUTER_WORDS = frozenset("header masthead topbar toolbar banner banners".split())
 NONE, SOFT, HARD = 0, 1, 2
@@ -81,40 +90,48 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s/>=\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
+_DIGITS = re.compile("[0-9]+")  # of a class or id, as they may number the pages
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Block:
-    """A stretch of text that no block element interrupts; ``article``: 2 in an article, 1 in the main part, else 0."""
+    """A stretch of text that no block element interrupts.
+
+    ``article``: 2 in an article, 1 in the main part, else 0. ``doubt``: in a
+    branch that only a word of ``TOPIC_WORDS`` calls noise.
+    """
 
-    __slots__ = ("path", "text", "article")
+    __slots__ = ("path", "text", "article", "doubt")
 
-    def __init__(self, path: tuple[str, ...], text: str, article: int):
-        self.path, self.text, self.article = path, text, article
+    def __init__(self, path: tuple[str, ...], text: str, article: int, doubt: bool):
+        self.path, self.text, self.article, self.doubt = path, text, article, doubt
 
 
-def _noise(name: str, attributes: dict[str, str], in_article: bool) -> int:
+def _noise(name: str, attributes: dict[str, str], in_article: bool) -> tuple[int, bool]:
+    """Whether an element is noise by itself, and if so, whether that is in doubt."""
     if name in NOISE_TAGS or name == "header" and not in_article:
-        return HARD
+        return HARD, False
     if not attributes:
-        return NONE
+        return NONE, False
     hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true"
     if hidden or _HIDDEN.search(attributes.get("style", "").lower()) or attributes.get("role", "").lower() in NOISE_ROLES:
-        return HARD
+        return HARD, False
     if name in ("html", "body"):
-        return NONE
+        return NONE, False
     words = {w.lower() for w in _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))}
+    doubt = name in BLOCK and not words & ((HARD_WORDS | SOFT_WORDS | OUTER_WORDS) - TOPIC_WORDS)
     if words & HARD_WORDS:
-        return HARD
+        return HARD, doubt
     soft = name not in ("article", "main") and (words & SOFT_WORDS or not in_article and words & OUTER_WORDS)
-    return SOFT if soft else NONE
+    return (SOFT, doubt) if soft else (NONE, False)
 
 
 def parse(html: str) -> tuple[list[Block], dict[tuple[str, ...], set[str]]]:
     """The text blocks of a page in order, and the names of the children below each path of elements."""
     blocks: list[Block] = []
     children: dict[tuple[str, ...], set[str]] = {}
-    stack: list[tuple[str, tuple[str, ...], int, int]] = [("", (), NONE, 0)]  # name, path, noise, article
+    # name, path, noise, article, whether the noise is in doubt
+    stack: list[tuple[str, tuple[str, ...], int, int, bool]] = [("", (), NONE, 0, False)]
     parts: list[str] = []
     start = stack[0]  # where the block began
 
@@ -122,12 +139,13 @@ def parse(html: str) -> tuple[list[Block], dict[tuple[str, ...], set[str]]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(start[1], text, start[3]))
+                blocks.append(Block(start[1], text, start[3], start[4]))
             parts.clear()
 
     def add(text: str) -> None:
         nonlocal start
-        if stack[-1][2] or not parts and not text.strip():
+        top = stack[-1]
+        if top[2] and not top[4] or not parts and not text.strip():
             return
         if not parts:
             start = stack[-1]
@@ -176,7 +194,7 @@ def parse(html: str) -> tuple[list[Block], dict[tuple[str, ...], set[str]]]:
                     pop_to(depth)
         if name in BLOCK:
             flush()
-        _, path, noise, article = stack[-1]
+        _, path, noise, article, doubt = stack[-1]
         rest = found["rest"]
         attributes = {}
         if rest and not rest.isspace():
@@ -184,7 +202,7 @@ def parse(html: str) -> tuple[list[Block], dict[tuple[str, ...], set[str]]]:
                 attributes.setdefault(key.lower(), unescape(a or b or c))
         label = name
         if "class" in attributes or "id" in attributes:
-            label = f"{name}.{attributes.get('class', '')}#{re.sub('[0-9]+', '', attributes.get('id', ''))}"
+            label = f"{name}.{_DIGITS.sub('', attributes.get('class', ''))}#{_DIGITS.sub('', attributes.get('id', ''))}"
         children.setdefault(path, set()).add(label)
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, position)
@@ -197,7 +215,9 @@ def parse(html: str) -> tuple[list[Block], dict[tuple[str, ...], set[str]]]:
         inner = max(article, 2 if name == "article" else name == "main")
         if inner > article and noise == SOFT:
             noise = NONE
-        stack.append((name, path, max(noise, _noise(name, attributes, article > 0)), int(inner)))
+        own, own_doubt = _noise(name, attributes, article > 0)
+        doubt = (noise == NONE or doubt) and (own == NONE or own_doubt) and max(noise, own) > NONE
+        stack.append((name, path, max(noise, own), int(inner), doubt))
     flush()
     return blocks, children
 
@@ -206,13 +226,31 @@ def _join(path: tuple[str, ...]) -> str:
     return "\x1f".join(path)
 
 
+def _size(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def _marked(blocks: list[Block]) -> list[Block]:
+    """The blocks of a page that its marks leave: the article, else the main part, else all.
+
+    Where the article is less than half of the main part, the whole main part
+    stays. Blocks in doubt stay if there are no others.
+    """
+    sure = [b for b in blocks if not b.doubt] or blocks
+    inmost = max((b.article for b in sure), default=0)
+    kept = [b for b in sure if b.article == inmost]
+    main = [b for b in sure if b.article]
+    return main if 2 * _size(kept) < _size(main) else kept
+
+
 def main_text(html: str | None, noisy: frozenset[str]) -> str:
-    """The blocks of a page that are main text, joined by line breaks; ``noisy`` are paths of low importance."""
-    blocks, _ = parse(html or "")
-    inmost = max((b.article for b in blocks), default=0)
-    kept = [b for b in blocks if b.article == inmost]
-    important = [b for b in kept if _join(b.path) not in noisy]
-    return "\n".join(b.text for b in important or kept)  # a tree that leaves nothing has judged copies of one page
+    """The blocks of a page that are main text, joined by line breaks; ``noisy`` are paths of low importance.
+
+    If these would take more than ``MOST`` of the text, the tree has judged copies of one page, and all of it stays.
+    """
+    kept = _marked(parse(html or "")[0])
+    important = [b for b in kept if _join(b.path) not in noisy] if noisy else kept
+    return "\n".join(b.text for b in (important if _size(important) >= (1 - MOST) * _size(kept) else kept))
 
 
 def _short(text: str) -> int:
@@ -226,6 +264,7 @@ def _tree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for host, html in zip(batch["host"], batch["html"]):
             blocks, children = parse(html or "")
+            blocks = [b for b in blocks if not b.doubt] or blocks
             page = _short("\n".join(b.text for b in blocks))
             for path, names in children.items():
                 rows.append((host, page, _join(path), "style", _short("\n".join(sorted(names)))))
@@ -277,20 +316,24 @@ def node_importance(pages: DataFrame) -> DataFrame:
     )
 
 
-def noisy_branches(importance: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, noisy): the paths of each host that are of low importance together with all below them."""
+def noisy_branches(importance: DataFrame, min_importance: float = MIN_IMPORTANCE, prior_pages: float = PRIOR_PAGES) -> DataFrame:
+    """(host, noisy): the paths of each host that are of low importance together with all below them.
+
+    The importance of a node is smoothed as if it had also been on ``prior_pages`` pages of importance 1.
+    """
+    smoothed = (F.col("importance") * F.col("n_pages") + prior_pages) / (F.col("n_pages") + prior_pages)
     steps = F.split("path", "\x1f")
     above = importance.select(
-        "host", "importance", "n_pages", steps.alias("steps"), F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth")
+        "host", smoothed.alias("importance"), steps.alias("steps"), F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth")
     )
     branches = above.groupBy("host", F.array_join(F.slice("steps", 1, F.col("depth")), "\x1f").alias("path")).agg(
-        F.max("importance").alias("most"), F.max("n_pages").alias("n_pages")
+        F.max("importance").alias("most")
     )
-    low = branches.where((F.col("most") < min_importance) & (F.col("n_pages") >= min_pages))
+    low = branches.where(F.col("most") < min_importance)
     return low.groupBy("host").agg(F.collect_list("path").alias("noisy"))
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", prior_pages: float = PRIOR_PAGES) -> DataFrame:
     """Adds ``main_text`` to ``pages``, in place of a column of this name: the blocks of main text joined by line breaks, empty if there is none.
 
     Null html is empty; pages without a host share one style tree. Each page is
@@ -300,7 +343,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_
     """
     host = url_host(F.col(url_col))
     trees = node_importance(pages.select(host.alias("host"), F.col(html_col).alias("html")))
-    noisy = materialize(noisy_branches(trees, min_pages=min_pages), "noisy-branches")
+    noisy = materialize(noisy_branches(trees, prior_pages=prior_pages), "noisy-branches")
     site, low = fresh(pages, "tree_host"), fresh(pages, "noisy_paths")
     noisy = noisy.select(F.col("host").alias(site), F.col("noisy").alias(low))
     joined = without(pages, ["main_text"]).join(noisy, host == F.col(site), "left")

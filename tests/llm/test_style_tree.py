@@ -1,6 +1,9 @@
+import math
+import random
+
 import pytest
 
-from pairloom.llm.style_tree import extract, main_text, node_importance, noisy_branches, parse
+from pairloom.llm.style_tree import DAMPING, extract, main_text, node_importance, noisy_branches, parse
 
 NONE = frozenset()
 
@@ -21,6 +24,14 @@ CASES = {
     "tables": ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
     "only markup": ("<div><br></div>", ""), "empty": ("", ""), "null": (None, ""), "no markup": ("a < b\n c <3", "a < b c <3"),
     "stray ends": ("</p>a</div></article>b</b>", "ab"),
+    "topics": ("<div class='legal'><p>The statute text</p></div>", "The statute text"),
+    "discussion": ("<nav>n</nav><div class='discussion'><p>a</p><p>b</p></div><div class='ad'>buy</div>", "a\nb"),
+    "other text": ("<div class='legal'>l</div><div class='discussion'><article>r</article></div><p>x</p>", "x"),
+    "inline words": ("<p>a <span class='legal'>l</span>b</p>", "a b"),
+    "doubt within noise": ("<div class='sidebar'><div class='legal'>l</div></div>", ""),
+    "noise within doubt": ("<div class='legal'>l<div class='sidebar'>s</div></div>", "l"),
+    "teaser": ("<main><p>Long story</p><article>teaser</article></main>", "Long story\nteaser"),
+    "article in main": ("<main><p>top</p><article>The whole of the story</article></main>", "The whole of the story"),
     "case": ("<ARTICLE><P>x</p></ArTiClE><P>y", "x"),
 }
 
@@ -41,8 +52,13 @@ def _pages(spark):
     for i in range(30):
         body = f"<div class='x'><p>story number {i} goes {i * 7} here</p></div><div class='box'><span>Read us daily</span></div>"
         rows.append((i, f"http://one.example/{i}", f"<html><body>{body}</body></html>"))
-    for i in range(30, 33):  # too few pages to judge
-        rows.append((i, f"http://two.example/{i}", "<body><div class='box'><span>Read us daily</span></div></body>"))
+    for i in range(30, 32):  # too few pages to judge
+        rows.append((i, f"http://two.example/{i}", f"<body><p>page {i}</p><div class='box'><span>Read us daily</span></div></body>"))
+    for i in range(33, 36):  # enough; the numbers in classes are not of the site
+        page = f"<body><p class='post-{i}'>page {i}</p><div class='box-{i}'><span>Read us daily</span></div></body>"
+        rows.append((i, f"http://few.example/{i}", page))
+    for i in range(36, 40):  # near copies of a text that nothing marks
+        rows.append((i, f"http://near.example/{i}", f"<body><h2>{i}</h2><div>{'much the same ' * 40}</div></body>"))
     for i in range(40, 60):  # copies of one page count once
         rows.append((i, f"http://three.example/{i}", "<body><div>the only page</div></body>"))
     return spark.createDataFrame(rows, "page_id bigint, url string, html string")
@@ -51,7 +67,9 @@ def _pages(spark):
 def test_branches_that_are_alike_on_all_pages_go(spark):
     got = {r["page_id"]: r["main_text"] for r in extract(_pages(spark)).collect()}
     assert got[4] == "story number 4 goes 28 here"
-    assert got[31] == "Read us daily" and got[45] == "the only page"
+    assert got[31] == "page 31\nRead us daily" and got[45] == "the only page"
+    assert [got[i] for i in range(33, 36)] == ["page 33", "page 34", "page 35"]
+    assert all(got[i].startswith(f"{i}\nmuch the same") for i in range(36, 40))
 
 
 def test_importance(spark):
@@ -63,7 +81,57 @@ def test_importance(spark):
     assert got["one.example", "span"] == (30, pytest.approx(0.0))
     assert got["one.example", "p"] == (30, pytest.approx(1.0))
     assert got["three.example", "div"][0] == 1
-    assert {r["host"] for r in noisy_branches(table).collect()} == {"one.example"}
+    low = {r["host"]: [p.split("\x1f")[-1] for p in r["noisy"]] for r in noisy_branches(table).collect()}
+    assert set(low) == {"one.example", "few.example", "near.example"} and set(low["few.example"]) == {"div.box-#", "span"}
+
+
+def _importance_by_hand(pages):
+    """Path: (pages, importance) of one host, from the definitions with dictionaries."""
+    seen = {}
+    for html in pages:
+        blocks, children = parse(html)
+        seen["\n".join(b.text for b in blocks)] = (blocks, children)
+    where, texts = {}, {}
+    for page, (blocks, children) in seen.items():
+        for path, names in children.items():
+            where.setdefault(path, []).append("\n".join(sorted(names)))
+        for path, text in {(b.path, b.text) for b in blocks}:
+            texts.setdefault(path, {}).setdefault(text, set()).add(page)
+
+    def content(path):  # of each text of a node: 1 - entropy over the pages that have it
+        m = len(where[path])
+        return [1 - math.log(len(p)) / math.log(m) if m > 1 else 1.0 for p in texts[path].values()]
+
+    found = {}
+    for path, styles in where.items():
+        m = len(styles)
+        below = [x for p in texts if p[: len(path)] == path for x in content(p)]
+        if not path or not below:
+            continue
+        shares = [styles.count(v) / m for v in set(styles)]
+        presentation = -sum(q * math.log(q) for q in shares) / math.log(m) if m > 1 else 1.0
+        share = DAMPING ** len(path)
+        contents = sum(below) / len(below)
+        found["\x1f".join(path)] = (m, (1 - share) * presentation + share * contents if any(styles) else contents)
+    return found
+
+
+def test_importance_equals_that_by_hand(spark):
+    rng = random.Random(3)
+
+    def branch(depth):
+        name = rng.choice(["div", "section", "p", "div class='c1'"])
+        inner = branch(depth - 1) + branch(depth - 1) if depth and rng.random() < 0.7 else rng.choice("abcd") * rng.randint(1, 2)
+        return f"<{name}>{inner}</{name.split()[0]}>"
+
+    hosts = {f"h{i}.example": ["<body>" + branch(3) + branch(2) for _ in range(i)] for i in (1, 2, 7, 25)}
+    rows = [(host, html) for host, pages in hosts.items() for html in pages + pages[:1]]
+    got = node_importance(spark.createDataFrame(rows, "host string, html string")).collect()
+    expected = {(host, path): v for host, pages in hosts.items() for path, v in _importance_by_hand(pages).items()}
+    assert {(r["host"], r["path"]) for r in got} == set(expected)
+    for r in got:
+        n, importance = expected[r["host"], r["path"]]
+        assert r["n_pages"] == n and r["importance"] == pytest.approx(importance, abs=1e-9)
 
 
 def test_rows_and_columns_stay(spark):
