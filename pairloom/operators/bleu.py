@@ -8,39 +8,79 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.functions.text import tokenizer_13a
+from pairloom.functions.text import chunks_13a
 
 ORDERS = (1, 2, 3, 4)
 _PARTS = [f"{part}{n}" for part in "mtr" for n in ORDERS]
 
 
+# What a task counts in one go, and the chunks it remembers.
+_TOKENS_AT_ONCE = 1 << 18
+_KNOWN_CHUNKS = 1 << 16
+
+
 def gram_counts(translation: Column, reference: Column) -> Column:
     """Per row a struct of m1..m4, t1..t4, r1..r4: clipped matches, and grams of translation and reference.
 
     A sample is one row, so nothing is moved and no key is needed. A null text
-    has no grams.
+    has no grams. Tokens are numbers, and the grams of many rows are counted at
+    once: an (n-1)-gram of a row has a number, with the token after it that
+    makes an n-gram, and a sort numbers these again. Nothing is hashed.
     """
-    tokenize, orders, names = tokenizer_13a(), ORDERS, _PARTS
+    (chunks, tokens), orders, names = chunks_13a(), ORDERS, _PARTS
+    at_once, known = _TOKENS_AT_ONCE, _KNOWN_CHUNKS
 
     def count(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        from collections import Counter
+        from array import array
+
+        import numpy as np
+
+        numbers: dict[str, int] = {}
+        of_chunk: dict[str, array] = {}
+
+        def add(text: str | None, to: array) -> int:
+            start = len(to)
+            for chunk in chunks(text or ""):
+                found = of_chunk.get(chunk)
+                if found is None:
+                    found = of_chunk[chunk] = array("q", [numbers.setdefault(t, len(numbers)) for t in tokens(chunk)])
+                to.extend(found)
+            return len(to) - start
+
+        def counted(hyp: array, ref: array, hyp_lengths: array, ref_lengths: array) -> list:
+            """The columns of ``names`` for the rows of these texts."""
+            rows = len(hyp_lengths)
+            token = np.concatenate([np.array(hyp, np.int64), np.array(ref, np.int64)])
+            lengths = np.concatenate([np.array(hyp_lengths, np.int64), np.array(ref_lengths, np.int64)])
+            end = np.repeat(np.cumsum(lengths), lengths)
+            row = np.repeat(np.arange(2 * rows) % rows, lengths)
+            at, gram, matches = np.arange(len(token)), row, []
+            for n in orders:
+                inside = at + n <= end[at]
+                at = at[inside]
+                distinct, gram = np.unique(gram[inside] * len(numbers) + token[at + n - 1], return_inverse=True)
+                of_hyp = np.searchsorted(at, len(hyp))
+                both = [np.bincount(side, minlength=len(distinct)) for side in (gram[:of_hyp], gram[of_hyp:])]
+                row_of = np.empty(len(distinct), np.int64)
+                row_of[gram] = row[at]
+                matches.append(np.bincount(row_of, np.minimum(*both), minlength=rows).astype(np.int64))
+            totals = [np.maximum(side - n + 1, 0) for side in (lengths[:rows], lengths[rows:]) for n in orders]
+            return [*matches, *totals]
 
         for translations, references in pairs:
-            columns = [[] for _ in names]
-            for hyp, ref in zip(translations.to_pylist(), references.to_pylist()):
-                hyp, ref = tokenize(hyp or ""), tokenize(ref or "")
-                for i, n in enumerate(orders):
-                    there = Counter(zip(*(ref[k:] for k in range(n))))
-                    matches = 0
-                    for gram in zip(*(hyp[k:] for k in range(n))):
-                        left = there.get(gram)
-                        if left:
-                            there[gram] = left - 1
-                            matches += 1
-                    row = matches, max(0, len(hyp) - n + 1), max(0, len(ref) - n + 1)
-                    for part, value in enumerate(row):
-                        columns[part * len(orders) + i].append(value)
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            if len(of_chunk) > known:
+                numbers.clear()
+                of_chunk.clear()
+            parts, texts = [], [array("q") for _ in range(4)]
+            for pair in zip(translations.to_pylist(), references.to_pylist()):
+                for text, to, lengths in zip(pair, texts, texts[2:]):
+                    lengths.append(add(text, to))
+                if len(texts[0]) + len(texts[1]) > at_once:
+                    parts.append(counted(*texts))
+                    texts = [array("q") for _ in range(4)]
+            parts.append(counted(*texts))
+            columns = [pa.array(np.concatenate(column), pa.int64()) for column in zip(*parts)]
+            yield pa.StructArray.from_arrays(columns, names)
 
     kind = ", ".join(f"{name} bigint" for name in _PARTS)
     return F.arrow_udf(count, f"struct<{kind.replace(' bigint', ':bigint')}>")(translation, reference)
