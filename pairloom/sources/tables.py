@@ -60,5 +60,7 @@ def write_run(df: DataFrame, table: str, buckets: int = RUN_BUCKETS) -> DataFram
     """
     spark = df.sparkSession
     writer = df.repartition(buckets, "sample_id").write.mode("overwrite").option("path", new_path(spark, f"run-{table}"))
+    # Whole texts, mostly: a third of the bytes less than by the default codec.
+    writer = writer.option("compression", "zstd")
     writer.bucketBy(buckets, "sample_id").sortBy("sample_id").saveAsTable(table)
     return spark.table(table)
