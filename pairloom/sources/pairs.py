@@ -17,14 +17,23 @@ def _with_pair_id(df: DataFrame, source_no: int) -> DataFrame:
     return df.select(pair_id.alias("pair_id"), *df.columns)
 
 
+_BLOCK_BITS = 13  # 8,192 lines at most
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, line): lines in the order of ``at`` within their block, blocks in order within their file."""
-    return spark.read.text(path).select(
+    """(file, block, at, line): lines in the order of ``at`` within their block, blocks in order within their file.
+
+    A block is a stretch of lines of what one task reads of a file, as all lines
+    of a block meet in one task again.
+    """
+    lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("line"),
     )
+    stretch = F.struct("start", F.shiftright("at", _BLOCK_BITS).alias("stretch"))
+    return lines.select("file", stretch.alias("block"), "at", "line")
 
 
 # A quoted field goes on to its closing quote, two quotes in it are one; what then comes before the comma
